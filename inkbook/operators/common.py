@@ -65,10 +65,13 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int | None,
     w = Window.partitionBy(*by).orderBy(*order) if by else None
     if not by and rank_col is None:
         return df.orderBy(*order).limit(k)
-    if not by:
-        # Ranking every row of an ungrouped mart needs one ordering; callers
-        # use this only on small marts (one row per customer/title).
+    if not by and k is not None:
+        # Take the k rows first (TakeOrderedAndProject), then number them:
+        # the window sees k rows, never the whole mart.
+        df = df.orderBy(*order).limit(k)
         w = Window.orderBy(*order)
+    elif not by:
+        raise ValueError("ranking a whole ungrouped mart needs running_sum-style plans")
     out = df.withColumn("_rk", F.row_number().over(w))
     if k is not None:
         out = out.filter(F.col("_rk") <= k)

@@ -69,3 +69,67 @@ def q_follow_up(spark, sf_dir):
 @register("churn_summary")
 def q_churn_summary(spark, sf_dir):
     return churn.churn_summary(churn.churn_status(jobs(spark, sf_dir)))
+
+
+# --- customer value and dataset summary ------------------------------------
+from inkbook.operators import value  # noqa: E402
+
+
+@register("customer_value")
+def q_customer_value(spark, sf_dir):
+    return value.customer_value(jobs(spark, sf_dir))
+
+
+@register("top_work_type")
+def q_top_work_type(spark, sf_dir):
+    return value.top_work_type(jobs(spark, sf_dir))
+
+
+@register("work_type_breakdown")
+def q_work_type_breakdown(spark, sf_dir):
+    return value.work_type_breakdown(jobs(spark, sf_dir))
+
+
+@register("product_breakdown")
+def q_product_breakdown(spark, sf_dir):
+    return value.product_breakdown(jobs(spark, sf_dir))
+
+
+@register("industry_breakdown")
+def q_industry_breakdown(spark, sf_dir):
+    return value.industry_breakdown(jobs(spark, sf_dir))
+
+
+@register("pareto_80")
+def q_pareto_80(spark, sf_dir):
+    return value.pareto_80(value.by_customer(jobs(spark, sf_dir)))
+
+
+@register("concentration_shape")
+def q_concentration_shape(spark, sf_dir):
+    return value.concentration_shape(value.by_customer(jobs(spark, sf_dir)))
+
+
+@register("concentration_summary")
+def q_concentration_summary(spark, sf_dir):
+    return value.concentration_summary(value.by_customer(jobs(spark, sf_dir)))
+
+
+@register("dataset_summary")
+def q_dataset_summary(spark, sf_dir):
+    return value.dataset_summary(jobs(spark, sf_dir))
+
+
+@register("currency_split")
+def q_currency_split(spark, sf_dir):
+    return value.currency_split(jobs(spark, sf_dir))
+
+
+@register("dataset_facts")
+def q_dataset_facts(spark, sf_dir):
+    return value.dataset_facts(jobs(spark, sf_dir))
+
+
+@register("dataset_profile")
+def q_dataset_profile(spark, sf_dir):
+    return value.dataset_profile(jobs(spark, sf_dir))
