@@ -133,3 +133,85 @@ def q_dataset_facts(spark, sf_dir):
 @register("dataset_profile")
 def q_dataset_profile(spark, sf_dir):
     return value.dataset_profile(jobs(spark, sf_dir))
+
+
+# --- repeat work, pricing, delivery ---------------------------------------------
+from inkbook.operators import delivery, pricing, repeat  # noqa: E402
+
+
+@register("title_runs")
+def q_title_runs(spark, sf_dir):
+    t = repeat.title_runs(jobs(spark, sf_dir))
+    return t.select("customer_id", "customer_name", "job_id", "print_runs", "first_run", "last_run",
+                    rnd("total_sell").alias("total_sell"), rnd("total_va").alias("total_va"),
+                    rnd("total_quantity").alias("total_quantity"), "product_type")
+
+
+@register("repeat_titles")
+def q_repeat_titles(spark, sf_dir):
+    return repeat.repeat_titles(jobs(spark, sf_dir))
+
+
+@register("due_for_reprint")
+def q_due_for_reprint(spark, sf_dir):
+    return repeat.due_for_reprint(jobs(spark, sf_dir))
+
+
+@register("repeat_by_product")
+def q_repeat_by_product(spark, sf_dir):
+    return repeat.repeat_by_product(jobs(spark, sf_dir))
+
+
+@register("repeat_summary")
+def q_repeat_summary(spark, sf_dir):
+    return repeat.repeat_summary(jobs(spark, sf_dir))
+
+
+@register("pricing_summary")
+def q_pricing_summary(spark, sf_dir):
+    return pricing.pricing_summary(jobs(spark, sf_dir))
+
+
+@register("discount_by_customer")
+def q_discount_by_customer(spark, sf_dir):
+    return pricing.discount_by_customer(jobs(spark, sf_dir))
+
+
+@register("discount_by_rep")
+def q_discount_by_rep(spark, sf_dir):
+    return pricing.discount_by_bucket(jobs(spark, sf_dir), "rep")
+
+
+@register("discount_by_work_type")
+def q_discount_by_work_type(spark, sf_dir):
+    return pricing.discount_by_bucket(jobs(spark, sf_dir), "work_type")
+
+
+@register("below_cost_by_customer")
+def q_below_cost_by_customer(spark, sf_dir):
+    return pricing.below_cost_by_customer(jobs(spark, sf_dir))
+
+
+@register("turnaround_by_work_type")
+def q_turnaround_by_work_type(spark, sf_dir):
+    return delivery.turnaround_by_work_type(jobs(spark, sf_dir))
+
+
+@register("turnaround_by_product")
+def q_turnaround_by_product(spark, sf_dir):
+    return delivery.turnaround_by_product(jobs(spark, sf_dir))
+
+
+@register("turnaround_trend")
+def q_turnaround_trend(spark, sf_dir):
+    return delivery.turnaround_trend(jobs(spark, sf_dir))
+
+
+@register("slowest_vs_norm")
+def q_slowest_vs_norm(spark, sf_dir):
+    return delivery.slowest_vs_norm(jobs(spark, sf_dir))
+
+
+@register("turnaround_summary")
+def q_turnaround_summary(spark, sf_dir):
+    return delivery.turnaround_summary(jobs(spark, sf_dir))
