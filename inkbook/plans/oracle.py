@@ -5,10 +5,13 @@ ones it needs."""
 from __future__ import annotations
 
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {}
+RECURSIVE: set[str] = set()
 
 
-def cte(name: str, sql: str, *deps: str) -> None:
+def cte(name: str, sql: str, *deps: str, recursive: bool = False) -> None:
     CTES[name] = (sql, deps)
+    if recursive:
+        RECURSIVE.add(name)
 
 
 def build(final: str, *deps: str) -> str:
@@ -25,7 +28,8 @@ def build(final: str, *deps: str) -> str:
         visit(d)
     if not order:
         return final
-    return "WITH " + ",\n".join(f"{n} AS (\n{CTES[n][0]}\n)" for n in order) + "\n" + final
+    head = "WITH RECURSIVE " if RECURSIVE & set(order) else "WITH "
+    return head + ",\n".join(f"{n} AS (\n{CTES[n][0]}\n)" for n in order) + "\n" + final
 
 
 def R(expr: str, d: int = 2) -> str:

@@ -215,3 +215,42 @@ def q_slowest_vs_norm(spark, sf_dir):
 @register("turnaround_summary")
 def q_turnaround_summary(spark, sf_dir):
     return delivery.turnaround_summary(jobs(spark, sf_dir))
+
+
+# --- seasonality ------------------------------------------------------------------
+from inkbook.operators import season  # noqa: E402
+
+
+@register("monthly_series")
+def q_monthly_series(spark, sf_dir):
+    return season.monthly_series(jobs(spark, sf_dir))
+
+
+@register("seasonal_index")
+def q_seasonal_index(spark, sf_dir):
+    return season.seasonal_index(jobs(spark, sf_dir))
+
+
+@register("seasonal_forecast")
+def q_seasonal_forecast(spark, sf_dir):
+    return season.seasonal_forecast(jobs(spark, sf_dir))
+
+
+@register("forecast_backtest")
+def q_forecast_backtest(spark, sf_dir):
+    return season.forecast_backtest(jobs(spark, sf_dir))
+
+
+@register("peak_month_mix")
+def q_peak_month_mix(spark, sf_dir):
+    return season.peak_month_mix(jobs(spark, sf_dir))
+
+
+@register("seasonality_summary")
+def q_seasonality_summary(spark, sf_dir):
+    return season.seasonality_summary(jobs(spark, sf_dir))
+
+
+@register("actual_vs_forecast")
+def q_actual_vs_forecast(spark, sf_dir):
+    return season.actual_vs_forecast(jobs(spark, sf_dir))
