@@ -25,9 +25,7 @@ def churn_status(jobs: DataFrame, by: Sequence[str] = (), cfg: Config = DEFAULT)
         F.max("sales_in").alias("last_order_date"),
         msum("va_amount_base").alias("_va"),
         msum("sell_price_base").alias("_sell"),
-        first_by_date("industry").alias("industry"),
-        first_by_date("region").alias("region"),
-        first_by_date("rep").alias("rep"),
+        *[first_by_date(c).alias(c) for c in ("industry", "region", "rep") if c not in by],
     )
     df = attach(agg, as_of(jobs, by), by)
     days = F.datediff("as_of", "last_order_date")
@@ -39,7 +37,7 @@ def churn_status(jobs: DataFrame, by: Sequence[str] = (), cfg: Config = DEFAULT)
     abs_status = (F.when(days <= cfg.fallback_at_risk_days, "Active")
                   .when(days <= cfg.fallback_dormant_days, "At Risk").otherwise("Dormant"))
     return df.select(
-        *cust, "industry", "region", "rep",
+        *cust, *[c for c in ("industry", "region", "rep") if c not in by],
         F.col("order_count").cast("bigint").alias("order_count"),
         "last_order_date",
         days.cast("bigint").alias("days_since_last_order"),

@@ -34,9 +34,7 @@ def by_customer(jobs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.avg("va_pct").alias("avg_va_pct"),
         F.max("sales_in").alias("last_order"),
         F.min("sales_in").alias("first_order"),
-        first_by_date("industry").alias("industry"),
-        first_by_date("region").alias("region"),
-        first_by_date("rep").alias("rep"),
+        *[first_by_date(c).alias(c) for c in ("industry", "region", "rep") if c not in by],
     )
     agg = agg.join(top_work_type(jobs, by), on=[*by, "customer_id"], how="left")
     total = agg.groupBy(*by).agg(F.sum("total_va_amount").alias("_total_va"))
@@ -52,7 +50,7 @@ def _present(df: DataFrame, by: Sequence[str]) -> DataFrame:
         rnd("total_va_amount").alias("total_va_amount"),
         rnd("total_quantity").alias("total_quantity"),
         "job_count", rnd("avg_va_pct").alias("avg_va_pct"),
-        "last_order", "first_order", "industry", "region", "rep", "top_work_type",
+        "last_order", "first_order", *[c for c in ("industry", "region", "rep") if c not in by], "top_work_type",
         rnd("value_share_pct").alias("value_share_pct"),
     )
 

@@ -254,3 +254,111 @@ def q_seasonality_summary(spark, sf_dir):
 @register("actual_vs_forecast")
 def q_actual_vs_forecast(spark, sf_dir):
     return season.actual_vs_forecast(jobs(spark, sf_dir))
+
+
+# --- ingest, derive, library, helpers ------------------------------------------------
+from inkbook.functions import fmt  # noqa: E402
+from inkbook.operators.common import top_k  # noqa: E402
+from inkbook.operators.derive import as_of as _as_of, years_of_data as _years  # noqa: E402
+from inkbook.sources import ingest, library  # noqa: E402
+from inkbook.sources.fixtures import raw_jobs_view, table  # noqa: E402
+
+
+@register("coerce_numeric")
+def q_coerce_numeric(spark, sf_dir):
+    return ingest.coerce_numeric(raw_jobs_view(spark, sf_dir)).select(
+        "row_key", "quantity", "sell_price", "va_pct")
+
+
+@register("coerce_dates")
+def q_coerce_dates(spark, sf_dir):
+    return ingest.coerce_dates(raw_jobs_view(spark, sf_dir)).select("row_key", "sales_in", "ship_date")
+
+
+@register("clean_keys")
+def q_clean_keys(spark, sf_dir):
+    return ingest.clean_keys(raw_jobs_view(spark, sf_dir)).select("row_key", "customer_id", "customer_name")
+
+
+@register("drop_unusable")
+def q_drop_unusable(spark, sf_dir):
+    return ingest.clean(raw_jobs_view(spark, sf_dir)).select("row_key", "customer_id", "sales_in")
+
+
+@register("fx_convert")
+def q_fx_convert(spark, sf_dir):
+    return jobs(spark, sf_dir).select("row_key", "currency", "fx_rate",
+                                      rnd("sell_price_base", 4).alias("sell_price_base"),
+                                      rnd("va_amount_base", 4).alias("va_amount_base"),
+                                      rnd("manual_adjustment_base", 4).alias("manual_adjustment_base"))
+
+
+@register("canonical_labels")
+def q_canonical_labels(spark, sf_dir):
+    j = jobs(spark, sf_dir)
+    lv = F.trim(F.coalesce(F.col("product_type"), F.lit("Unspecified")))
+    return j.groupBy(lv.alias("label_value"), "product_type_clean").agg(F.count(F.lit(1)).alias("job_count"))
+
+
+@register("lead_time")
+def q_lead_time(spark, sf_dir):
+    return jobs(spark, sf_dir).select("row_key", "sales_in", "ship_date", "lead_time_days")
+
+
+@register("margin_flags")
+def q_margin_flags(spark, sf_dir):
+    return jobs(spark, sf_dir).select("row_key", rnd("va_amount", 4).alias("va_amount"),
+                                      rnd("va_pct", 6).alias("va_pct"), "is_below_cost", "is_low_margin")
+
+
+@register("month_start")
+def q_month_start(spark, sf_dir):
+    return jobs(spark, sf_dir).select("row_key", "sales_in", "month_start")
+
+
+@register("as_of")
+def q_as_of(spark, sf_dir):
+    return _as_of(jobs(spark, sf_dir))
+
+
+@register("years_of_data")
+def q_years_of_data(spark, sf_dir):
+    return _years(jobs(spark, sf_dir)).select(rnd("years", 2).alias("years_of_data"))
+
+
+def _report_state(spark, sf_dir):
+    return library.report_state(library.events_as_report_events(table(spark, sf_dir, "events")))
+
+
+@register("report_state_latest")
+def q_report_state_latest(spark, sf_dir):
+    return _report_state(spark, sf_dir)
+
+
+@register("report_list")
+def q_report_list(spark, sf_dir):
+    return library.report_list(_report_state(spark, sf_dir))
+
+
+@register("latest_ready")
+def q_latest_ready(spark, sf_dir):
+    return library.latest_ready(_report_state(spark, sf_dir))
+
+
+@register("top_k_per_group")
+def q_top_k_per_group(spark, sf_dir):
+    bc = value.by_customer(jobs(spark, sf_dir), by=("region",))
+    top = top_k(bc, value.ORDER, 3, ("region",), rank_col="rank")
+    return top.select("region", "customer_id", "customer_name", rnd("total_va_amount").alias("total_va_amount"),
+                      F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("formatted_figures")
+def q_formatted_figures(spark, sf_dir):
+    wt = value.work_type_breakdown(jobs(spark, sf_dir))
+    total = wt.agg(F.sum("total_va_amount").alias("t"))
+    share = F.col("total_va_amount") / total.select("t").scalar() * 100
+    return wt.select("work_type", fmt.fmt_money("total_va_amount").alias("va_compact"),
+                     fmt.fmt_money_exact("total_va_amount").alias("va_exact"),
+                     fmt.fmt_pct(share).alias("va_share"), fmt.fmt_count("job_count").alias("jobs"),
+                     fmt.fmt_money(F.col("total_sell_price") / -1000).alias("sell_thousandth_negative"))

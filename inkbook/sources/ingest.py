@@ -49,7 +49,7 @@ def validate_columns(df: DataFrame) -> DataFrame:
 def coerce_numeric(df: DataFrame) -> DataFrame:
     """22 numeric columns; unparseable, NaN or missing become 0.0."""
     def num(c):
-        v = F.try_cast(F.col(c).cast("string"), "double") if dict(df.dtypes)[c] == "string" \
+        v = F.trim(F.col(c)).try_cast("double") if dict(df.dtypes)[c] == "string" \
             else F.col(c).cast("double")
         return F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0))
     return df.withColumns({c: num(c) for c in NUMERIC_COLUMNS})
@@ -64,7 +64,7 @@ def coerce_dates(df: DataFrame) -> DataFrame:
         if dict(df.dtypes)[c].startswith("timestamp"):
             return F.col(c).cast("date")
         s = F.trim(F.col(c).cast("string"))
-        return F.coalesce(F.try_cast(s, "date"),
+        return F.coalesce(s.try_cast("date"),
                           F.to_date(F.try_to_timestamp(s, F.lit("dd/MM/yyyy"))))
     return df.withColumns({c: dt(c) for c in DATE_COLUMNS})
 
