@@ -362,3 +362,58 @@ def q_formatted_figures(spark, sf_dir):
                      fmt.fmt_money_exact("total_va_amount").alias("va_exact"),
                      fmt.fmt_pct(share).alias("va_share"), fmt.fmt_count("job_count").alias("jobs"),
                      fmt.fmt_money(F.col("total_sell_price") / -1000).alias("sell_thousandth_negative"))
+
+
+# --- text audits ---------------------------------------------------------------------
+from inkbook.functions import text as tx  # noqa: E402
+from inkbook.operators import textaudit  # noqa: E402
+from inkbook.sources.fixtures import claims_view  # noqa: E402
+
+
+@register("numeric_tokens")
+def q_numeric_tokens(spark, sf_dir):
+    return textaudit.token_rows(claims_view(spark, sf_dir), ["claim_id"]).select("claim_id", "pos", "token")
+
+
+@register("canonical_figure")
+def q_canonical_figure(spark, sf_dir):
+    return textaudit.token_rows(claims_view(spark, sf_dir), ["claim_id"]).select("claim_id", "token", "canonical")
+
+
+@register("figure_violations")
+def q_figure_violations(spark, sf_dir):
+    c = claims_view(spark, sf_dir)
+    return textaudit.figure_violations(c.select("claim_id", "text"), c.select("claim_id", "allowed"), ["claim_id"])
+
+
+@register("hedged_figures")
+def q_hedged_figures(spark, sf_dir):
+    return claims_view(spark, sf_dir).select("claim_id", tx.hedged("text").alias("hedged"))
+
+
+@register("banned_characters")
+def q_banned_characters(spark, sf_dir):
+    return claims_view(spark, sf_dir).select("claim_id", tx.banned("text").alias("banned"))
+
+
+@register("text_quality")
+def q_text_quality(spark, sf_dir):
+    return textaudit.text_quality(claims_view(spark, sf_dir), ["claim_id"])
+
+
+@register("text_quality_documents")
+def q_text_quality_documents(spark, sf_dir):
+    return textaudit.text_quality(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@register("audit_verdict")
+def q_audit_verdict(spark, sf_dir):
+    c = claims_view(spark, sf_dir)
+    return textaudit.audit_verdict(c.select("claim_id", "text"), c.select("claim_id", "allowed"), ["claim_id"])
+
+
+@register("document_figures")
+def q_document_figures(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.size(tx.numeric_tokens("text")).cast("bigint").alias("n_figures"),
+                    tx.hedged("text").alias("hedged"), tx.banned("text").alias("banned"))
