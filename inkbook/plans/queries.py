@@ -417,3 +417,63 @@ def q_document_figures(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.size(tx.numeric_tokens("text")).cast("bigint").alias("n_figures"),
                     tx.hedged("text").alias("hedged"), tx.banned("text").alias("banned"))
+
+
+# --- quote benchmark -------------------------------------------------------------------
+from inkbook.operators import quote  # noqa: E402
+
+
+def _split(spark, sf_dir):
+    return quote.holdout_split(quote.price_features(jobs(spark, sf_dir)))
+
+
+@register("price_features")
+def q_price_features(spark, sf_dir):
+    f = quote.price_features(jobs(spark, sf_dir))
+    return f.select("row_key", *[rnd(c, 4).alias(c) for c in quote.NUMERIC_FEATURES],
+                    *quote.CATEGORICAL_FEATURES, rnd("label", 6).alias("label"))
+
+
+@register("holdout_split")
+def q_holdout_split(spark, sf_dir):
+    return _split(spark, sf_dir).select("row_key", "is_test")
+
+
+@register("comparable_baseline")
+def q_comparable_baseline(spark, sf_dir):
+    return quote.comparable_baseline(_split(spark, sf_dir)).select(
+        "row_key", rnd("expected_price", 2).alias("expected_price"))
+
+
+@register("benchmark_metrics")
+def q_benchmark_metrics(spark, sf_dir):
+    s = _split(spark, sf_dir)
+    return quote.benchmark_metrics(quote.comparable_baseline(s), s)
+
+
+@register("underpriced_jobs")
+def q_underpriced_jobs(spark, sf_dir):
+    return quote.underpriced_jobs(quote.comparable_baseline(_split(spark, sf_dir)))
+
+
+@register("underpriced_summary")
+def q_underpriced_summary(spark, sf_dir):
+    return quote.underpriced_summary(quote.comparable_baseline(_split(spark, sf_dir)))
+
+
+@register("train_price_model")
+def q_train_price_model(spark, sf_dir):
+    s = _split(spark, sf_dir)
+    model, reason = quote.train_price_model(s)
+    if model is None:
+        return spark.createDataFrame([], "row_key string, expected_price double")
+    return quote.model_predictions(model, s).select("row_key", rnd("expected_price", 2).alias("expected_price"))
+
+
+@register("price_model_metrics")
+def q_price_model_metrics(spark, sf_dir):
+    s = _split(spark, sf_dir)
+    model, _ = quote.train_price_model(s)
+    if model is None:
+        return spark.createDataFrame([], "r2_log double")
+    return quote.benchmark_metrics(quote.model_predictions(model, s), s)
