@@ -131,4 +131,6 @@ ORACLE: dict[str, str] = {}
 
 
 def q(key: str, final: str, *deps: str) -> None:
+    """Register a query; its result is also a CTE ``q_<key>`` for later marts."""
     ORACLE[key] = build(final, *deps)
+    cte(f"q_{key}", final, *deps)

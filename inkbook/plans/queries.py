@@ -477,3 +477,22 @@ def q_price_model_metrics(spark, sf_dir):
     if model is None:
         return spark.createDataFrame([], "r2_log double")
     return quote.benchmark_metrics(quote.model_predictions(model, s), s)
+
+
+# --- findings and brief metrics -----------------------------------------------------------
+from inkbook.operators import findings  # noqa: E402
+
+
+@register("at_stake")
+def q_at_stake(spark, sf_dir):
+    return findings.at_stake(jobs(spark, sf_dir))
+
+
+@register("executive_findings")
+def q_executive_findings(spark, sf_dir):
+    return findings.executive_findings(jobs(spark, sf_dir))
+
+
+@register("brief_metrics")
+def q_brief_metrics(spark, sf_dir):
+    return findings.brief_metrics(jobs(spark, sf_dir))
