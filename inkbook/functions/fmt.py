@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from inkbook.config import DEFAULT
 from inkbook.operators.common import col, rnd
 
-NA = F.lit("n/a")
+def _na():
+    return F.lit("n/a")
 
 
 def fmt_money(c, symbol: str = DEFAULT.base_currency_symbol) -> Column:
@@ -19,28 +20,28 @@ def fmt_money(c, symbol: str = DEFAULT.base_currency_symbol) -> Column:
     body = (F.when(a >= 1_000_000, F.concat(F.format_string("%.1f", rnd(a / 1_000_000, 1)), F.lit("M")))
             .when(a >= 1_000, F.concat(F.format_string("%.0f", rnd(a / 1_000, 0)), F.lit("k")))
             .otherwise(F.format_number(rnd(a, 0), 0)))
-    return F.when(v.isNull(), NA).otherwise(F.concat(sign, F.lit(symbol), body))
+    return F.when(v.isNull(), _na()).otherwise(F.concat(sign, F.lit(symbol), body))
 
 
 def fmt_money_exact(c, symbol: str = DEFAULT.base_currency_symbol) -> Column:
     v = col(c).cast("double")
-    return F.when(v.isNull(), NA).otherwise(F.concat(F.lit(symbol), F.format_number(rnd(F.abs(v), 0), 0)))
+    return F.when(v.isNull(), _na()).otherwise(F.concat(F.lit(symbol), F.format_number(rnd(F.abs(v), 0), 0)))
 
 
 def fmt_pct(c, digits: int = 1) -> Column:
     v = col(c).cast("double")
-    return F.when(v.isNull(), NA).otherwise(F.concat(F.format_string(f"%.{digits}f", rnd(v, digits)), F.lit("%")))
+    return F.when(v.isNull(), _na()).otherwise(F.concat(F.format_string(f"%.{digits}f", rnd(v, digits)), F.lit("%")))
 
 
 def fmt_count(c) -> Column:
     v = col(c)
-    return F.when(v.isNull(), NA).otherwise(F.format_number(v.cast("bigint"), 0))
+    return F.when(v.isNull(), _na()).otherwise(F.format_number(v.cast("bigint"), 0))
 
 
 def fmt_days(c) -> Column:
     """Days as 'in Nd' / 'Nd ago' / 'today' (reorder table labels)."""
     v = col(c).cast("bigint")
-    return (F.when(v.isNull(), NA).when(v > 0, F.concat(F.lit("in "), v.cast("string"), F.lit("d")))
+    return (F.when(v.isNull(), _na()).when(v > 0, F.concat(F.lit("in "), v.cast("string"), F.lit("d")))
             .when(v < 0, F.concat((-v).cast("string"), F.lit("d ago"))).otherwise(F.lit("today")))
 
 

@@ -13,19 +13,20 @@ from pyspark.sql import functions as F
 from inkbook.config import DEFAULT, Config
 from inkbook.operators.common import attach, msum, not_null, pct_of, rnd, top_k
 
-LEAD = F.col("lead_time_days")
+def _lead():
+    return F.col("lead_time_days")
 
 
 def measured(jobs: DataFrame) -> DataFrame:
-    return jobs.filter(LEAD.isNotNull())
+    return jobs.filter(_lead().isNotNull())
 
 
 def _stats(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(
         F.count("job_id").alias("job_count"),
-        F.median(LEAD).alias("median_days"),
-        F.avg(LEAD).alias("mean_days"),
-        F.percentile(LEAD, 0.9).alias("p90_days"),
+        F.median(_lead()).alias("median_days"),
+        F.avg(_lead()).alias("mean_days"),
+        F.percentile(_lead(), 0.9).alias("p90_days"),
         msum("sell_price_base").alias("_sell"))
 
 
@@ -45,7 +46,7 @@ def turnaround_by_product(jobs: DataFrame, by: Sequence[str] = (), cfg: Config =
 
 def _trend(jobs: DataFrame, by: Sequence[str]) -> DataFrame:
     return not_null(measured(jobs), *by, "month_start").groupBy(*by, "month_start").agg(
-        F.median(LEAD).alias("median_days"), F.count("job_id").alias("job_count"))
+        F.median(_lead()).alias("median_days"), F.count("job_id").alias("job_count"))
 
 
 def turnaround_trend(jobs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -57,10 +58,10 @@ def slowest_vs_norm(jobs: DataFrame, by: Sequence[str] = (), cfg: Config = DEFAU
     """Jobs furthest over their own product's median lead time. The medians
     are a grouped aggregate joined back (one row per product)."""
     d = not_null(measured(jobs), *by, "product_type_clean")
-    med = d.groupBy(*by, "product_type_clean").agg(F.median(LEAD).alias("_norm"))
-    j = d.join(med, on=[*by, "product_type_clean"]).withColumn("_over", LEAD - F.col("_norm"))
+    med = d.groupBy(*by, "product_type_clean").agg(F.median(_lead()).alias("_norm"))
+    j = d.join(med, on=[*by, "product_type_clean"]).withColumn("_over", _lead() - F.col("_norm"))
     order = [F.col("_over").desc(), F.col("job_id").asc(), F.col("customer_name").asc(),
-             F.col("product_type_clean").asc(), F.col("work_type").asc(), LEAD.desc(),
+             F.col("product_type_clean").asc(), F.col("work_type").asc(), _lead().desc(),
              F.col("sell_price_base").desc()]
     top = top_k(j, order, cfg.top_slowest_jobs, by)
     return top.select(*by, "job_id", "customer_name", F.col("product_type_clean").alias("product_type"),
@@ -73,8 +74,8 @@ def turnaround_summary(jobs: DataFrame, by: Sequence[str] = (), cfg: Config = DE
     d = measured(jobs)
     overall = d.groupBy(*by).agg(
         F.count(F.lit(1)).alias("jobs_measured"),
-        F.median(LEAD).alias("_median"), F.avg(LEAD).alias("_mean"),
-        F.percentile(LEAD, 0.9).alias("_p90"))
+        F.median(_lead()).alias("_median"), F.avg(_lead()).alias("_mean"),
+        F.percentile(_lead(), 0.9).alias("_p90"))
     all_rows = jobs.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"))
     wt = _stats(not_null(d, *by, "work_type"), [*by, "work_type"]).groupBy(*by).agg(
         F.min_by("work_type", F.struct("median_days", "work_type")).alias("fastest_work_type"),
@@ -90,7 +91,7 @@ def turnaround_summary(jobs: DataFrame, by: Sequence[str] = (), cfg: Config = DE
         F.avg(F.when(recent, F.col("median_days"))).alias("_recent"),
         F.avg(F.when(~recent, F.col("median_days"))).alias("_prior"))
     df = attach(attach(attach(overall, all_rows, by), wt, by), trend, by)
-    tail = attach(d, overall.select(*by, "_p90"), by).filter(LEAD > F.col("_p90")).groupBy(*by).agg(
+    tail = attach(d, overall.select(*by, "_p90"), by).filter(_lead() > F.col("_p90")).groupBy(*by).agg(
         F.count(F.lit(1)).alias("tail_job_count"), msum("sell_price_base").alias("_tail_sell"))
     df = attach(df, tail, by)
     change = F.when(F.col("_months") > cfg.trend_recent_months,

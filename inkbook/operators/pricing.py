@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from inkbook.config import DEFAULT, Config
 from inkbook.operators.common import attach, msum, not_null, pct_of, rnd, top_k
 
-ADJ = F.col("manual_adjustment_base")
+def _adj():
+    return F.col("manual_adjustment_base")
 
 
 def _discounts(jobs: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
-    cut = ADJ < 0
+    cut = _adj() < 0
     agg = not_null(jobs, *by, key).groupBy(*by, key).agg(
-        F.abs(msum(F.when(cut, ADJ))).alias("_disc"),
+        F.abs(msum(F.when(cut, _adj()))).alias("_disc"),
         F.count(F.when(cut, F.col("job_id"))).alias("discounted_jobs"),
         F.count(F.when(cut, 1)).alias("_cut_rows"),
         F.count("job_id").alias("all_jobs"),
@@ -59,11 +60,11 @@ def below_cost_by_customer(jobs: DataFrame, by: Sequence[str] = (), cfg: Config
 def pricing_summary(jobs: DataFrame, by: Sequence[str] = (), cfg: Config = DEFAULT) -> DataFrame:
     main = jobs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_jobs"),
-        F.count(F.when(ADJ != 0, 1)).alias("overridden_jobs"),
-        F.count(F.when(ADJ < 0, 1)).alias("discounted_jobs"),
-        F.count(F.when(ADJ > 0, 1)).alias("uplifted_jobs"),
-        F.coalesce(msum(F.when(ADJ < 0, ADJ)), F.lit(0)).alias("_disc"),
-        F.coalesce(msum(F.when(ADJ > 0, ADJ)), F.lit(0)).alias("_upl"),
+        F.count(F.when(_adj() != 0, 1)).alias("overridden_jobs"),
+        F.count(F.when(_adj() < 0, 1)).alias("discounted_jobs"),
+        F.count(F.when(_adj() > 0, 1)).alias("uplifted_jobs"),
+        F.coalesce(msum(F.when(_adj() < 0, _adj())), F.lit(0)).alias("_disc"),
+        F.coalesce(msum(F.when(_adj() > 0, _adj())), F.lit(0)).alias("_upl"),
         msum("sell_price_base").alias("_sell"),
         F.count(F.when(F.col("is_below_cost"), 1)).alias("below_cost_jobs"),
         F.coalesce(msum(F.when(F.col("is_below_cost"), F.col("va_amount_base"))), F.lit(0)).alias("_bva"),

@@ -12,7 +12,9 @@ from inkbook.operators.cadence import CUSTOMER
 from inkbook.operators.common import (attach, dbl, first_by_date, msum, not_null, rnd, running_sum,
                                       top_k)
 
-ORDER = [F.col("total_va_amount").desc(), F.col("customer_id").asc(), F.col("customer_name").asc()]
+def customer_order():
+    """Value order with unique tie-breaks (id, name)."""
+    return [F.col("total_va_amount").desc(), F.col("customer_id").asc(), F.col("customer_name").asc()]
 
 
 def top_work_type(jobs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -59,7 +61,7 @@ def customer_value(jobs: DataFrame, by: Sequence[str] = (), cfg: Config = DEFAUL
                    k: int | None = None) -> DataFrame:
     """Top customers by value added (V1)."""
     bc = by_customer(jobs, by)
-    return _present(top_k(bc, ORDER, k or cfg.top_customers, by), by)
+    return _present(top_k(bc, customer_order(), k or cfg.top_customers, by), by)
 
 
 def _breakdown(jobs: DataFrame, key: str, by: Sequence[str], out: str | None = None) -> DataFrame:
@@ -92,7 +94,7 @@ def industry_breakdown(jobs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def pareto_80(bc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Customers whose running share of VA stays within 80% (floor 1)."""
-    run = running_sum(bc, "total_va_amount", ORDER, by, "_cum")
+    run = running_sum(bc, "total_va_amount", customer_order(), by, "_cum")
     cum_share = F.when(F.col("_total_va") != 0,
                        dbl("_cum") / dbl("_total_va") * F.lit(100.0)).otherwise(F.lit(0.0))
     agg = run.groupBy(*by).agg(
@@ -106,7 +108,7 @@ def pareto_80(bc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def _shape_parts(bc: DataFrame, by: Sequence[str], cfg: Config):
     """Top ranks (enough for every rank-based figure) and whole-mart counts."""
-    top = top_k(bc, ORDER, cfg.max_ranks_considered + 2, by, rank_col="rank")
+    top = top_k(bc, customer_order(), cfg.max_ranks_considered + 2, by, rank_col="rank")
     w = Window.partitionBy(*by).orderBy("rank")
     nxt = F.lead("total_va_amount").over(w)
     top = top.withColumn(
