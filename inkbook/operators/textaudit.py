@@ -78,9 +78,14 @@ def brief_allowed(computed: DataFrame) -> DataFrame:
 
 
 def _label(section, ordinal, field):
-    return F.when(F.col(section).isin("title"), F.col(section)) \
-        .when(F.col(ordinal).isNull(), F.concat_ws(".", F.col(section), F.col(field))) \
-        .otherwise(F.concat(F.col(section), F.lit("["), F.col(ordinal).cast("string"), F.lit("]."), F.col(field)))
+    """Field label as the published problems name it (metrics[0].label,
+    breakdown.rows[1].description, actions.items[0].body, hero.caption)."""
+    sec = F.col(section)
+    path = F.when(sec == "breakdown", F.lit("breakdown.rows")).when(sec == "actions", F.lit("actions.items")) \
+        .otherwise(sec)
+    return F.when(sec == "title", sec) \
+        .when(F.col(ordinal).isNull(), F.concat_ws(".", sec, F.col(field))) \
+        .otherwise(F.concat(path, F.lit("["), F.col(ordinal).cast("string"), F.lit("]."), F.col(field)))
 
 
 # Which fields are scanned for figures, hedges and banned characters.
@@ -89,12 +94,47 @@ SCANNED = {("title", None), ("hero", "caption"), ("hero", "body"), ("metrics", "
            ("actions", "title"), ("actions", "badge"), ("actions", "body")}
 
 
+def brief_to_rows(brief: dict, report_id: int, area: str) -> list[tuple]:
+    """Nested brief -> long rows (report_id, area, section, ordinal, field,
+    text). A small per-brief helper for building test and input tables."""
+    out = []
+
+    def add(section, ordinal, field, text):
+        if text is not None:
+            out.append((report_id, area, section, ordinal, field, str(text)))
+
+    add("title", None, "text", brief.get("title"))
+    for i, m in enumerate(brief.get("metrics") or []):
+        for f in ("label", "value", "sublabel"):
+            add("metrics", i, f, m.get(f))
+    for f in ("value", "caption", "body"):
+        add("hero", None, f, (brief.get("hero") or {}).get(f))
+    b = brief.get("breakdown") or {}
+    add("breakdown", None, "title", b.get("title"))
+    for j, c in enumerate(b.get("columns") or []):
+        add("columns", j, "text", c)
+    for i, r in enumerate(b.get("rows") or []):
+        for f in ("category", "description", "value", "share"):
+            add("breakdown", i, f, r.get(f))
+    a = brief.get("actions") or {}
+    add("actions", None, "title", a.get("title"))
+    for i, it in enumerate(a.get("items") or []):
+        for f in ("title", "badge", "tone", "body"):
+            add("actions", i, f, it.get(f))
+    return out
+
+
+BRIEF_SCHEMA = "report_id bigint, area string, section string, ordinal int, field string, text string"
+
+
 def brief_problems(generated: DataFrame, computed: DataFrame) -> DataFrame:
     """Problems of a generated brief: figure, hedge and banned-character
     checks on the scanned fields plus the quality rules. Returns
     (report_id, area, problem)."""
     keys = list(BRIEF_KEYS)
-    g = generated.withColumn("label", _label("section", "ordinal", "field"))
+    # ordinal is NULL for single fields (hero, titles); join keys must not be
+    g = generated.withColumn("label", _label("section", "ordinal", "field")) \
+        .withColumn("ordinal", F.coalesce(F.col("ordinal"), F.lit(-1)))
     scanned = F.lit(False)
     for sec, fld in SCANNED:
         cond = F.col("section") == sec
@@ -133,7 +173,7 @@ def brief_quality(brief: DataFrame) -> DataFrame:
 
     has_digit = lambda c: t(c).rlike("[0-9]")
     hero = pv.filter(F.col("section") == "hero")
-    rows = pv.filter(F.col("section") == "breakdown")
+    rows = pv.filter((F.col("section") == "breakdown") & F.col("ordinal").isNotNull())
     acts = pv.filter(F.col("section") == "actions")
     ordn = F.col("ordinal").cast("string")
     hero_p = hero.select(*keys, F.explode(F.filter(F.array(
@@ -176,8 +216,9 @@ def authoritative_merge(generated: DataFrame, computed: DataFrame) -> DataFrame:
     forced = ((F.col("section") == "hero") & (F.col("field") == "value")) | \
         ((F.col("section") == "metrics") & (F.col("field") == "value")) | \
         ((F.col("section") == "breakdown") & F.col("field").isin("value", "share", "category", "columns"))
-    comp = computed.select(*keys, F.col("text").alias("_c"))
-    j = generated.join(comp, on=[*keys[:3], *keys[3:]], how="left")
+    nn = F.coalesce(F.col("ordinal"), F.lit(-1)).alias("_o")
+    comp = computed.select(*keys[:3], nn, "field", F.col("text").alias("_c"))
+    j = generated.select("*", nn).join(comp, on=[*keys[:3], "_o", "field"], how="left").drop("_o")
     hero_val = computed.filter((F.col("section") == "hero") & (F.col("field") == "value")) \
         .select("report_id", "area", F.trim(F.col("text")).alias("_hv"))
     hero_cap = computed.filter((F.col("section") == "hero") & (F.col("field") == "caption")) \
