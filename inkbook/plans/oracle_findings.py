@@ -123,3 +123,69 @@ ROWS = [
 q("brief_metrics", "\nUNION ALL\n".join(ROWS), "conc", "q_pricing_summary", "ro_counts", "q_reorder_summary",
   "q_churn_summary", "q_seasonality_summary", "q_turnaround_summary", "q_benchmark_metrics",
   "q_underpriced_summary", "q_repeat_summary", "q_dataset_summary")
+
+
+def num0(x: str) -> str:
+    return f"format('{{:,.0f}}', {R(x, 0)})"
+
+
+def pct0(x: str) -> str:
+    return pct(x, 0)
+
+
+def b(area, ordinal, category, val, share, src):
+    o = "CAST(NULL AS BIGINT)" if ordinal is None else f"CAST({ordinal} AS BIGINT)"
+    return (f"SELECT '{area}' AS area, {o} AS ordinal, {category} AS category, {val} AS value_text, "
+            f"{share} AS share_text FROM {src}")
+
+
+cte("pricing_sell", f"SELECT p.*, (SELECT CAST(sum(CAST(sell_price_base AS DECIMAL(28,8))) AS DOUBLE) FROM jd) AS sell "
+    "FROM q_pricing_summary p", "q_pricing_summary", "jd")
+cte("ro_b", """
+SELECT count(*) FILTER (WHERE status = 'Overdue') AS overdue, count(*) FILTER (WHERE status = 'Due soon') AS due,
+       count(*) FILTER (WHERE status <> 'Insufficient history') AS predictable_customers FROM reorder""", "reorder")
+BROWS = [
+    b("pricing", 0, "'Price reductions'", money("discount_total"), pct("discount_as_pct_of_sales"), "pricing_sell"),
+    b("pricing", 1, "'Price uplifts'", money("uplift_total"),
+      f"CASE WHEN sell <> 0 THEN {pct('uplift_total / sell * 100')} ELSE 'n/a' END", "pricing_sell"),
+    b("pricing", 2, "'Jobs below cost'", "'-' || " + money("abs(below_cost_va)"),
+      count("below_cost_jobs") + " || ' jobs'", "pricing_sell"),
+    b("pricing", 3, "'Low-margin work'", money("low_margin_sell_value"), pct("low_margin_pct") + " || ' of jobs'",
+      "pricing_sell"),
+    b("reorder", 0, "'Overdue'", count("overdue"), "'This week'", "ro_b"),
+    b("reorder", 1, "'Due soon'", count("due"), "'Next fortnight'", "ro_b"),
+    b("reorder", 2, "'On track'", count("greatest(predictable_customers - overdue - due, 0)"), "'Monitor only'", "ro_b"),
+    b("churn", 0, "'Active'", count("active"), "'None'", "q_churn_summary"),
+    b("churn", 1, "'At risk'", count("at_risk"), "'Contact this week'", "q_churn_summary"),
+    b("churn", 2, "'Dormant'", count("dormant"), "'Win-back campaign'", "q_churn_summary"),
+    b("seasonality", 0, "'Peak (' || peak_month || ')'", pct0("peak_index"), "'Book capacity early'",
+      "q_seasonality_summary"),
+    b("seasonality", 1, "'Trough (' || trough_month || ')'", pct0("trough_index"), "'Schedule maintenance'",
+      "q_seasonality_summary"),
+    b("seasonality", 2, "'Recent press load'", num0("press_hours_recent_avg") + " || ' hrs'", "'Baseline'",
+      "q_seasonality_summary"),
+    b("seasonality", 3, "'Peak press load'", num0("press_hours_peak_month") + " || ' hrs'", "'Capacity ceiling'",
+      "q_seasonality_summary"),
+    b("repeat_business", 0, "'Recurring titles'", count("repeat_titles"), "'Predictable, defensible revenue'",
+      "q_repeat_summary"),
+    b("repeat_business", 1, "'Overdue a reprint'", count("titles_due_reprint"),
+      money("reprint_pipeline_value") + " || ' callable now'", "q_repeat_summary"),
+    b("repeat_business", 2, "'One-off titles'", count("one_off_titles"), "'Needs a reason to return'",
+      "q_repeat_summary"),
+    b("repeat_business", 3, "'Most reprinted title'", "CAST(max_runs AS VARCHAR) || ' runs'", "'Proof the model works'",
+      "q_repeat_summary"),
+    b("quote_guard", 0, "'Typical error'", pct("median_abs_pct_error"), "'Good'", "q_benchmark_metrics"),
+    b("quote_guard", 1, "'Within 10%'", pct("within_10pct"), "'Usable as a guide'", "q_benchmark_metrics"),
+    b("quote_guard", 2, "'Within 25%'", pct("within_25pct"), "'Strong'", "q_benchmark_metrics"),
+    b("quote_guard", 3, "'Tested on'", count("test_rows") + " || ' jobs'", "'Honest measure'", "q_benchmark_metrics"),
+    b("customer_value", None, "work_type", money("total_va_amount"),
+      pct0("total_va_amount / CASE WHEN t <> 0 THEN t ELSE 1.0 END * 100"),
+      "(SELECT w.*, (SELECT CAST(sum(CAST(total_va_amount AS DECIMAL(28,8))) AS DOUBLE) "
+      "FROM q_work_type_breakdown) AS t FROM q_work_type_breakdown w) x"),
+    b("delivery", None, "work_type", days("median_days"), days("p90_days"), "q_turnaround_by_work_type"),
+    b("data_quality", None, "currency", num0("sell_price_native"), money("sell_price_base"), "q_currency_split"),
+    b("data_quality", None, "'Reported total (GBP)'", "'n/a'", money("total_sell_price"), "q_dataset_summary"),
+]
+q("brief_breakdown", "\nUNION ALL\n".join(BROWS), "pricing_sell", "ro_b", "q_churn_summary", "q_seasonality_summary",
+  "q_repeat_summary", "q_benchmark_metrics", "q_work_type_breakdown", "q_turnaround_by_work_type",
+  "q_currency_split", "q_dataset_summary")

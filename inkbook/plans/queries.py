@@ -511,3 +511,8 @@ def q_executive_findings(spark, sf_dir):
 @register("brief_metrics")
 def q_brief_metrics(spark, sf_dir):
     return findings.brief_metrics(jobs(spark, sf_dir))
+
+
+@register("brief_breakdown")
+def q_brief_breakdown(spark, sf_dir):
+    return findings.brief_breakdown(jobs(spark, sf_dir))
