@@ -98,10 +98,12 @@ def attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def running_sum(df: DataFrame, value, order: Sequence[Column], by: Sequence[str],
-                out: str, partitions: int | None = None) -> DataFrame:
+                out: str, partitions: int | None = None, total: str | None = None) -> DataFrame:
     """Running total in ``order`` (per ``by`` group) without a single-partition
     window: range-partition on (by, order), total each partition (a tiny
-    table), turn those into offsets, then run a local window per partition."""
+    table: one row per group and partition), turn those into offsets, then
+    run a local window per partition. ``total`` also attaches the group total,
+    read off the same tiny table."""
     by = list(by)
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -109,12 +111,14 @@ def running_sum(df: DataFrame, value, order: Sequence[Column], by: Sequence[str]
     ranged = df.repartitionByRange(n, *[F.col(b) for b in by], *order) \
         .withColumn("_pid", F.spark_partition_id())
     part = ranged.groupBy(*by, "_pid").agg(F.sum(v).alias("_psum"))
+    zero = F.lit(0).cast(part.schema["_psum"].dataType)
     offs = part.withColumn(
         "_off",
         F.coalesce(F.sum("_psum").over(
-            Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0).cast(part.schema["_psum"].dataType)),
-    ).drop("_psum")
+            Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), zero))
+    if total:
+        offs = offs.withColumn(total, F.sum("_psum").over(Window.partitionBy(*by)))
+    offs = offs.drop("_psum")
     w = Window.partitionBy(*by, "_pid").orderBy(*order) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumn("_loc", F.sum(v).over(w))
@@ -132,9 +136,7 @@ def exact_quantiles(df: DataFrame, value, keys: Sequence[str], qs: dict[str, flo
     v = col(value)
     d = df.select(*keys, v.cast("double").alias("_v")).filter(F.col("_v").isNotNull()) \
         .withColumn("_one", F.lit(1).cast("bigint"))
-    ranked = running_sum(d, "_one", [F.col("_v").asc()], keys, "_rank")
-    n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    r = ranked.join(n, on=keys, how="inner") if keys else ranked.withColumn("_n", n.select("_n").scalar())
+    r = running_sum(d, "_one", [F.col("_v").asc()], keys, "_rank", total="_n")
     aggs = []
     for name, q in qs.items():
         pos = (F.col("_n") - 1).cast("double") * F.lit(float(q))

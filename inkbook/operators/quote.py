@@ -55,17 +55,25 @@ def comparable_baseline(split: DataFrame, by: Sequence[str] = (), exact: bool =
         .withColumn("_lpu", F.log1p(F.col("actual_price") / F.col("quantity")))
     test = split.filter(F.col("is_test"))
 
-    def med(keys):
-        if exact:
-            return exact_quantiles(train, "_lpu", [*by, *keys], {"m": 0.5})
-        return train.groupBy(*by, *keys).agg(F.percentile_approx("_lpu", 0.5, 10000).alias("m"))
-
-    m1 = med(["work_type", "product_type_clean"]).withColumnRenamed("m", "_m1")
-    m2 = med(["work_type"]).withColumnRenamed("m", "_m2")
-    m3 = med([]).withColumnRenamed("m", "_m3")
+    # The three medians (work type x product, work type, all) in one pass:
+    # the training rows are tagged once per level, like grouping sets.
+    levels = F.explode(F.array(
+        F.struct(F.lit(1).alias("_lvl"), F.col("work_type").alias("_wt"), F.col("product_type_clean").alias("_pt")),
+        F.struct(F.lit(2).alias("_lvl"), F.col("work_type").alias("_wt"), F.lit("").alias("_pt")),
+        F.struct(F.lit(3).alias("_lvl"), F.lit("").alias("_wt"), F.lit("").alias("_pt"))))
+    tagged = train.select(*by, "_lpu", levels.alias("_level")).select(*by, "_lpu", "_level.*")
+    keys = [*by, "_lvl", "_wt", "_pt"]
+    if exact:
+        meds = exact_quantiles(tagged, "_lpu", keys, {"m": 0.5})
+    else:
+        meds = tagged.groupBy(*keys).agg(F.percentile_approx("_lpu", 0.5, 10000).alias("m"))
+    m1 = meds.filter(F.col("_lvl") == 1).select(*by, F.col("_wt").alias("work_type"),
+                                                 F.col("_pt").alias("product_type_clean"), F.col("m").alias("_m1"))
+    m2 = meds.filter(F.col("_lvl") == 2).select(*by, F.col("_wt").alias("work_type"), F.col("m").alias("_m2"))
+    m3 = meds.filter(F.col("_lvl") == 3).select(*by, F.col("m").alias("_m3"))
     j = test.join(m1, on=[*by, "work_type", "product_type_clean"], how="left") \
         .join(m2, on=[*by, "work_type"], how="left")
-    j = attach(j, m3, by)
+    j = j.join(m3, on=by, how="left") if by else j.withColumn("_m3", m3.select("_m3").scalar())
     m = F.coalesce("_m1", "_m2", "_m3")
     return j.withColumn("expected_price", F.expm1(m) * F.col("quantity")).drop("_m1", "_m2", "_m3")
 
@@ -108,11 +116,11 @@ def benchmark_metrics(scored: DataFrame, split: DataFrame, by: Sequence[str] = (
     s = scored.withColumns({
         "_y": F.col("label"), "_p": F.log1p("expected_price"),
         "_pe": F.abs(F.col("expected_price") - F.col("actual_price")) / F.col("actual_price")})
-    mean_y = s.groupBy(*by).agg(F.avg("_y").alias("_ybar"))
-    s = attach(s, mean_y, by)
+    # One pass: total sum of squares as sum(y^2) - (sum y)^2 / n (log prices
+    # are small, so the subtraction loses nothing that rounding keeps).
     agg = s.groupBy(*by).agg(
-        (F.lit(1.0) - F.sum((F.col("_y") - F.col("_p")) ** 2) / F.sum((F.col("_y") - F.col("_ybar")) ** 2))
-        .alias("_r2"),
+        (F.lit(1.0) - F.sum((F.col("_y") - F.col("_p")) ** 2)
+         / (F.sum(F.col("_y") ** 2) - F.sum("_y") ** 2 / F.count(F.lit(1)))).alias("_r2"),
         F.avg(F.abs(F.col("expected_price") - F.col("actual_price"))).alias("_mae"),
         F.avg(F.when(F.col("_pe") <= 0.10, 1.0).otherwise(0.0)).alias("_w10"),
         F.avg(F.when(F.col("_pe") <= 0.25, 1.0).otherwise(0.0)).alias("_w25"))

@@ -476,10 +476,23 @@ def q_underpriced_summary(spark, sf_dir):
     return quote.underpriced_summary(quote.comparable_baseline(_split(spark, sf_dir)))
 
 
+_MODELS: dict[str, tuple] = {}
+
+
+def _model(spark, sf_dir):
+    """Fit once per data folder in report-build mode (one model per report);
+    standalone queries fit their own."""
+    s = _split(spark, sf_dir)
+    if not _SHARE["on"]:
+        return (*quote.train_price_model(s), s)
+    if sf_dir not in _MODELS:
+        _MODELS[sf_dir] = (*quote.train_price_model(s), s)
+    return _MODELS[sf_dir]
+
+
 @register("train_price_model")
 def q_train_price_model(spark, sf_dir):
-    s = _split(spark, sf_dir)
-    model, reason = quote.train_price_model(s)
+    model, reason, s = _model(spark, sf_dir)
     if model is None:
         return spark.createDataFrame([], "row_key string, expected_price double")
     return quote.model_predictions(model, s).select("row_key", rnd("expected_price", 2).alias("expected_price"))
@@ -487,8 +500,7 @@ def q_train_price_model(spark, sf_dir):
 
 @register("price_model_metrics")
 def q_price_model_metrics(spark, sf_dir):
-    s = _split(spark, sf_dir)
-    model, _ = quote.train_price_model(s)
+    model, _, s = _model(spark, sf_dir)
     if model is None:
         return spark.createDataFrame([], "r2_log double")
     return quote.benchmark_metrics(quote.model_predictions(model, s), s)

@@ -203,3 +203,13 @@ def test_results_do_not_depend_on_partitioning(spark):
     b = sorted(map(tuple, REGISTRY["customer_value"](spark, sf).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert a == b
+
+
+def test_boosted_model_beats_comparable_baseline(spark):
+    from inkbook.plans.queries import REGISTRY
+    sf = "/root/testdata/sf0.001"
+    gbt = REGISTRY["price_model_metrics"](spark, sf).first()
+    base = REGISTRY["benchmark_metrics"](spark, sf).first()
+    assert gbt.test_rows == base.test_rows > 0
+    assert gbt.median_abs_pct_error < base.median_abs_pct_error
+    assert gbt.r2_log > base.r2_log
