@@ -124,8 +124,6 @@ def _shape_parts(bc: DataFrame, by: Sequence[str], cfg: Config):
         F.max("_v1").alias("_v1"),
         F.count(F.lit(1)).alias("customer_count"),
         F.sum("total_va_amount").alias("_total"),
-        F.array_sort(F.collect_list(F.when(tied, F.struct(
-            -F.col("total_va_amount"), F.col("customer_id"), F.col("customer_name"))))).alias("_tied_list"),
     )
     return top, counts
 
@@ -182,8 +180,12 @@ def concentration_summary(bc: DataFrame, by: Sequence[str] = (), cfg: Config = D
         "tied_n": F.greatest(F.col("tied_count"), F.lit(1)),
         "ahead_n": F.greatest(F.col("ahead_count"), F.lit(1)),
     })
-    j = top.join(base.select(*by, "lead_n", "ahead_n"), on=by) if by else top.withColumns(
-        {c: base.select(c).scalar() for c in ("lead_n", "ahead_n")})
+    j = top.join(base.select(*by, "lead_n", "ahead_n", "_v1"), on=by) if by else top.withColumns(
+        {c: base.select(c).scalar() for c in ("lead_n", "ahead_n", "_v1")})
+    # Names of tied accounts come from the ranks already held (top 12); the
+    # tied count itself is exact over all customers.
+    tied = (F.col("total_va_amount") > 0) & \
+        (F.lit(1.0) - dbl("total_va_amount") / dbl("_v1") <= cfg.near_tie_pct)
     r = F.col("rank")
     va = F.col("total_va_amount")
     ranks = j.groupBy(*by).agg(
@@ -198,6 +200,8 @@ def concentration_summary(bc: DataFrame, by: Sequence[str] = (), cfg: Config = D
         F.max(F.when(r == F.col("lead_n") + 1, F.col("customer_name"))).alias("next_after_leading_name"),
         F.max(F.when(r == F.col("lead_n") + 1, va)).alias("_vnext"),
         F.max(F.when(r == F.col("ahead_n") + 1, va)).alias("_vtail"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(tied, F.struct(r, F.col("customer_name"))))),
+                                 lambda x: x["customer_name"]), ", ").alias("_tied_names"),
     )
     df = base.join(ranks, on=by) if by else base.withColumns(
         {c: ranks.select(c).scalar() for c in ranks.columns})
@@ -207,8 +211,7 @@ def concentration_summary(bc: DataFrame, by: Sequence[str] = (), cfg: Config = D
         return rnd(F.when(total != 0, F.coalesce(dbl(c), F.lit(0.0)) / total * 100).otherwise(0.0), 1)
 
     mean_va = dbl("_total") / F.col("customer_count")
-    tied_names = F.when(F.col("n_pos") == 0, F.col("top_customer_name")).otherwise(
-        F.array_join(F.transform("_tied_list", lambda x: x["customer_name"]), ", "))
+    tied_names = F.when(F.col("n_pos") == 0, F.col("top_customer_name")).otherwise(F.col("_tied_names"))
     return df.select(
         *by,
         F.col("customer_count").cast("bigint").alias("customer_count"),

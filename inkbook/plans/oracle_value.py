@@ -75,7 +75,7 @@ SELECT p.customer_count, p.customers_for_80pct_value, p.pct_of_customers_for_80p
        tied_n AS tied_count,
        CASE WHEN (SELECT n_pos FROM shape_raw) = 0 THEN (SELECT customer_name FROM bc WHERE rank = 1)
             ELSE (SELECT string_agg(customer_name, ', ' ORDER BY rank) FROM bc
-                  WHERE total_va_amount > 0 AND 1 - CAST(total_va_amount AS DOUBLE) / v1 <= 0.12) END AS tied_names,
+                  WHERE rank <= 12 AND total_va_amount > 0 AND 1 - CAST(total_va_amount AS DOUBLE) / v1 <= 0.12) END AS tied_names,
        CASE WHEN tied_n > 1 AND v1 <> 0 THEN
             {R("(v1 - (SELECT CAST(min(total_va_amount) AS DOUBLE) FROM bc WHERE total_va_amount > 0 AND 1 - CAST(total_va_amount AS DOUBLE) / v1 <= 0.12)) / v1 * 100", 1)}
             ELSE 0 END AS tied_spread_pct,
