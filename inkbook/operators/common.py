@@ -84,12 +84,35 @@ def scalar_of(df: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame | No
     return df.groupBy(*by).agg(*aggs)
 
 
+# A constant grouping key: plans that must run "grouped" over the whole data
+# use it; its per-group tables have exactly one row.
+ONE_GROUP = "_g"
+
+
+def one_group(df: DataFrame) -> DataFrame:
+    return df.withColumn(ONE_GROUP, F.lit(0))
+
+
+def join_on(df: DataFrame, other: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join per-group tables on ``by``. On the constant key the other side has
+    one row and is broadcast (Catalyst folds the constant key away, so an
+    unhinted join would plan as a cartesian product)."""
+    by = list(by)
+    if by == [ONE_GROUP]:
+        return df.join(F.broadcast(other), on=by, how=how)
+    return df.join(other, on=by, how=how)
+
+
 def attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
     """Attach per-``by`` aggregates (one row per group) to every row.
 
-    Ungrouped, ``small`` has exactly one row, so broadcasting it is bounded;
-    grouped, it has one row per group and the join is planned by size."""
+    Ungrouped, each column is a scalar subquery. On the constant key the
+    one-row side is broadcast (its size is proven); with real ``by`` keys it
+    has one row per group and the join is planned by measured size (AQE
+    broadcasts it when small, and splits skewed groups otherwise)."""
     by = list(by)
+    if by == [ONE_GROUP]:
+        return df.join(F.broadcast(small), on=by, how="left")
     if by:
         return df.join(small, on=by, how="left")
     # One row: each column becomes a scalar subquery, which Spark evaluates

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkbook.config import DEFAULT, Config
-from inkbook.operators.common import attach, dbl, msum, not_null, rnd, top_k
+from inkbook.operators.common import ONE_GROUP, attach, dbl, join_on, msum, not_null, one_group, rnd, top_k
 
 # Month labels in calendar order.
 MONTH_NAMES = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
@@ -168,7 +168,7 @@ def peak_month_mix(jobs: DataFrame, by: Sequence[str] = (), cfg: Config = DEFAUL
 def seasonality_summary(jobs: DataFrame, by: Sequence[str] = (), cfg: Config = DEFAULT) -> DataFrame:
     by = list(by)
     if not by:
-        return seasonality_summary(jobs.withColumn("_g", F.lit(0)), ["_g"], cfg).drop("_g")
+        return seasonality_summary(one_group(jobs), [ONE_GROUP], cfg).drop(ONE_GROUP)
     grid = monthly_grid(jobs, by)
     peak = _peak(seasonal_index_raw(grid, by), by)
     bt = forecast_backtest_raw(grid, by, cfg).groupBy(*by).agg(
@@ -182,7 +182,7 @@ def seasonality_summary(jobs: DataFrame, by: Sequence[str] = (), cfg: Config = D
         F.max("press_hours").alias("_pmax"),
         (dbl(F.sum(F.when(F.col("_rn") <= 12, F.col("press_hours"))))
          / F.count(F.when(F.col("_rn") <= 12, 1))).alias("_precent"))
-    df = peak.join(bt, on=by, how="left").join(fc, on=by, how="left").join(press, on=by, how="left")
+    df = join_on(join_on(join_on(peak, bt, by, "left"), fc, by, "left"), press, by, "left")
     return df.select(
         *by,
         _month_name(F.col("peak_num")).alias("peak_month"), rnd("_peak_idx", 1).alias("peak_index"),

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from inkbook.config import DEFAULT, Config
 from inkbook.operators.cadence import CUSTOMER
-from inkbook.operators.common import (attach, dbl, first_by_date, msum, not_null, rnd, running_sum,
+from inkbook.operators.common import (ONE_GROUP, attach, dbl, first_by_date, join_on, msum, not_null, one_group, rnd,
+                                      running_sum,
                                       top_k)
 
 def customer_order():
@@ -143,7 +144,7 @@ def concentration_shape(bc: DataFrame, by: Sequence[str] = (), cfg: Config = DEF
     in closed form over the top ranks."""
     top, counts = _shape_parts(bc, by, cfg)
     sh = _shape_from(top, by, cfg)
-    df = counts.join(sh, on=list(by), how="left") if by else counts.withColumns(
+    df = join_on(counts, sh, by, "left") if by else counts.withColumns(
         {c: sh.select(c).scalar() for c in sh.columns})
     npos = F.col("n_pos")
     lead = F.when(npos == 0, 0).when(F.col("_lead").isNull(), npos).otherwise(F.col("_lead"))
@@ -167,20 +168,20 @@ def concentration_summary(bc: DataFrame, by: Sequence[str] = (), cfg: Config = D
         # Nested scalar subqueries trip the subquery-merging rule, so the
         # ungrouped case runs the grouped plan on a constant key: every join
         # below is then against a one-row table.
-        return concentration_summary(bc.withColumn("_g", F.lit(0)), ["_g"], cfg).drop("_g")
+        return concentration_summary(one_group(bc), [ONE_GROUP], cfg).drop(ONE_GROUP)
     shape = concentration_shape(bc, by, cfg)
     par = pareto_80(bc, by)
     top, counts = _shape_parts(bc, by, cfg)
-    base = counts.join(shape, on=by) if by else counts.withColumns(
+    base = join_on(counts, shape, by) if by else counts.withColumns(
         {c: shape.select(c).scalar() for c in shape.columns})
-    base = base.join(par.drop("customer_count"), on=by) if by else base.withColumns(
+    base = join_on(base, par.drop("customer_count"), by) if by else base.withColumns(
         {c: par.select(c).scalar() for c in par.columns if c != "customer_count"})
     base = base.withColumns({
         "lead_n": F.greatest(F.col("leading_count"), F.lit(1)),
         "tied_n": F.greatest(F.col("tied_count"), F.lit(1)),
         "ahead_n": F.greatest(F.col("ahead_count"), F.lit(1)),
     })
-    j = top.join(base.select(*by, "lead_n", "ahead_n", "_v1"), on=by) if by else top.withColumns(
+    j = join_on(top, base.select(*by, "lead_n", "ahead_n", "_v1"), by) if by else top.withColumns(
         {c: base.select(c).scalar() for c in ("lead_n", "ahead_n", "_v1")})
     # Names of tied accounts come from the ranks already held (top 12); the
     # tied count itself is exact over all customers.
@@ -203,7 +204,7 @@ def concentration_summary(bc: DataFrame, by: Sequence[str] = (), cfg: Config = D
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(tied, F.struct(r, F.col("customer_name"))))),
                                  lambda x: x["customer_name"]), ", ").alias("_tied_names"),
     )
-    df = base.join(ranks, on=by) if by else base.withColumns(
+    df = join_on(base, ranks, by) if by else base.withColumns(
         {c: ranks.select(c).scalar() for c in ranks.columns})
     total = dbl("_total")
 

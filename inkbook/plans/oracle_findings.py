@@ -115,6 +115,9 @@ ROWS = [
     m("repeat_business", 2, "'Recurring titles'", "repeat_titles", count("repeat_titles"), "q_repeat_summary"),
     m("repeat_business", 3, "'Overdue a reprint'", "titles_due_reprint", count("titles_due_reprint"),
       "q_repeat_summary"),
+    m("overview", 1, "'Total sales'", "total_sell_price", money("total_sell_price"), "q_dataset_summary"),
+    m("overview", 2, "'Value added'", "total_va_amount", money("total_va_amount"), "q_dataset_summary"),
+    m("overview", 3, "'Customers'", "customer_count", count("customer_count"), "q_dataset_summary"),
     m("data_quality", 1, "'Reporting currency'", "NULL", "'GBP'", "q_dataset_summary"),
     m("data_quality", 2, "'Overstatement avoided'", "naive_overstatement", money("naive_overstatement"),
       "q_dataset_summary"),

@@ -33,7 +33,7 @@ q("due_for_reprint", f"""
 SELECT {TITLE_COLS} FROM rep WHERE cycles_overdue >= 1 AND avg_cycle_days >= 30
 ORDER BY avg_value_per_run DESC, customer_id, customer_name, job_id LIMIT 20""", "rep")
 q("repeat_by_product", f"""
-SELECT product_type, count(job_id) AS titles, {R('sum(total_sell)')} AS total_sell, sum(print_runs) AS runs
+SELECT product_type, count(job_id) AS titles, {R("sum(total_sell)")} AS total_sell, CAST(sum(print_runs) AS BIGINT) AS runs
 FROM rep WHERE product_type IS NOT NULL GROUP BY product_type
 ORDER BY sum(total_sell) DESC, product_type LIMIT 8""", "rep")
 q("repeat_summary", f"""

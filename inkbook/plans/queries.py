@@ -27,7 +27,7 @@ def register(key: str):
     return deco
 
 
-_SHARED: dict[str, DataFrame] = {}
+_SHARED: dict = {}
 _SHARE = {"on": False}
 
 
@@ -37,6 +37,13 @@ def share_jobs(on: bool = True) -> None:
     _SHARE["on"] = on
 
 
+def _shared(key, build):
+    if key not in _SHARED:
+        from pyspark import StorageLevel
+        _SHARED[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+    return _SHARED[key]
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not _SHARE["on"]:
         return derive(jobs_view(spark, sf_dir))
@@ -439,9 +446,18 @@ from inkbook.operators import quote  # noqa: E402
 
 
 def _split(spark, sf_dir):
+    if _SHARE["on"]:
+        return _shared(("split", sf_dir), lambda: quote.holdout_split(quote.price_features(jobs(spark, sf_dir))))
     return quote.holdout_split(quote.price_features(jobs(spark, sf_dir)))
 
 
+def _base(spark, sf_dir):
+    """Held-out jobs priced by the comparable-work baseline."""
+    if _SHARE["on"]:
+        return _shared(("base", sf_dir), lambda: quote.comparable_baseline(_split(spark, sf_dir)))
+    return quote.comparable_baseline(_split(spark, sf_dir))
+
+
 @register("price_features")
 def q_price_features(spark, sf_dir):
     f = quote.price_features(jobs(spark, sf_dir))
@@ -456,24 +472,23 @@ def q_holdout_split(spark, sf_dir):
 
 @register("comparable_baseline")
 def q_comparable_baseline(spark, sf_dir):
-    return quote.comparable_baseline(_split(spark, sf_dir)).select(
+    return _base(spark, sf_dir).select(
         "row_key", rnd("expected_price", 2).alias("expected_price"))
 
 
 @register("benchmark_metrics")
 def q_benchmark_metrics(spark, sf_dir):
-    s = _split(spark, sf_dir)
-    return quote.benchmark_metrics(quote.comparable_baseline(s), s)
+    return quote.benchmark_metrics(_base(spark, sf_dir), _split(spark, sf_dir))
 
 
 @register("underpriced_jobs")
 def q_underpriced_jobs(spark, sf_dir):
-    return quote.underpriced_jobs(quote.comparable_baseline(_split(spark, sf_dir)))
+    return quote.underpriced_jobs(_base(spark, sf_dir))
 
 
 @register("underpriced_summary")
 def q_underpriced_summary(spark, sf_dir):
-    return quote.underpriced_summary(quote.comparable_baseline(_split(spark, sf_dir)))
+    return quote.underpriced_summary(_base(spark, sf_dir))
 
 
 _MODELS: dict[str, tuple] = {}
@@ -510,21 +525,34 @@ def q_price_model_metrics(spark, sf_dir):
 from inkbook.operators import findings  # noqa: E402
 
 
+def _marts(spark, sf_dir):
+    """The area summaries; in report-build mode built once and kept (each
+    is one row per report, so keeping them costs nothing)."""
+    if not _SHARE["on"]:
+        return None
+    key = ("marts", sf_dir)
+    if key not in _SHARED:
+        from pyspark import StorageLevel
+        m = findings.area_marts(jobs(spark, sf_dir), base=_base(spark, sf_dir), split=_split(spark, sf_dir))
+        _SHARED[key] = {k: v.persist(StorageLevel.MEMORY_AND_DISK) for k, v in m.items()}
+    return _SHARED[key]
+
+
 @register("at_stake")
 def q_at_stake(spark, sf_dir):
-    return findings.at_stake(jobs(spark, sf_dir))
+    return findings.at_stake(jobs(spark, sf_dir), marts=_marts(spark, sf_dir))
 
 
 @register("executive_findings")
 def q_executive_findings(spark, sf_dir):
-    return findings.executive_findings(jobs(spark, sf_dir))
+    return findings.executive_findings(jobs(spark, sf_dir), marts=_marts(spark, sf_dir))
 
 
 @register("brief_metrics")
 def q_brief_metrics(spark, sf_dir):
-    return findings.brief_metrics(jobs(spark, sf_dir))
+    return findings.brief_metrics(jobs(spark, sf_dir), marts=_marts(spark, sf_dir))
 
 
 @register("brief_breakdown")
 def q_brief_breakdown(spark, sf_dir):
-    return findings.brief_breakdown(jobs(spark, sf_dir))
+    return findings.brief_breakdown(jobs(spark, sf_dir), marts=_marts(spark, sf_dir))

@@ -48,8 +48,10 @@ def validate_columns(df: DataFrame) -> DataFrame:
 
 def coerce_numeric(df: DataFrame) -> DataFrame:
     """22 numeric columns; unparseable, NaN or missing become 0.0."""
+    types = dict(df.dtypes)
+
     def num(c):
-        v = F.trim(F.col(c)).try_cast("double") if dict(df.dtypes)[c] == "string" \
+        v = F.trim(F.col(c)).try_cast("double") if types[c] == "string" \
             else F.col(c).cast("double")
         return F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0))
     return df.withColumns({c: num(c) for c in NUMERIC_COLUMNS})
@@ -58,10 +60,12 @@ def coerce_numeric(df: DataFrame) -> DataFrame:
 def coerce_dates(df: DataFrame) -> DataFrame:
     """3 date columns; unparseable become NULL. ISO dates and timestamps are
     accepted; a time of day is dropped (an order event is a calendar day)."""
+    types = dict(df.dtypes)
+
     def dt(c):
-        if dict(df.dtypes)[c] in ("date",):
+        if types[c] == "date":
             return F.col(c)
-        if dict(df.dtypes)[c].startswith("timestamp"):
+        if types[c].startswith("timestamp"):
             return F.col(c).cast("date")
         s = F.trim(F.col(c).cast("string"))
         return F.coalesce(s.try_cast("date"),

@@ -39,6 +39,21 @@ def rows_of(cols, rows):
     return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "date": "DATE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP"}
+
+
+def type_mismatches(df, cur) -> list[str]:
+    duck = {d[0]: str(d[1]) for d in cur.description}
+    out = []
+    for name, t in df.dtypes:
+        want = SPARK_TO_DUCK.get(t, t.upper())
+        got = duck.get(name, "?").upper()
+        if want != got:
+            out.append(f"{name}: spark {t} vs duck {got}")
+    return out
+
+
 def compare(spark, sf_dir: str, keys=None, verbose=True):
     sys.path.insert(0, "/root/repo")
     import __spark_entry__ as E
@@ -62,6 +77,7 @@ def compare(spark, sf_dir: str, keys=None, verbose=True):
         try:
             cur = con.execute(sql[k])
             dcols = [d[0] for d in cur.description]
+            tmis = type_mismatches(df, cur)
             drows = cur.fetchall()
         except Exception as e:  # noqa: BLE001
             results[k] = f"DUCK ERROR {str(e)[:300]}"
@@ -74,7 +90,8 @@ def compare(spark, sf_dir: str, keys=None, verbose=True):
         else:
             a, b = rows_of(scols, srows), rows_of(dcols, drows)
             bad = [(x, y) for x, y in zip(a, b) if x != y]
-            results[k] = "OK" if not bad else f"VALUES {len(bad)} differ, e.g. {bad[0]}"
+            results[k] = ("OK" if not tmis else f"TYPES {tmis}") if not bad \
+                else f"VALUES {len(bad)} differ, e.g. {bad[0]}"
         if verbose:
             print(k, results[k][:600], f"({len(srows)} rows, {time.time()-t:.1f}s)")
     return results
