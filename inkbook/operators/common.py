@@ -80,10 +80,6 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int | None,
     return out.drop("_rk")
 
 
-def scalar_of(df: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame | None:
-    return df.groupBy(*by).agg(*aggs)
-
-
 # A constant grouping key: plans that must run "grouped" over the whole data
 # use it; its per-group tables have exactly one row.
 ONE_GROUP = "_g"

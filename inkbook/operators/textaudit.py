@@ -33,10 +33,6 @@ def figure_violations(texts: DataFrame, allowed: DataFrame, keys: Sequence[str],
     return toks.join(ok, on=[*keys, "canonical"], how="left_anti")
 
 
-def text_flags(texts: DataFrame, keys: Sequence[str], text_col: str = "text") -> DataFrame:
-    return texts.select(*keys, tx.hedged(text_col).alias("hedged"), tx.banned(text_col).alias("banned"))
-
-
 def text_quality(texts: DataFrame, keys: Sequence[str], text_col: str = "text",
                  min_chars: int = 180) -> DataFrame:
     """Length, word count, thin text and imperative openers per text."""

@@ -139,10 +139,7 @@ def _shape_from(top: DataFrame, by: Sequence[str], cfg: Config) -> DataFrame:
     )
 
 
-def concentration_shape(bc: DataFrame, by: Sequence[str] = (), cfg: Config = DEFAULT) -> DataFrame:
-    """Leading / tied / ahead counts, largest drop and flattening rank (V7),
-    in closed form over the top ranks."""
-    top, counts = _shape_parts(bc, by, cfg)
+def _shape_from_parts(top: DataFrame, counts: DataFrame, by: Sequence[str], cfg: Config) -> DataFrame:
     sh = _shape_from(top, by, cfg)
     df = join_on(counts, sh, by, "left") if by else counts.withColumns(
         {c: sh.select(c).scalar() for c in sh.columns})
@@ -161,6 +158,13 @@ def concentration_shape(bc: DataFrame, by: Sequence[str] = (), cfg: Config = DEF
     )
 
 
+def concentration_shape(bc: DataFrame, by: Sequence[str] = (), cfg: Config = DEFAULT) -> DataFrame:
+    """Leading / tied / ahead counts, largest drop and flattening rank (V7),
+    in closed form over the top ranks."""
+    top, counts = _shape_parts(bc, by, cfg)
+    return _shape_from_parts(top, counts, by, cfg)
+
+
 def concentration_summary(bc: DataFrame, by: Sequence[str] = (), cfg: Config = DEFAULT) -> DataFrame:
     """Concentration figures for the brief (V8), with floors of 1."""
     by = list(by)
@@ -169,9 +173,9 @@ def concentration_summary(bc: DataFrame, by: Sequence[str] = (), cfg: Config = D
         # ungrouped case runs the grouped plan on a constant key: every join
         # below is then against a one-row table.
         return concentration_summary(one_group(bc), [ONE_GROUP], cfg).drop(ONE_GROUP)
-    shape = concentration_shape(bc, by, cfg)
-    par = pareto_80(bc, by)
     top, counts = _shape_parts(bc, by, cfg)
+    shape = _shape_from_parts(top, counts, by, cfg)
+    par = pareto_80(bc, by)
     base = join_on(counts, shape, by) if by else counts.withColumns(
         {c: shape.select(c).scalar() for c in shape.columns})
     base = join_on(base, par.drop("customer_count"), by) if by else base.withColumns(
