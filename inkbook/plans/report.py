@@ -14,10 +14,22 @@ from inkbook.config import DEFAULT, Config
 from inkbook.operators import (cadence, churn, delivery, findings, pricing, quote, reorder, repeat, season,
                                value)
 from inkbook.operators.derive import derive
+from inkbook.session import ensure_checkpoint_dir
 
 
-def prepare(jobs: DataFrame, cfg: Config = DEFAULT, by: Sequence[str] = ()) -> DataFrame:
-    return derive(jobs, cfg, by).persist(StorageLevel.MEMORY_AND_DISK)
+def prepare(jobs: DataFrame, cfg: Config = DEFAULT, by: Sequence[str] = (), reliable: bool = False) -> DataFrame:
+    """The derived jobs frame every mart reads, computed once.
+
+    ``reliable=True`` writes it to the cluster's shared checkpoint folder
+    (``spark.checkpoint.dir``; a scratch folder is made only when the session
+    names none), cutting the lineage so a lost executor never re-runs the
+    upstream joins. Otherwise it is persisted MEMORY_AND_DISK, which is
+    recomputed from lineage if blocks are lost."""
+    df = derive(jobs, cfg, by)
+    if reliable:
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def build_report(jd: DataFrame, cfg: Config = DEFAULT, by: Sequence[str] = ()) -> dict[str, DataFrame]:
