@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkbook.session import ensure_checkpoint_dir
+
 MONEY = "decimal(28,8)"
 
 
@@ -127,8 +129,14 @@ def running_sum(df: DataFrame, value, order: Sequence[Column], by: Sequence[str]
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     v = col(value)
+    # Partition ids come from sampled range bounds, so they are not a function
+    # of the row: both passes below must read one materialisation of them.
+    # A reliable checkpoint (shared checkpoint folder) pins it and survives
+    # executor loss; recomputing the exchange could draw different bounds.
     ranged = df.repartitionByRange(n, *[F.col(b) for b in by], *order) \
         .withColumn("_pid", F.spark_partition_id())
+    ensure_checkpoint_dir(spark)
+    ranged = ranged.checkpoint(eager=True)
     part = ranged.groupBy(*by, "_pid").agg(F.sum(v).alias("_psum"))
     zero = F.lit(0).cast(part.schema["_psum"].dataType)
     offs = part.withColumn(

@@ -37,6 +37,16 @@ def share_jobs(on: bool = True) -> None:
     _SHARE["on"] = on
 
 
+def reset_shared() -> None:
+    """Leave report-build mode and release everything it kept."""
+    _SHARE["on"] = False
+    for v in list(_SHARED.values()):
+        for df in (v.values() if isinstance(v, dict) else [v]):
+            df.unpersist()
+    _SHARED.clear()
+    _MODELS.clear()
+
+
 def _shared(key, build):
     if key not in _SHARED:
         from pyspark import StorageLevel
@@ -70,12 +80,12 @@ def q_order_cadence(spark, sf_dir):
 
 @register("reorder_forecast")
 def q_reorder_forecast(spark, sf_dir):
-    return reorder.reorder_forecast(jobs(spark, sf_dir))
+    return _mart(spark, sf_dir, "reorder_customers", lambda: reorder.reorder_forecast(jobs(spark, sf_dir)))
 
 
 @register("reorder_summary")
 def q_reorder_summary(spark, sf_dir):
-    return reorder.reorder_summary(reorder.reorder_forecast(jobs(spark, sf_dir)))
+    return reorder.reorder_summary(q_reorder_forecast(spark, sf_dir))
 
 
 @register("churn_status")
@@ -90,7 +100,7 @@ def q_follow_up(spark, sf_dir):
 
 @register("churn_summary")
 def q_churn_summary(spark, sf_dir):
-    return churn.churn_summary(churn.churn_status(jobs(spark, sf_dir)))
+    return _mart(spark, sf_dir, "churn", lambda: churn.churn_summary(churn.churn_status(jobs(spark, sf_dir))))
 
 
 # --- customer value and dataset summary ------------------------------------
@@ -134,12 +144,13 @@ def q_concentration_shape(spark, sf_dir):
 
 @register("concentration_summary")
 def q_concentration_summary(spark, sf_dir):
-    return value.concentration_summary(value.by_customer(jobs(spark, sf_dir)))
+    return _mart(spark, sf_dir, "concentration",
+                 lambda: value.concentration_summary(value.by_customer(jobs(spark, sf_dir))))
 
 
 @register("dataset_summary")
 def q_dataset_summary(spark, sf_dir):
-    return value.dataset_summary(jobs(spark, sf_dir))
+    return _mart(spark, sf_dir, "summary", lambda: value.dataset_summary(jobs(spark, sf_dir)))
 
 
 @register("currency_split")
@@ -186,12 +197,12 @@ def q_repeat_by_product(spark, sf_dir):
 
 @register("repeat_summary")
 def q_repeat_summary(spark, sf_dir):
-    return repeat.repeat_summary(jobs(spark, sf_dir))
+    return _mart(spark, sf_dir, "repeat", lambda: repeat.repeat_summary(jobs(spark, sf_dir)))
 
 
 @register("pricing_summary")
 def q_pricing_summary(spark, sf_dir):
-    return pricing.pricing_summary(jobs(spark, sf_dir))
+    return _mart(spark, sf_dir, "pricing", lambda: pricing.pricing_summary(jobs(spark, sf_dir)))
 
 
 @register("discount_by_customer")
@@ -236,7 +247,7 @@ def q_slowest_vs_norm(spark, sf_dir):
 
 @register("turnaround_summary")
 def q_turnaround_summary(spark, sf_dir):
-    return delivery.turnaround_summary(jobs(spark, sf_dir))
+    return _mart(spark, sf_dir, "delivery", lambda: delivery.turnaround_summary(jobs(spark, sf_dir)))
 
 
 # --- seasonality ------------------------------------------------------------------
@@ -250,7 +261,7 @@ def q_monthly_series(spark, sf_dir):
 
 @register("seasonal_index")
 def q_seasonal_index(spark, sf_dir):
-    return season.seasonal_index(jobs(spark, sf_dir))
+    return _mart(spark, sf_dir, "season_index", lambda: season.seasonal_index(jobs(spark, sf_dir)))
 
 
 @register("seasonal_forecast")
@@ -270,7 +281,7 @@ def q_peak_month_mix(spark, sf_dir):
 
 @register("seasonality_summary")
 def q_seasonality_summary(spark, sf_dir):
-    return season.seasonality_summary(jobs(spark, sf_dir))
+    return _mart(spark, sf_dir, "season", lambda: season.seasonality_summary(jobs(spark, sf_dir)))
 
 
 @register("actual_vs_forecast")
@@ -478,7 +489,8 @@ def q_comparable_baseline(spark, sf_dir):
 
 @register("benchmark_metrics")
 def q_benchmark_metrics(spark, sf_dir):
-    return quote.benchmark_metrics(_base(spark, sf_dir), _split(spark, sf_dir))
+    return _mart(spark, sf_dir, "quote_metrics",
+                 lambda: quote.benchmark_metrics(_base(spark, sf_dir), _split(spark, sf_dir)))
 
 
 @register("underpriced_jobs")
@@ -488,7 +500,7 @@ def q_underpriced_jobs(spark, sf_dir):
 
 @register("underpriced_summary")
 def q_underpriced_summary(spark, sf_dir):
-    return quote.underpriced_summary(_base(spark, sf_dir))
+    return _mart(spark, sf_dir, "quote_summary", lambda: quote.underpriced_summary(_base(spark, sf_dir)))
 
 
 _MODELS: dict[str, tuple] = {}
@@ -538,6 +550,13 @@ def _marts(spark, sf_dir):
     return _SHARED[key]
 
 
+def _mart(spark, sf_dir, name, build):
+    """A report-level summary: the shared mart in report-build mode, else
+    built for this query alone."""
+    m = _marts(spark, sf_dir)
+    return m[name] if m is not None else build()
+
+
 @register("at_stake")
 def q_at_stake(spark, sf_dir):
     return findings.at_stake(jobs(spark, sf_dir), marts=_marts(spark, sf_dir))

@@ -3,6 +3,7 @@ driver does it: row count, column names and order-insensitive values."""
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -103,5 +104,8 @@ if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     keys = sys.argv[2].split(",") if len(sys.argv) > 2 else None
     spark = local_session(8)
+    if os.environ.get("INKBOOK_SHARE") == "1":      # report-build mode: shared frames and marts
+        from inkbook.plans import queries as Q
+        Q.share_jobs(True)
     res = compare(spark, sf, keys)
     print("SUMMARY", sum(v == "OK" for v in res.values()), "/", len(res))

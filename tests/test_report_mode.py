@@ -1,0 +1,18 @@
+"""Report-build mode (shared jobs frame, model and area marts) gives the same
+answers as standalone queries."""
+from tests.compare import compare
+
+SF = "/root/testdata/sf0.001"
+KEYS = ["pareto_80", "concentration_summary", "comparable_baseline", "benchmark_metrics", "underpriced_jobs",
+        "underpriced_summary", "at_stake", "executive_findings", "brief_metrics", "churn_summary",
+        "seasonality_summary", "reorder_summary"]
+
+
+def test_shared_marts_match_oracle(spark):
+    from inkbook.plans import queries as Q
+    Q.share_jobs(True)
+    try:
+        res = compare(spark, SF, KEYS, verbose=False)
+    finally:
+        Q.reset_shared()
+    assert all(v == "OK" for v in res.values()), {k: v for k, v in res.items() if v != "OK"}
