@@ -52,6 +52,7 @@ def _present(df: DataFrame, by: Sequence[str]) -> DataFrame:
         rnd("total_quantity").alias("total_quantity"), "product_type",
         rnd("avg_cycle_days").alias("avg_cycle_days"), "days_since_last_run",
         rnd("cycles_overdue").alias("cycles_overdue"), rnd("avg_value_per_run").alias("avg_value_per_run"),
+        F.concat_ws(" · ", "job_id", "customer_name").alias("title_label"),
     )
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from inkbook.config import DEFAULT, Config
 from inkbook.operators.cadence import CUSTOMER
 from inkbook.operators.common import (ONE_GROUP, attach, dbl, first_by_date, join_on, msum, not_null, one_group, rnd,
-                                      running_sum,
-                                      top_k)
+                                      running_sum, top_k)
+
 
 def customer_order():
     """Value order with unique tie-breaks (id, name)."""
@@ -65,6 +65,22 @@ def customer_value(jobs: DataFrame, by: Sequence[str] = (), cfg: Config = DEFAUL
     return _present(top_k(bc, customer_order(), k or cfg.top_customers, by), by)
 
 
+def customer_value_chart(jobs: DataFrame, by: Sequence[str] = (), cfg: Config = DEFAULT) -> DataFrame:
+    """Chart rows for the top customers: rank, value, top work type, whether
+    the account stands ahead of the field (rank within the ahead count) and
+    the mean-account line (X1)."""
+    by = list(by)
+    if not by:
+        return customer_value_chart(one_group(jobs), [ONE_GROUP], cfg).drop(ONE_GROUP)
+    bc = by_customer(jobs, by)
+    top = top_k(bc, customer_order(), cfg.top_customers, by, rank_col="rank")
+    conc = concentration_summary(bc, by, cfg).select(*by, "ahead_count", "mean_va")
+    j = join_on(top, conc, by)
+    return j.select(*by, "customer_id", "customer_name", F.col("rank").cast("bigint").alias("rank"),
+                    rnd("total_va_amount").alias("total_va_amount"), "top_work_type",
+                    (F.col("rank") <= F.col("ahead_count")).alias("is_ahead"), "mean_va")
+
+
 def _breakdown(jobs: DataFrame, key: str, by: Sequence[str], out: str | None = None) -> DataFrame:
     df = not_null(jobs, *by, key).groupBy(*by, key).agg(
         rnd(msum("va_amount_base")).alias("total_va_amount"),

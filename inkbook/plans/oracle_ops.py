@@ -22,7 +22,8 @@ FROM (SELECT *, {R("date_diff('day', first_run, last_run) / CAST(print_runs - 1
 TITLE_COLS = f"""customer_id, customer_name, job_id, print_runs, first_run, last_run,
        {R('total_sell')} AS total_sell, {R('total_va')} AS total_va, {R('total_quantity')} AS total_quantity,
        product_type, {R('avg_cycle_days')} AS avg_cycle_days, days_since_last_run,
-       {R('cycles_overdue')} AS cycles_overdue, {R('avg_value_per_run')} AS avg_value_per_run"""
+       {R('cycles_overdue')} AS cycles_overdue, {R('avg_value_per_run')} AS avg_value_per_run,
+       job_id || ' · ' || customer_name AS title_label"""
 
 q("title_runs", f"""
 SELECT customer_id, customer_name, job_id, print_runs, first_run, last_run, {R('total_sell')} AS total_sell,

@@ -132,3 +132,8 @@ q("dataset_profile", """
 SELECT (SELECT string_agg(w, '|' ORDER BY w) FROM (SELECT DISTINCT work_type AS w FROM jd WHERE work_type IS NOT NULL)) AS work_types,
        (SELECT string_agg(i, '|' ORDER BY i) FROM (SELECT DISTINCT industry AS i FROM jd WHERE industry IS NOT NULL ORDER BY i LIMIT 12)) AS industries,
        (SELECT count(*) FROM jd) AS jobs, (SELECT count(DISTINCT customer_id) FROM jd) AS customers""", "jd")
+
+q("customer_value_chart", f"""
+SELECT b.customer_id, b.customer_name, CAST(b.rank AS BIGINT) AS rank, {R('b.total_va_amount')} AS total_va_amount,
+       b.top_work_type, b.rank <= c.ahead_count AS is_ahead, c.mean_va
+FROM bc b, conc c WHERE b.rank <= 20""", "bc", "conc")

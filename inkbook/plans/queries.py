@@ -112,6 +112,11 @@ def q_customer_value(spark, sf_dir):
     return value.customer_value(jobs(spark, sf_dir))
 
 
+@register("customer_value_chart")
+def q_customer_value_chart(spark, sf_dir):
+    return value.customer_value_chart(jobs(spark, sf_dir))
+
+
 @register("top_work_type")
 def q_top_work_type(spark, sf_dir):
     return value.top_work_type(jobs(spark, sf_dir))
