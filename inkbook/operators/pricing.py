@@ -92,4 +92,6 @@ def pricing_summary(jobs: DataFrame, by: Sequence[str] = (), cfg: Config = DEFAU
         .otherwise(0.0).alias("worst_below_cost_share_pct"),
         "top_discount_customer",
         F.coalesce(rnd("_top_disc"), F.lit(0.0)).alias("top_discount_amount"),
+        # How closely uplifts offset reductions (the published text asserts it).
+        F.when(F.col("_disc") != 0, rnd(F.col("_upl").cast("double") / F.abs("_disc").cast("double"), 2)).alias("uplift_to_discount_ratio"),
     )

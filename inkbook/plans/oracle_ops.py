@@ -93,7 +93,8 @@ SELECT total_jobs, overridden_jobs, {R('overridden_jobs / total_jobs * 100', 1)}
        CASE WHEN (SELECT count(*) FROM below) > 0 AND bva <> 0
             THEN {R('CAST((SELECT min(va) FROM below) AS DOUBLE) / CAST(bva AS DOUBLE) * 100', 1)} ELSE 0 END AS worst_below_cost_share_pct,
        (SELECT first(k ORDER BY disc DESC, k) FROM disc_customer) AS top_discount_customer,
-       coalesce({R('(SELECT max(disc) FROM disc_customer)')}, 0) AS top_discount_amount
+       coalesce({R('(SELECT max(disc) FROM disc_customer)')}, 0) AS top_discount_amount,
+       CASE WHEN d <> 0 THEN {R('CAST(u AS DOUBLE) / CAST(abs(d) AS DOUBLE)', 2)} END AS uplift_to_discount_ratio
 FROM (SELECT count(*) AS total_jobs,
              count(*) FILTER (WHERE manual_adjustment_base <> 0) AS overridden_jobs,
              count(*) FILTER (WHERE manual_adjustment_base < 0) AS discounted_jobs,

@@ -86,7 +86,9 @@ SELECT p.customer_count, p.customers_for_80pct_value, p.pct_of_customers_for_80p
        (SELECT customer_name FROM bc WHERE rank = lead_n + 1) AS next_after_leading_name,
        {R('tot / p.customer_count', 2)} AS mean_va,
        CASE WHEN tot / p.customer_count <> 0 THEN
-            {R("(SELECT CAST(total_va_amount AS DOUBLE) FROM bc WHERE rank = ahead_n + 1) / (tot / p.customer_count)", 2)} END AS first_tail_vs_mean
+            {R("(SELECT CAST(total_va_amount AS DOUBLE) FROM bc WHERE rank = ahead_n + 1) / (tot / p.customer_count)", 2)} END AS first_tail_vs_mean,
+       CASE WHEN (SELECT sum(total_va_amount) FROM bc WHERE rank <= lead_n) > 0 THEN
+            {R("(SELECT CAST(total_va_amount AS DOUBLE) FROM bc WHERE rank = lead_n + 1) / (CAST((SELECT sum(total_va_amount) FROM bc WHERE rank <= lead_n) AS DOUBLE) / lead_n)", 2)} END AS next_vs_leading_ratio
 FROM pareto p, shape s,
      (SELECT greatest(leading_count, 1) AS lead_n, greatest(tied_count, 1) AS tied_n,
              greatest(ahead_count, 1) AS ahead_n FROM shape) f,
@@ -119,7 +121,9 @@ SELECT count(*) AS row_count, count(DISTINCT customer_id) AS customer_count,
        {R('avg(va_pct) * 100', 1)} AS avg_va_pct, {R(M('sell_price'))} AS naive_mixed_total,
        {R(M('sell_price') + ' - ' + M('sell_price_base'))} AS naive_overstatement,
        min(sales_in) AS date_from, max(sales_in) AS date_to,
-       count(*) FILTER (WHERE coalesce(currency, '') NOT IN ('Stg', 'Euro')) AS unmapped_currency_jobs
+       count(*) FILTER (WHERE coalesce(currency, '') NOT IN ('Stg', 'Euro')) AS unmapped_currency_jobs,
+       count(DISTINCT product_type) AS raw_product_types,
+       count(DISTINCT product_type_clean) AS canonical_product_types
 FROM jd""", "jd")
 q("currency_split", f"""
 SELECT currency, count(job_id) AS job_count, {R(M('sell_price'))} AS sell_price_native,

@@ -213,3 +213,13 @@ def test_boosted_model_beats_comparable_baseline(spark):
     assert gbt.test_rows == base.test_rows > 0
     assert gbt.median_abs_pct_error < base.median_abs_pct_error
     assert gbt.r2_log > base.r2_log
+
+
+def test_model_is_reproducible_with_a_seed(spark):
+    from inkbook.sources.fixtures import jobs_view
+    split = quote.holdout_split(quote.price_features(derive(jobs_view(spark, "/root/testdata/sf0.001"))))
+    a, _ = quote.train_price_model(split)
+    b, _ = quote.train_price_model(split)
+    pa = sorted((r.row_key, round(r.expected_price, 6)) for r in quote.model_predictions(a, split).collect())
+    pb = sorted((r.row_key, round(r.expected_price, 6)) for r in quote.model_predictions(b, split).collect())
+    assert pa == pb
