@@ -91,8 +91,10 @@ def train_price_model(split: DataFrame, cfg: Config = DEFAULT):
         return None, "Not enough priced jobs to train a reliable model."
     card = split.agg(*[F.count_distinct(c).alias(c) for c in CATEGORICAL_FEATURES]).first()
     bins = max(32, max(card) + 2)
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep",
-                         stringOrderType="alphabetAsc") for c in CATEGORICAL_FEATURES]
+    # One indexer over all four categories: one pass to learn the labels.
+    idx = [StringIndexer(inputCols=CATEGORICAL_FEATURES,
+                         outputCols=[f"{c}_idx" for c in CATEGORICAL_FEATURES],
+                         handleInvalid="keep", stringOrderType="alphabetAsc")]
     vec = VectorAssembler(inputCols=NUMERIC_FEATURES + [f"{c}_idx" for c in CATEGORICAL_FEATURES],
                           outputCol="features", handleInvalid="keep")
     gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=cfg.gbt_max_iter,

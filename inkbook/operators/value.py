@@ -111,7 +111,8 @@ def industry_breakdown(jobs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def pareto_80(bc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Customers whose running share of VA stays within 80% (floor 1)."""
-    run = running_sum(bc, "total_va_amount", customer_order(), by, "_cum")
+    slim = bc.select(*by, "customer_id", "customer_name", "total_va_amount", "_total_va")
+    run = running_sum(slim, "total_va_amount", customer_order(), by, "_cum")
     cum_share = F.when(F.col("_total_va") != 0,
                        dbl("_cum") / dbl("_total_va") * F.lit(100.0)).otherwise(F.lit(0.0))
     agg = run.groupBy(*by).agg(
