@@ -65,17 +65,21 @@ def customer_value(jobs: DataFrame, by: Sequence[str] = (), cfg: Config = DEFAUL
     return _present(top_k(bc, customer_order(), k or cfg.top_customers, by), by)
 
 
-def customer_value_chart(jobs: DataFrame, by: Sequence[str] = (), cfg: Config = DEFAULT) -> DataFrame:
+def customer_value_chart(jobs: DataFrame, by: Sequence[str] = (), cfg: Config = DEFAULT,
+                         top: DataFrame | None = None, conc: DataFrame | None = None) -> DataFrame:
     """Chart rows for the top customers: rank, value, top work type, whether
     the account stands ahead of the field (rank within the ahead count) and
-    the mean-account line (X1)."""
+    the mean-account line (X1). ``top`` (ranked top customers) and ``conc``
+    (the concentration summary) may be passed in when already built."""
     by = list(by)
-    if not by:
-        return customer_value_chart(one_group(jobs), [ONE_GROUP], cfg).drop(ONE_GROUP)
-    bc = by_customer(jobs, by)
-    top = top_k(bc, customer_order(), cfg.top_customers, by, rank_col="rank")
-    conc = concentration_summary(bc, by, cfg).select(*by, "ahead_count", "mean_va")
-    j = join_on(top, conc, by)
+    if top is None or conc is None:
+        if not by:
+            return customer_value_chart(one_group(jobs), [ONE_GROUP], cfg).drop(ONE_GROUP)
+        bc = by_customer(jobs, by)
+        top = top_k(bc, customer_order(), cfg.top_customers, by, rank_col="rank")
+        conc = concentration_summary(bc, by, cfg)
+    conc = conc.select(*by, "ahead_count", "mean_va")
+    j = join_on(top, conc, by) if by else top.withColumns({c: conc.select(c).scalar() for c in conc.columns})
     return j.select(*by, "customer_id", "customer_name", F.col("rank").cast("bigint").alias("rank"),
                     rnd("total_va_amount").alias("total_va_amount"), "top_work_type",
                     (F.col("rank") <= F.col("ahead_count")).alias("is_ahead"), "mean_va")

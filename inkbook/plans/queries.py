@@ -114,6 +114,9 @@ def q_customer_value(spark, sf_dir):
 
 @register("customer_value_chart")
 def q_customer_value_chart(spark, sf_dir):
+    m = _marts(spark, sf_dir)
+    if m is not None:
+        return value.customer_value_chart(jobs(spark, sf_dir), top=m["top_customers"], conc=m["concentration"])
     return value.customer_value_chart(jobs(spark, sf_dir))
 
 

@@ -16,7 +16,7 @@ from inkbook.config import DEFAULT, Config
 from inkbook.operators.derive import derive
 from inkbook.plans.report import build_report
 from inkbook.sources import ingest, library
-from inkbook.sources.schema import JOBS_RAW_SCHEMA
+from inkbook.sources.schema import HEADER_MAP, JOBS_RAW_SCHEMA
 
 
 def report_id_from_path(path_col) -> F.Column:
@@ -28,9 +28,12 @@ def report_id_from_path(path_col) -> F.Column:
 
 def process_batch(df: DataFrame, batch_id: int, root: str, cfg: Config = DEFAULT,
                   write_marts: bool = True) -> None:
+    """One micro-batch: record each touched report, store its cleaned rows
+    (replacing that report's partition), rebuild its marts, mark it ready.
+    The only collect is one row per report touched by the batch."""
     spark = df.sparkSession
     raw = df.withColumn("report_id", report_id_from_path(F.col("_metadata.file_path")))
-    named = raw.select(*[F.col(f"`{h}`").alias(c) for h, c in _header_pairs()], "report_id")
+    named = raw.select(*[F.col(f"`{h}`").alias(c) for h, c in HEADER_MAP.items()], "report_id")
     jobs = ingest.clean(named)
     # One row per touched report: how many usable rows it brought.
     touched = named.groupBy("report_id").agg(F.count(F.lit(1)).alias("rows_in")).join(
@@ -61,11 +64,6 @@ def process_batch(df: DataFrame, batch_id: int, root: str, cfg: Config = DEFAULT
          "progress_pct": 100} for rid in ok])
 
 
-def _header_pairs():
-    from inkbook.sources.schema import HEADER_MAP
-    return list(HEADER_MAP.items())
-
-
 def ingest_stream(spark: SparkSession, source_dir: str, root: str, checkpoint: str, cfg: Config = DEFAULT,
                   write_marts: bool = True, fmt: str = "csv"):
     """Start (and, with availableNow, finish) ingestion of every file now in
