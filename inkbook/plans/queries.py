@@ -28,18 +28,24 @@ def register(key: str):
 
 
 _SHARED: dict = {}
-_SHARE = {"on": False}
+_SHARE = {"on": True}
 
 
 def share_jobs(on: bool = True) -> None:
-    """Reuse one persisted derived-jobs frame per data folder (report-build
-    mode, used by the benchmark). Off by default: each query stands alone."""
+    """Report-build mode (the default): every query over a data folder reads
+    one persisted derived-jobs frame, one fitted model and one set of area
+    summaries, as ``build_report`` does, instead of re-running the source
+    joins in each branch of each plan. Off: each query rebuilds everything."""
     _SHARE["on"] = on
 
 
+def _key(spark: SparkSession, *parts):
+    """Caches belong to one Spark application: a new session starts clean."""
+    return (spark.sparkContext.applicationId, *parts)
+
+
 def reset_shared() -> None:
-    """Leave report-build mode and release everything it kept."""
-    _SHARE["on"] = False
+    """Release everything report-build mode kept (the mode is unchanged)."""
     for v in list(_SHARED.values()):
         for df in (v.values() if isinstance(v, dict) else [v]):
             df.unpersist()
@@ -47,7 +53,8 @@ def reset_shared() -> None:
     _MODELS.clear()
 
 
-def _shared(key, build):
+def _shared(spark, name, sf_dir, build):
+    key = _key(spark, name, sf_dir)
     if key not in _SHARED:
         from pyspark import StorageLevel
         _SHARED[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
@@ -57,10 +64,11 @@ def _shared(key, build):
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not _SHARE["on"]:
         return derive(jobs_view(spark, sf_dir))
-    if sf_dir not in _SHARED:
+    key = _key(spark, "jobs", sf_dir)
+    if key not in _SHARED:
         from pyspark import StorageLevel
-        _SHARED[sf_dir] = derive(jobs_view(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
-    return _SHARED[sf_dir]
+        _SHARED[key] = derive(jobs_view(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+    return _SHARED[key]
 
 
 @register("order_events")
@@ -466,14 +474,15 @@ from inkbook.operators import quote  # noqa: E402
 
 def _split(spark, sf_dir):
     if _SHARE["on"]:
-        return _shared(("split", sf_dir), lambda: quote.holdout_split(quote.price_features(jobs(spark, sf_dir))))
+        return _shared(spark, "split", sf_dir,
+                       lambda: quote.holdout_split(quote.price_features(jobs(spark, sf_dir))))
     return quote.holdout_split(quote.price_features(jobs(spark, sf_dir)))
 
 
 def _base(spark, sf_dir):
     """Held-out jobs priced by the comparable-work baseline."""
     if _SHARE["on"]:
-        return _shared(("base", sf_dir), lambda: quote.comparable_baseline(_split(spark, sf_dir)))
+        return _shared(spark, "base", sf_dir, lambda: quote.comparable_baseline(_split(spark, sf_dir)))
     return quote.comparable_baseline(_split(spark, sf_dir))
 
 
@@ -520,9 +529,10 @@ def _model(spark, sf_dir):
     s = _split(spark, sf_dir)
     if not _SHARE["on"]:
         return (*quote.train_price_model(s), s)
-    if sf_dir not in _MODELS:
-        _MODELS[sf_dir] = (*quote.train_price_model(s), s)
-    return _MODELS[sf_dir]
+    key = _key(spark, sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = (*quote.train_price_model(s), s)
+    return _MODELS[key]
 
 
 @register("train_price_model")
@@ -550,7 +560,7 @@ def _marts(spark, sf_dir):
     is one row per report, so keeping them costs nothing)."""
     if not _SHARE["on"]:
         return None
-    key = ("marts", sf_dir)
+    key = _key(spark, "marts", sf_dir)
     if key not in _SHARED:
         from pyspark import StorageLevel
         m = findings.area_marts(jobs(spark, sf_dir), base=_base(spark, sf_dir), split=_split(spark, sf_dir))

@@ -1,0 +1,31 @@
+"""Write the formatted physical plans of the main queries to docs/plans/.
+
+    python tools/explain_plans.py [sf_dir]
+"""
+import os
+import sys
+
+HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, HERE)
+
+KEYS = ["churn_status", "customer_value", "pareto_80", "reorder_forecast", "repeat_summary", "pricing_summary",
+        "seasonal_forecast", "turnaround_summary", "comparable_baseline", "figure_violations", "dataset_facts"]
+
+
+def main() -> None:
+    from inkbook.plans.queries import REGISTRY
+    from inkbook.session import local_session
+    sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    spark = local_session(8)
+    out = os.path.join(HERE, "docs", "plans")
+    os.makedirs(out, exist_ok=True)
+    for k in KEYS:
+        df = REGISTRY[k](spark, sf)
+        text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        with open(os.path.join(out, f"{k}.txt"), "w") as f:
+            f.write(text)
+        print(k, len(text))
+
+
+if __name__ == "__main__":
+    main()
