@@ -1,7 +1,16 @@
 """Scale guards on physical plans: no Python evaluation, no cartesian
-products, and no window that pulls an unbounded input into one partition."""
+products, and no window that pulls an unbounded input into one partition.
+Checked on the operators' own plans (standalone mode, no shared caches)."""
 import pytest
 
+
+@pytest.fixture(autouse=True, scope="module")
+def standalone():
+    from inkbook.plans import queries as Q
+    Q.share_jobs(False)
+    yield
+    Q.share_jobs(True)
+
 SF = "/root/testdata/sf0.001"
 SKIP = {"train_price_model", "price_model_metrics"}
 
