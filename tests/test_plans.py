@@ -5,8 +5,12 @@ import pytest
 
 
 @pytest.fixture(autouse=True, scope="module")
-def standalone():
+def standalone(spark):
+    # Spark substitutes cached relations into any matching plan, so earlier
+    # tests' shared frames must be released to see the operators' own plans.
     from inkbook.plans import queries as Q
+    Q.reset_shared()
+    spark.catalog.clearCache()
     Q.share_jobs(False)
     yield
     Q.share_jobs(True)
