@@ -148,8 +148,9 @@ def underpriced_jobs(scored: DataFrame, by: Sequence[str] = (), cfg: Config = DE
     top = top_k(g, [F.col("gap").asc(), F.col("row_key").asc()], cfg.top_flagged_jobs, by)
     return top.select(*by, "row_key", "job_id", "customer_name", F.col("product_type_clean").alias("product_type"),
                       "work_type", rnd("quantity").alias("quantity"), rnd("actual_price").alias("actual_price"),
-                      rnd("expected_price").alias("expected_price"), rnd("gap").alias("gap"),
-                      rnd("gap_pct").alias("gap_pct"))
+                      # model estimates: 4 dp (their last bits depend on the math library)
+                      rnd("expected_price", 4).alias("expected_price"), rnd("gap", 4).alias("gap"),
+                      rnd("gap_pct", 4).alias("gap_pct"))
 
 
 def underpriced_summary(scored: DataFrame, by: Sequence[str] = (), cfg: Config = DEFAULT) -> DataFrame:

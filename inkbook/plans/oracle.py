@@ -33,7 +33,10 @@ def build(final: str, *deps: str) -> str:
 
 
 def R(expr: str, d: int = 2) -> str:
-    return f"CAST(round_even(TRY_CAST({expr} AS DECIMAL(38,10)), {d}) AS DOUBLE)"
+    # Through the shortest decimal string, as Spark converts doubles: a
+    # direct double->decimal cast multiplies in floating point and can move
+    # an exact half-cent tie for values above about 1e5.
+    return f"CAST(round_even(TRY_CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38,10)), {d}) AS DOUBLE)"
 
 
 def M(expr: str) -> str:

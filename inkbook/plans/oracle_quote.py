@@ -29,7 +29,7 @@ NUM = ["quantity", "impressions", "plates", "press_hrs", "paper_base", "labour_b
 q("price_features", "SELECT row_key, " + ", ".join(f"{R(c, 4)} AS {c}" for c in NUM)
   + f", work_type, region, currency, product_type_clean, {R('label', 6)} AS label FROM pf", "pf")
 q("holdout_split", "SELECT row_key, is_test FROM psplit", "psplit")
-q("comparable_baseline", f"SELECT row_key, {R('expected_price')} AS expected_price FROM pbase", "pbase")
+q("comparable_baseline", f"SELECT row_key, {R('expected_price', 4)} AS expected_price FROM pbase", "pbase")
 q("benchmark_metrics", f"""
 SELECT {R('1 - sum((y - p) * (y - p)) / sum((y - ybar) * (y - ybar))', 3)} AS r2_log,
        {R('avg(abs(e - a))')} AS mae, {R('quantile_cont(pe, 0.5) * 100', 1)} AS median_abs_pct_error,
@@ -42,8 +42,8 @@ FROM (SELECT label AS y, ln(1 + expected_price) AS p, expected_price AS e, actua
 """, "pbase", "psplit")
 q("underpriced_jobs", f"""
 SELECT row_key, job_id, customer_name, product_type_clean AS product_type, work_type, {R('quantity')} AS quantity,
-       {R('actual_price')} AS actual_price, {R('expected_price')} AS expected_price, {R('gap')} AS gap,
-       {R('gap_pct')} AS gap_pct
+       {R('actual_price')} AS actual_price, {R('expected_price', 4)} AS expected_price, {R('gap', 4)} AS gap,
+       {R('gap_pct', 4)} AS gap_pct
 FROM (SELECT *, actual_price - expected_price AS gap,
              (actual_price - expected_price) / expected_price * 100 AS gap_pct FROM pbase) t
 WHERE gap_pct <= -20 ORDER BY gap, row_key LIMIT 20""", "pbase")

@@ -500,8 +500,10 @@ def q_holdout_split(spark, sf_dir):
 
 @register("comparable_baseline")
 def q_comparable_baseline(spark, sf_dir):
+    # Model estimates (exp/log of medians) sit within a few ulps of half-cent
+    # ties often; engines' libm differ in the last bits, so 4 dp.
     return _base(spark, sf_dir).select(
-        "row_key", rnd("expected_price", 2).alias("expected_price"))
+        "row_key", rnd("expected_price", 4).alias("expected_price"))
 
 
 @register("benchmark_metrics")
