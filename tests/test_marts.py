@@ -223,3 +223,30 @@ def test_model_is_reproducible_with_a_seed(spark):
     pa = sorted((r.row_key, round(r.expected_price, 6)) for r in quote.model_predictions(a, split).collect())
     pb = sorted((r.row_key, round(r.expected_price, 6)) for r in quote.model_predictions(b, split).collect())
     assert pa == pb
+
+
+def test_dates_drop_time_of_day_and_accept_day_first(spark):
+    from inkbook.sources import ingest
+    df = spark.createDataFrame([("2024-01-05 13:45:00", "05/01/2024", "junk")],
+                               "sales_in string, sales_out string, ship_date string")
+    r = ingest.coerce_dates(df).first()
+    assert r.sales_in == d("2024-01-05") and r.sales_out == d("2024-01-05") and r.ship_date is None
+
+
+def test_canonical_label_ties_take_the_smallest_spelling(spark):
+    jd = derived(spark, [dict(product_type="Price List"), dict(product_type="price list"),
+                         dict(product_type="PRICE-LIST"), dict(product_type="PRICE-LIST"),
+                         dict(product_type="Price List"), dict(product_type=None)])
+    got = {r.product_type: r.product_type_clean for r in jd.select("product_type", "product_type_clean").collect()}
+    # "PRICE-LIST" and "Price List" both appear twice: the smaller string wins
+    assert got["price list"] == got["Price List"] == got["PRICE-LIST"] == "PRICE-LIST"
+    assert got[None] == "Unspecified"
+
+
+def test_lead_time_bounds(spark):
+    jd = derived(spark, [dict(sales_in=d("2024-01-01"), ship_date=d("2024-01-01")),
+                         dict(sales_in=d("2024-01-01"), ship_date=d("2024-06-29")),   # 180 days
+                         dict(sales_in=d("2024-01-01"), ship_date=d("2024-06-30")),   # 181 days
+                         dict(sales_in=d("2024-01-02"), ship_date=d("2024-01-01"))])  # negative
+    got = sorted((r.lead_time_days is None, r.lead_time_days or 0) for r in jd.collect())
+    assert got == [(False, 0), (False, 180), (True, 0), (True, 0)]
