@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkbook.llm import bpe, common, token_store
+from inkbook.llm import archive, bpe, common, packing, token_store
 
 QUERIES = {}
 
@@ -26,3 +26,14 @@ def op1_token_store(spark, sf_dir):
 @register
 def op8_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+@register
+def op6_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@register
+def op10_archive(spark, sf_dir):
+    out = archive.archive_pages(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
