@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkbook.llm import archive, bpe, common, packing, token_store
+from inkbook.llm import archive, bpe, common, html_text, packing, token_store
 
 QUERIES = {}
 
@@ -37,3 +37,8 @@ def op6_packing(spark, sf_dir):
 def op10_archive(spark, sf_dir):
     out = archive.archive_pages(table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register
+def op2_html_text(spark, sf_dir):
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
