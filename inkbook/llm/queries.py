@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkbook.llm import archive, bpe, common, html_text, packing, token_store
+from inkbook.llm import ann, archive, bpe, common, html_text, packing, token_store
 
 QUERIES = {}
 
@@ -42,3 +42,8 @@ def op10_archive(spark, sf_dir):
 @register
 def op2_html_text(spark, sf_dir):
     return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+@register
+def op9_ann(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"))
