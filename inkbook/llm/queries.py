@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkbook.llm import ann, archive, bpe, common, html_text, packing, token_store
+from inkbook.llm import ann, archive, bpe, common, html_text, packing, quality, token_store
 
 QUERIES = {}
 
@@ -47,3 +47,10 @@ def op2_html_text(spark, sf_dir):
 @register
 def op9_ann(spark, sf_dir):
     return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op5_quality(spark, sf_dir):
+    out = quality.judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                      "base_failed", "kept")
