@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -158,7 +159,7 @@ class ByteBPE:
         if got is None:
             got = self.pieces.old.get(p)
             if got is None:
-                got = np.array(self.tables.encode(p.encode()), "<u4").tobytes()
+                got = array("I", self.tables.encode(p.encode())).tobytes()
             if len(p) <= 256:
                 self.pieces.put(p, got)
         return got

@@ -9,12 +9,13 @@ pipeline."""
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 #: Entries in each of the two generations of a cache.
-CACHE = 150_000
+CACHE = 300_000
 DEFAULT_WORD_BPE = "word_bpe_49k.json"
 
 _PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
@@ -67,23 +68,28 @@ class WordEncoder:
         self.whole.no_truncation()
         self.whole.no_padding()
         self.model = self.whole.model
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        special = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special)).search if special else None
         self.letters = str.maketrans({b: c for b, c in enumerate(byte_letters())})
         self.words, self.pieces = Cache(), Cache()
 
     def _piece(self, p: str) -> bytes:
-        got = self.pieces.young.get(p) or self.pieces.old.get(p)
+        got = self.pieces.young.get(p)
+        if got is not None:
+            return got
+        got = self.pieces.old.get(p)
         if got is None:
-            mapped = p.encode().decode("latin-1").translate(self.letters)
-            got = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-        return self.pieces.put(p, got) if p not in self.pieces.young else got
+            # plain ASCII letters stand for themselves
+            mapped = p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
+            got = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return self.pieces.put(p, got)
 
     def _word(self, w: str) -> bytes:
         got = self.words.old.get(w)
         if got is None:
             if not w:
                 got = b""
-            elif _PLAIN(w) and not any(s in w for s in self.special):
+            elif _PLAIN(w) and not (self.special and self.special(w)):
                 got = b"".join([self._piece(p) for p in _PIECES(w.lower())])
             else:
                 got = np.array(self.whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
