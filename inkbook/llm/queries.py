@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkbook.llm import ann, archive, bpe, common, html_text, packing, quality, token_store
+from inkbook.llm import ann, archive, bpe, common, html_text, jaccard, packing, quality, token_store
 
 QUERIES = {}
 
@@ -54,3 +54,9 @@ def op5_quality(spark, sf_dir):
     out = quality.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       "base_failed", "kept")
+
+
+@register
+def op3_jaccard(spark, sf_dir):
+    out = jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id")
