@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkbook.llm import ann, archive, bpe, common, html_text, jaccard, packing, quality, token_store
+from inkbook.llm import ann, archive, bpe, common, html_text, jaccard, lm, packing, quality, token_store
 
 QUERIES = {}
 
@@ -60,3 +60,8 @@ def op5_quality(spark, sf_dir):
 def op3_jaccard(spark, sf_dir):
     out = jaccard.jaccard_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_shingles", "component_id")
+
+
+@register
+def op7_lm(spark, sf_dir):
+    return lm.score_texts(table(spark, sf_dir, "documents"))
