@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkbook.llm import ann, archive, bpe, common, html_text, jaccard, lm, packing, quality, token_store
+from inkbook.llm import ann, archive, bpe, common, html_text, jaccard, lm, packing, pii, quality, token_store
 
 QUERIES = {}
 
@@ -65,3 +65,8 @@ def op3_jaccard(spark, sf_dir):
 @register
 def op7_lm(spark, sf_dir):
     return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
+@register
+def op4_pii(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
