@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkbook.llm import common
@@ -36,9 +36,11 @@ from inkbook.llm import common
 #: Rows the centroids are fitted on, vectors per list aimed at, most lists.
 SAMPLE, LIST, LISTS = 40_000, 200, 16_384
 REPLICAS, REPLICA_RATIO = 4, 1.15
-PROBE_RATIO, MOST_PROBES = 1.12, 512
+PROBE_RATIO, MOST_PROBES = 1.10, 512
 DEGREE = 16
-SHARD = 8192
+SHARD = 32_768
+#: Queries scored at a time.
+BLOCK = 64
 
 
 # ------------------------------------------------------------ the centroids
@@ -136,18 +138,31 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest(q: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, rough: np.ndarray, k: int):
-    """The k best (score, id) among candidates, with ``rough`` scores as a sieve."""
-    rough = np.where(ids == own, -np.inf, rough)
-    at = np.flatnonzero(rough > -np.inf)
-    if len(at) > k:
-        bound = np.partition(rough, len(rough) - k)[len(rough) - k]
-        at = np.flatnonzero(rough >= bound - 1e-9 * (1 + abs(bound)))
+def nearest(q: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, rough: np.ndarray, error: float, k: int):
+    """The k best (score, id) among candidates, in which an id may occur up to
+    REPLICAS times. ``rough`` scores, off by ``error`` at most, are a sieve."""
+    many = REPLICAS * (k + 1)
+    at = np.arange(len(ids))
+    if len(at) > many:
+        bound = np.partition(rough, len(rough) - many)[len(rough) - many]
+        at = np.flatnonzero(rough >= bound - 2 * error)
+    at = at[np.unique(ids[at], return_index=True)[1]]
+    at = at[ids[at] != own]
     score = exact_scores(q, x[at])
     top = np.lexsort((ids[at], -score))[:k]
     return score[top], ids[at][top]
 
 
+class _Rows:
+    """Rows ``at`` of a matrix, fetched when they are asked for."""
+
+    def __init__(self, x: np.ndarray, at: np.ndarray):
+        self.x, self.at = x, at
+
+    def __getitem__(self, i):
+        return self.x[self.at[i]]
+
+
 def _matrix(col: pa.Array) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
@@ -173,7 +188,7 @@ def search(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding",
     """query_id, rank, vec_id, score: the k nearest found of each row whose id
     ``query_every`` divides."""
     spark = common.prepare(df.sparkSession)
-    rows = usable_vectors(df, id_col, vec_col)
+    rows = common.store(usable_vectors(df, id_col, vec_col), "vectors")
     norm2 = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     n, top2 = rows.agg(F.count("*"), F.max(norm2)).first()
     share = min(1.0, SAMPLE / max(1, n))
@@ -266,23 +281,24 @@ def search(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding",
             ids, x = left["vec_id"].to_numpy()[order], _matrix(left["vec"])[order]
             names, first, many = np.unique(lists, return_index=True, return_counts=True)
             where = {int(l): slice(f, f + c) for l, f, c in zip(names, first, many)}
-            q = _matrix(right["vec"])
-            for lo in range(0, len(q), 256):
-                rough = q[lo:lo + 256] @ x.T
-                for r, (own, wanted) in enumerate(zip(right["query_id"][lo:lo + 256].to_pylist(),
-                                                      right["lists"][lo:lo + 256].to_pylist())):
-                    at = np.concatenate([np.r_[where[i]] for i in wanted if i in where] or [np.zeros(0, int)])
-                    # a vector may lie in two of the lists
-                    at = at[np.unique(ids[at], return_index=True)[1]]
-                    s, v = nearest(q[lo + r], own, ids[at], x[at], rough[r, at], k)
-                    out += [(own, a, b) for a, b in zip(v.tolist(), s.tolist())]
-        cols = zip(*out) if out else [(), (), ()]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(
-            ("query_id", "vec_id", "score"), cols, (pa.int64(), pa.int64(), pa.float64()))})
+            q, low = _matrix(right["vec"]), x.astype(np.float32)
+            error = 1e-6 * x.shape[1] * float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1] ** 0.5
+            for lo in range(0, len(q), BLOCK):
+                rough = q[lo:lo + BLOCK].astype(np.float32) @ low.T
+                for r, (own, wanted) in enumerate(zip(right["query_id"][lo:lo + BLOCK].to_pylist(),
+                                                      right["lists"][lo:lo + BLOCK].to_pylist())):
+                    at = np.concatenate([np.arange(where[i].start, where[i].stop) for i in wanted if i in where]
+                                        or [np.zeros(0, int)])
+                    s, v = nearest(q[lo + r], own, ids[at], _Rows(x, at), rough[r, at],
+                                   error, k)
+                    out.append((own, [{"down": -a, "vec_id": b} for a, b in zip(s.tolist(), v.tolist())]))
+        own, top = zip(*out) if out else ((), ())
+        return pa.table({"query_id": pa.array(own, pa.int64()), "top": pa.array(top, pa.list_(pa.struct(
+            [("down", pa.float64()), ("vec_id", pa.int64())])))})
     found = dealt.groupBy("shard", "turn").cogroup(queries.groupBy("shard", "turn")).applyInArrow(
-        score, "query_id long, vec_id long, score double")
-    # a replica may be found in two shards; a query has few rows, k per shard
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.dropDuplicates(["query_id", "vec_id", "score"])
-            .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+        score, "query_id long, top array<struct<down double, vec_id long>>")
+    # a query has k rows from each shard it visits; a replica may be in two
+    merged = found.groupBy("query_id").agg(F.flatten(F.collect_list("top")).alias("top")).select(
+        "query_id", F.posexplode(F.slice(F.sort_array(F.array_distinct("top")), 1, k)).alias("pos", "hit"))
+    return merged.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"),
+                         (-F.col("hit.down")).alias("score"))
