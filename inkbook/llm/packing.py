@@ -37,7 +37,7 @@ END_ID = 1
 SMALL = 8
 GROUPS = 64
 #: Pieces of one length that one window task ranks.
-RANKED = 200_000
+RANKED = 1000
 
 
 # ----------------------------------------------------- planning on counts
