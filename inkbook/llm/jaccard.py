@@ -383,3 +383,24 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return light.join(per_class, "sig", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"), F.hex("sig").alias("class_id"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
+             percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest
+    id; all columns stay. Decisions go by id: of rows that repeat an id one
+    stays (the least text), rows without an id all stay."""
+    common.prepare(docs.sparkSession)
+    found = common.store(jaccard_components(docs, id_col=id_col, text_col=text_col, words=words, percent=percent)
+                         .select("doc_id", "component_id"), "components")
+    # what goes is the smaller part, and often small enough to be sent around
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone__")).distinct()
+    key = F.col(id_col).cast("long")
+    left = docs.join(gone, key == F.col("gone__"), "left_anti")
+    again = common.store(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
+                         .select(F.col("doc_id").alias("again__")), "repeated-ids")
+    if again.isEmpty():
+        return left
+    once = left.join(again, key == F.col("again__"), "left_semi").groupBy(key.alias("again__")).agg(
+        F.min_by(F.struct("*"), common.text_or_empty(text_col)).alias("row__")).select("row__.*")
+    return left.join(again, key == F.col("again__"), "left_anti").unionByName(once)

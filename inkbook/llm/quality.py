@@ -248,15 +248,11 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns. The statistics
-    are computed a second time beside the texts, which costs less than moving
-    the texts to their verdicts."""
+    """The rows of ``docs`` that are kept, with their columns. The rows are
+    stored once beside their statistics, so the texts are gone through once."""
     common.prepare(docs.sparkSession)
-    own = docs.select(F.col(text_col).alias("text__"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
-    stats = common.store(_named(with_statistics(own, "text__"), "lang", "source")
-                         .select("lang__", "source__", "q__"), "quality")
-    groups, params = fit(stats)
-    whole = _named(with_statistics(docs.select(F.struct("*").alias("row__"), F.col(text_col).alias("text__"),
-                                               F.col(lang_col).alias("lang"), F.col(source_col).alias("source")),
-                                   "text__"), "lang", "source").select("row__", "lang__", "source__", "q__")
-    return verdict(whole, groups, params).where("kept").select("row__.*")
+    own = docs.select(F.struct("*").alias("row__"), F.col(text_col).alias("text__"),
+                      F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+    whole = common.store(_named(with_statistics(own, "text__"), "lang", "source")
+                         .select("row__", "lang__", "source__", "q__"), "quality")
+    return verdict(whole, *fit(whole.select("lang__", "source__", "q__"))).where("kept").select("row__.*")
