@@ -161,7 +161,7 @@ class Page:
             self.events.append((self._open[-1], " "))
 
     def _end(self, tag: str) -> None:
-        if tag in BLOCK:
+        if tag in BLOCK and (tag == "p" or self._count.get(tag)):
             self.events.append(None)
         if tag == "br":
             self.events.append((self._open[-1], " "))
