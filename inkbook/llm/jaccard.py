@@ -12,6 +12,7 @@
 4. Two similar sets share a shingle of their prefixes in that order. Sets that
    share one and have compatible sizes form a block; blocks of equal members
    are kept once; large ones are dealt out as pairs of chunks.
+   Blocks whose members a first round has connected already are left out.
 5. A task stores the ordered sets of a block in a trie and walks it once for
    all probing sets together: overlaps along a shared path are counted once,
    and a subtree is left as soon as the lengths that remain cannot reach the
@@ -194,45 +195,51 @@ def _slot(tokens: np.ndarray) -> np.ndarray:
     return (common.mix(tokens) >> np.uint64(44)).astype(np.int64)
 
 
-def classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """doc_id, n, sig (null for the empty set), first: the codes of the longest
-    shingles, which the first test looks at."""
+def classes(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """doc_id, n, sig (null for the empty set) of every document."""
     def run(rows):
         for b in common.batches(rows):
-            n, sig, first = [], [], []
+            n, sig = [], []
             for s in shingle_sets(b.column(1), words):
                 n.append(len(s))
                 sig.append(signature(s) if len(s) else None)
-                first.append(s[:int(np.ceil(len(s) * (100 - percent) / 100 * FIRST)) + 1].astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(first, pa.binary())],
-                names=["doc_id", "n", "sig", "first"])
-    return common.store(_bodies(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, n int, sig binary, first binary"), "shingle-classes")
-
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.binary())],
+                                             names=["doc_id", "n", "sig"])
+    return common.store(_bodies(docs, id_col, text_col).mapInArrow(run, "doc_id long, n int, sig binary"),
+                        "shingle-classes")
 
-def _short(sig) -> F.Column:
-    return F.xxhash64(sig)
 
-
-def with_partners(light: DataFrame, percent: int) -> DataFrame:
+def with_partners(docs: DataFrame, light: DataFrame, id_col: str, text_col: str, words: int,
+                  percent: int) -> DataFrame:
     """(sig, n) of the classes that may have a partner."""
-    def explode(rows):
-        for b in rows:
-            parts = [np.frombuffer(x, "<i8") for x in b.column(1).to_pylist()]
-            key = np.repeat(b.column(0).to_numpy(), [len(p) for p in parts])
-            tokens = np.concatenate(parts) if parts else np.zeros(0, "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(tokens)], names=["key", "token"])
-    full = light.where(F.col("sig").isNotNull())
-    tokens = full.select(_short("sig").alias("key"), "first").mapInArrow(explode, "key long, token long")
+    def longest(rows):
+        for b in common.batches(rows):
+            keys, parts = [], []
+            for s in shingle_sets(b.column(1), words):
+                part = s[:int(np.ceil(len(s) * (100 - percent) / 100 * FIRST)) + 1]
+                parts.append(part)
+                keys.append(np.full(len(part), _key(signature(s)) if len(s) else 0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(parts).view(np.int64))],
+                                             names=["key", "token"])
+    tokens = _bodies(docs, id_col, text_col).mapInArrow(longest, "key long, token long")
     single = tokens.groupBy("token").agg(F.min("key").alias("key"), F.max("key").alias("other")) \
         .where(F.col("key") == F.col("other"))
     alone = single.groupBy("key").agg(F.count("*").alias("alone"))
-    one = full.groupBy("sig").agg(F.first("n").alias("n")).withColumn("key", _short("sig"))
+    one = light.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.first("n").alias("n")).withColumn("key", _sql_key())
     bound = F.col("n") - F.ceil(F.col("n") * percent / 100)
     return one.join(alone, "key", "left").where(F.coalesce("alone", F.lit(0)) <= bound).select("sig", "n")
 
 
+def _key(sig: bytes) -> int:
+    """Eight bytes of a signature as a number (63 bits), in Python ..."""
+    return int.from_bytes(sig[:8], "big") >> 1
+
+
+def _sql_key():
+    """... and in Spark."""
+    return F.shiftrightunsigned(F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long"), 1)
+
+
 def bloom(keys: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
     """Bitmap of the rows' ``key`` hashes, of fixed size."""
     at = F.pmod(F.col("key"), F.lit(bits)) + 1        # Spark's positions count from 1
@@ -248,8 +255,8 @@ def bloom(keys: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
 
 def candidate_sets(docs: DataFrame, light: DataFrame, id_col: str, text_col: str, words: int,
                    percent: int) -> DataFrame:
-    """sig, n, tokens (codes) of the classes that may have a partner."""
-    seen = bloom(with_partners(light, percent).select(_bloom_key()))
+    """sig, n, tokens (codes), id of the classes that may have a partner."""
+    seen = bloom(with_partners(docs, light, id_col, text_col, words, percent).select(_sql_key().alias("key")))
 
     def run(rows):
         for b in common.batches(rows):
@@ -258,7 +265,7 @@ def candidate_sets(docs: DataFrame, light: DataFrame, id_col: str, text_col: str
                 if not len(s):
                     continue
                 sig = signature(s)
-                at = _bloom_at(sig)
+                at = _key(sig) % BLOOM_BITS
                 if seen[at >> 3] >> (at & 7) & 1 and sig not in batch:
                     batch.add(sig)
                     out.append((sig, len(s), s.astype("<u8").tobytes()))
@@ -266,18 +273,8 @@ def candidate_sets(docs: DataFrame, light: DataFrame, id_col: str, text_col: str
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()),
                                               pa.array(cols[2], pa.binary())], names=["sig", "n", "tokens"])
     rows = _bodies(docs, id_col, text_col).mapInArrow(run, "sig binary, n int, tokens binary")
-    return common.store(rows.groupBy("sig").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")),
-                        "shingle-sets")
-
-
-def _bloom_key():
-    """Four bytes of a signature as a number, in Spark ..."""
-    return F.conv(F.hex(F.substring("sig", 1, 4)), 16, 10).cast("long").alias("key")
-
-
-def _bloom_at(sig: bytes) -> int:
-    """... and in Python, cut to the bitmap."""
-    return int.from_bytes(sig[:4], "big") % BLOOM_BITS
+    return common.store(rows.groupBy("sig").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+                        .withColumn("id", F.xxhash64("sig")), "shingle-sets")
 
 
 def rarity(sets: DataFrame) -> np.ndarray:
@@ -297,58 +294,65 @@ def rarity(sets: DataFrame) -> np.ndarray:
     return np.minimum(out, 2**31 - 1).astype(np.int32)
 
 
-def links(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between classes, enough of them to connect what is linked."""
-    counts = rarity(sets)
-    weight = lambda tokens: counts[_slot(tokens)]
+def blocks(sets: DataFrame, weight, percent: int) -> DataFrame:
+    """(id, token, k, members): which sets (by a short name; two sets of one
+    name only meet in vain) are in which block, each membership kept once."""
     step = np.log(100 / percent)
 
     def prefixes(rows):
         for b in rows:
             key, token, size = [], [], []
-            for sig, n, t in zip(*(c.to_pylist() for c in b.columns)):
+            for name, n, t in zip(*(c.to_pylist() for c in b.columns)):
                 t = np.frombuffer(t, "<u8")
                 w = weight(t)
                 first = np.lexsort((t, w))[:allowed(n, percent) + 1]
                 first = first[w[first] > 1]
-                key += [sig] * len(first)
+                key += [name] * len(first)
                 size += [n] * len(first)
                 token.append(t[first])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.binary()), pa.array(size, pa.int32()),
+                [pa.array(key, pa.int64()), pa.array(size, pa.int32()),
                  pa.array((np.concatenate(token) if token else np.zeros(0, "<u8")).astype(np.int64))],
-                names=["sig", "n", "token"])
+                names=["id", "n", "token"])
     # partners' sizes lie in one class of sizes or in two neighbouring ones
     k = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
-    posts = sets.select("sig", "n", "tokens").mapInArrow(prefixes, "sig binary, n int, token long") \
-        .select("sig", "n", "token", F.explode(F.array(k, k + 1)).alias("k"))
+    posts = sets.select("id", "n", "tokens").mapInArrow(prefixes, "id long, n int, token long") \
+        .select("id", "n", "token", F.explode(F.array(k, k + 1)).alias("k"))
     block = posts.groupBy("token", "k").agg(
-        F.count("*").alias("members"), F.bit_xor(F.xxhash64("sig")).alias("x"),
-        F.sum(F.xxhash64(F.lit(1), "sig").bitwiseAND(F.lit((1 << 40) - 1))).alias("y"), F.min("n").alias("least"), F.max("n").alias("most")) \
+        F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"),
+        F.sum(F.xxhash64(F.lit(1), "id").bitwiseAND(F.lit((1 << 40) - 1))).alias("y"),
+        F.min("n").alias("least"), F.max("n").alias("most")) \
         .where((F.col("members") > 1) & ((F.col("members") > 2) | (100 * F.col("least") >= percent * F.col("most"))))
     kept = block.groupBy("members", "x", "y").agg(F.min(F.struct("token", "k")).alias("b")) \
-        .select(F.col("b.token").alias("token"), F.col("b.k").alias("k"),
-                F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"))
-    rows = posts.join(kept, ["token", "k"])
+        .select(F.col("b.token").alias("token"), F.col("b.k").alias("k"), "members")
+    return common.store(posts.select("id", "token", "k").join(kept, ["token", "k"]), "shingle-blocks")
+
+
+def within_blocks(rows: DataFrame, sets: DataFrame, weight, percent: int) -> DataFrame:
+    """(a, b): the links of the blocks (token, k) of ``rows``."""
+    size = rows.groupBy("token", "k").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"),
+                                          F.count("*").alias("m")).where("m > 1").drop("m")
     # chunk pairs (i, j), i <= j: a set meets its own chunk and every other
-    me = F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int")
-    rows = rows.withColumn("me", me).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))) \
-        .select("sig", "token", "k", F.least("me", "other").alias("i"), F.greatest("me", "other").alias("j"),
-                (F.col("me") > F.col("other")).cast("int").alias("side"))
-    key = F.xxhash64("token", "k", "i", "j")
-    dealt = rows.withColumn("block", key).select("sig", "block", "side").join(sets.select("sig", "tokens"), "sig") \
+    dealt = rows.join(size, ["token", "k"]) \
+        .withColumn("me", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))) \
+        .select("id", F.xxhash64("token", "k", F.least("me", "other"), F.greatest("me", "other")).alias("block"),
+                (F.col("me") > F.col("other")).cast("int").alias("side")) \
+        .join(sets.select("id", "sig", "tokens"), "id") \
         .select("block", "side", "sig", "tokens").repartition("block").sortWithinPartitions("block")
 
+    def pairs(found):
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()),
+                                           pa.array([f[1] for f in found], pa.binary())], names=["a", "b"])
+
     def join(batches):
-        block, held = None, []
+        block, held, found = None, [], []
 
         def solve():
-            if len(held) < 2:
-                return
-            own = [np.frombuffer(h[2], "<u8") for h in held]
-            for a, b in block_links(own, [h[0] for h in held], weight, percent):
-                found.append((held[a][1], held[b][1]))
-        found: list = []
+            if len(held) > 1:
+                own = [np.frombuffer(h[2], "<u8") for h in held]
+                for a, b in block_links(own, [h[0] for h in held], weight, percent):
+                    found.append((held[a][1], held[b][1]))
         for b in common.batches(batches):
             for key, side, sig, tokens in zip(*(c.to_pylist() for c in b.columns)):
                 if key != block:
@@ -356,15 +360,31 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
                     block, held = key, []
                 held.append((side, sig, tokens))
             if len(found) > 5000:
-                yield _pairs(found)
+                yield pairs(found)
                 found.clear()
         solve()
-        yield _pairs(found)
+        yield pairs(found)
+    return common.store(dealt.mapInArrow(join, "a binary, b binary"), "shingle-links")
 
-    def _pairs(found):
-        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()),
-                                           pa.array([f[1] for f in found], pa.binary())], names=["a", "b"])
-    return dealt.mapInArrow(join, "a binary, b binary")
+
+def links(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between classes, enough of them to connect what is linked.
+
+    First every set goes to one block only, its largest: that connects most of
+    a family. Then go the blocks whose members are not all connected yet."""
+    counts = rarity(sets)
+    weight = lambda tokens: counts[_slot(tokens)]
+    rows = blocks(sets, weight, percent)
+    largest = rows.groupBy("id").agg(F.max(F.struct("members", "token", "k")).alias("b")) \
+        .select("id", "b.token", "b.k")
+    some = within_blocks(largest, sets, weight, percent)
+    known = graph.components(some, "a", "b")
+    part = sets.select("id", "sig").join(known.withColumnRenamed("node", "sig"), "sig", "left") \
+        .select("id", F.coalesce("root", "sig").alias("root"))
+    open_ = rows.join(part, "id").groupBy("token", "k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")) \
+        .where("lo < hi").select("token", "k")
+    rest = within_blocks(rows.select("id", "token", "k").join(open_, ["token", "k"]), sets, weight, percent)
+    return some.union(rest)
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
@@ -372,7 +392,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by
     links) and class_id (the set's name, null if empty) of every document."""
     common.prepare(docs.sparkSession)
-    light = classes(docs, id_col, text_col, words, percent)
+    light = classes(docs, id_col, text_col, words)
     sets = candidate_sets(docs, light, id_col, text_col, words, percent)
     roots = graph.components(links(sets, percent), "a", "b")
     firsts = light.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("least"))
