@@ -61,11 +61,9 @@ class Config:
     # price benchmark
     min_priced_jobs: int = 200
     holdout_buckets: int = 4  # one bucket of four is held out: a 75/25 split
-    # Tuned on held-out error at sf0.1: 40 trees at step 0.15 are within 0.3
-    # points of 60 at 0.1 (median abs error 33.1% vs 32.8%) in 60% of the time.
-    gbt_max_iter: int = 40
+    gbt_max_iter: int = 400
     gbt_max_depth: int = 6
-    gbt_step_size: float = 0.15
+    gbt_step_size: float = 0.06
     seed: int = 42
 
     # list lengths

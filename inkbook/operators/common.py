@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkbook.session import ensure_checkpoint_dir
 
 MONEY = "decimal(28,8)"
 
@@ -118,62 +117,78 @@ def attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.withColumns({c: small.select(c).scalar() for c in small.columns})
 
 
-def running_sum(df: DataFrame, value, order: Sequence[Column], by: Sequence[str],
-                out: str, partitions: int | None = None, total: str | None = None) -> DataFrame:
-    """Running total in ``order`` (per ``by`` group) without a single-partition
-    window: range-partition on (by, order), total each partition (a tiny
-    table: one row per group and partition), turn those into offsets, then
-    run a local window per partition. ``total`` also attaches the group total,
-    read off the same tiny table."""
-    by = list(by)
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    v = col(value)
-    # Partition ids come from sampled range bounds, so they are not a function
-    # of the row: both passes below must read one materialisation of them.
-    # A reliable checkpoint (shared checkpoint folder) pins it and survives
-    # executor loss; recomputing the exchange could draw different bounds.
-    ranged = df.repartitionByRange(n, *[F.col(b) for b in by], *order) \
-        .withColumn("_pid", F.spark_partition_id())
-    ensure_checkpoint_dir(spark)
-    ranged = ranged.checkpoint(eager=True)
-    part = ranged.groupBy(*by, "_pid").agg(F.sum(v).alias("_psum"))
-    zero = F.lit(0).cast(part.schema["_psum"].dataType)
-    offs = part.withColumn(
-        "_off",
-        F.coalesce(F.sum("_psum").over(
-            Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), zero))
-    if total:
-        offs = offs.withColumn(total, F.sum("_psum").over(Window.partitionBy(*by)))
-    offs = offs.drop("_psum")
-    w = Window.partitionBy(*by, "_pid").orderBy(*order) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumn("_loc", F.sum(v).over(w))
-    return local.join(F.broadcast(offs), on=[*by, "_pid"], how="left") \
-        .withColumn(out, F.col("_off") + F.col("_loc")).drop("_off", "_loc", "_pid")
+#: Value ranges per group that order statistics and prefix sums count over.
+RANGES = 64
+
+
+def _ranges(distinct: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """``distinct`` (one row per key and value) with ``_r``, the number of the
+    value's range within its group. The bounds are approximate quantiles of
+    the distinct values; results do not depend on where they lie."""
+    steps = [i / RANGES for i in range(1, RANGES)]
+    bounds = distinct.groupBy(*keys).agg(
+        F.array_distinct(F.percentile_approx(F.col(value).cast("double"), F.array(*map(F.lit, steps)), F.lit(1000)))
+        .alias("_b"))
+    df = attach(distinct, bounds, keys)
+    return df.withColumn("_r", F.size(F.filter("_b", lambda b: b < F.col(value).cast("double")))).drop("_b")
+
+
+def _null_safe(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join on keys that may be null; the right side's keys are dropped."""
+    right = b.select(*[F.col(k).alias(f"_k_{i}") if k in keys else F.col(k) for i, k in
+                       [(list(keys).index(c) if c in keys else -1, c) for c in b.columns]])
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{i}")) for i, k in enumerate(keys)]
+    return a.join(right, on=on).drop(*[f"_k_{i}" for i in range(len(keys))])
+
+
+def prefix_sums(distinct: DataFrame, value: str, by: Sequence[str], sums: dict[str, Column],
+                ascending: bool = True, total: str | None = None) -> DataFrame:
+    """Per ``by`` group, sums over all rows before each row in the order of
+    ``value``; the rows hold each value of a group once. ``total`` also adds
+    the group's total of the first sum.
+
+    Lazy and without a global sort: rows fall into RANGES value ranges per
+    group, the ranges' totals (a bounded number per group) are summed up, and
+    a window runs inside each range only."""
+    keys = list(by) or [ONE_GROUP]
+    df = distinct if by else one_group(distinct)
+    d = _ranges(df, value, keys)
+    order = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
+    base = d.groupBy(*keys, "_r").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    before = Window.partitionBy(*keys).orderBy(order("_r")).rowsBetween(Window.unboundedPreceding, -1)
+    zero = {n: F.lit(0).cast(base.schema[n].dataType) for n in sums}
+    whole = [F.sum(next(iter(sums))).over(Window.partitionBy(*keys)).alias(total)] if total else []
+    base = base.select(*keys, "_r", *[F.coalesce(F.sum(n).over(before), zero[n]).alias(f"{n}_base") for n in sums], *whole)
+    inside = Window.partitionBy(*keys, "_r").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, -1)
+    local = d.withColumns({n: F.coalesce(F.sum(c).over(inside), zero[n]) for n, c in sums.items()})
+    out = _null_safe(local, base, [*keys, "_r"])
+    out = out.withColumns({n: F.col(n) + F.col(f"{n}_base") for n in sums})
+    return out.drop("_r", *[f"{n}_base" for n in sums], *([] if by else [ONE_GROUP]))
 
 
 def exact_quantiles(df: DataFrame, value, keys: Sequence[str], qs: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles of a continuous column per group,
-    without buffering a group in one task: rows are ranked by a running count
-    over a range partitioning of (keys, value), which splits a hot group
-    across partitions, and each quantile is read off the two ranks around
-    q * (n - 1). Equals ``percentile`` / DuckDB ``quantile_cont``."""
+    lazily and without buffering a group in one task: equal values are counted
+    first (so a value that most rows share is one row), the counts before each
+    value come from ``prefix_sums``, and each quantile is read off the values
+    that cover the two ranks around q * (n - 1). Equals ``percentile`` /
+    DuckDB ``quantile_cont``."""
     keys = list(keys)
     v = col(value)
     d = df.select(*keys, v.cast("double").alias("_v")).filter(F.col("_v").isNotNull()) \
-        .withColumn("_one", F.lit(1).cast("bigint"))
-    r = running_sum(d, "_one", [F.col("_v").asc()], keys, "_rank", total="_n")
+        .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    own = keys or [ONE_GROUP]
+    d = d if keys else one_group(d)
+    r = prefix_sums(d, "_v", own, {"_before": F.col("_c")}, total="_n")
     aggs = []
     for name, q in qs.items():
         pos = (F.col("_n") - 1).cast("double") * F.lit(float(q))
-        lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
-        aggs += [F.max(F.when(F.col("_rank") == lo, F.col("_v"))).alias(f"_{name}_lo"),
-                 F.max(F.when(F.col("_rank") == hi, F.col("_v"))).alias(f"_{name}_hi"),
+
+        def covers(rank):
+            return (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c"))
+        aggs += [F.max(F.when(covers(F.floor(pos)), F.col("_v"))).alias(f"_{name}_lo"),
+                 F.max(F.when(covers(F.ceil(pos)), F.col("_v"))).alias(f"_{name}_hi"),
                  F.max(pos - F.floor(pos)).alias(f"_{name}_fr")]
-    g = r.filter(F.col("_rank").isin(*[F.floor((F.col("_n") - 1).cast("double") * F.lit(float(q))) + k
-                                       for q in qs.values() for k in (1, 2)])) \
-        .groupBy(*keys).agg(*aggs)
-    out = g.select(*keys, *[(F.col(f"_{m}_lo") + F.col(f"_{m}_fr") * (F.coalesce(F.col(f"_{m}_hi"), F.col(f"_{m}_lo"))
-                                                                      - F.col(f"_{m}_lo"))).alias(m) for m in qs])
-    return out
+    g = r.groupBy(*own).agg(*aggs)
+    return g.select(*keys, *[(F.col(f"_{m}_lo") + F.col(f"_{m}_fr") * (F.col(f"_{m}_hi") - F.col(f"_{m}_lo"))).alias(m)
+                             for m in qs])

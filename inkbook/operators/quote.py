@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +20,13 @@ from inkbook.operators.common import attach, exact_quantiles, rnd, top_k
 NUMERIC_FEATURES = ["quantity", "impressions", "plates", "press_hrs", "paper_base", "labour_base",
                     "purchases_base"]
 CATEGORICAL_FEATURES = ["work_type", "region", "currency", "product_type_clean"]
-FEATURE_LABELS = ["Order quantity", "Impressions (sheets)", "Printing plates", "Press hours", "Paper cost",
-                  "Labour cost", "Bought-in cost", "Work type", "Region", "Currency", "Product type"]
+# How the inputs are named to readers.
+FEATURE_LABELS = {
+    "quantity": "Order quantity", "impressions": "Impressions (sheets)", "plates": "Printing plates",
+    "press_hrs": "Press hours", "paper_base": "Paper cost", "labour_base": "Labour cost",
+    "purchases_base": "Bought-in cost", "work_type": "Work type", "region": "Region", "currency": "Currency",
+    "product_type_clean": "Product type",
+}
 
 
 def _row_key(df: DataFrame) -> DataFrame:
@@ -32,13 +38,26 @@ def _row_key(df: DataFrame) -> DataFrame:
 def price_features(jobs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Priced jobs with model features; NULL categories read 'Unknown'."""
     d = _row_key(jobs).filter(F.col("sell_price_base") > 0)
+    # a grouping key that is a feature too stays as it is, once
+    own = [c for c in CATEGORICAL_FEATURES if c not in by]
     return d.select(*by, "row_key", "job_id", "customer_name",
                     *[F.col(c).cast("double").alias(c) for c in NUMERIC_FEATURES],
-                    *[F.coalesce(F.col(c).cast("string"), F.lit("Unknown")).alias(c) for c in CATEGORICAL_FEATURES],
+                    *[F.coalesce(F.col(c).cast("string"), F.lit("Unknown")).alias(c) for c in own],
                     F.col("sell_price_base").alias("actual_price"),
                     F.log1p("sell_price_base").alias("label"))
 
 
+def features_used(split: DataFrame) -> DataFrame:
+    """The model's inputs and how they read (one row per input)."""
+    rows = [(i + 1, f, FEATURE_LABELS[f]) for i, f in enumerate([*NUMERIC_FEATURES, *CATEGORICAL_FEATURES])]
+    names = F.explode(F.array(*[F.struct(F.lit(i).cast("bigint").alias("ordinal"), F.lit(f).alias("feature"),
+                                         F.lit(t).alias("label")) for i, f, t in rows])).alias("x")
+    # how many of the split's jobs have a value for it
+    present = split.agg(*[F.count(F.when(F.col(f).cast("string") != "Unknown", 1)).alias(f) for _, f, _ in rows])
+    pairs = F.create_map(*[e for _, f, _ in rows for e in (F.lit(f), F.col(f))])
+    return present.select(names, pairs.alias("m")).select("x.*", F.col("m")[F.col("x.feature")].alias("jobs_with_value"))
+
+
 def holdout_split(features: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """1 bucket in ``holdout_buckets`` is held out, chosen by a hash of the
     row key (identical on every engine and partitioning)."""
@@ -46,7 +65,7 @@ def holdout_split(features: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return features.withColumn("is_test", (h % cfg.holdout_buckets) == 0)
 
 
-def comparable_baseline(split: DataFrame, by: Sequence[str] = (), exact: bool = True) -> DataFrame:
+def comparable_baseline(split: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Expected price of each held-out job = median log price per unit of its
     (work type, product) on the training split, falling back to work type and
     then to all training jobs; times its quantity."""
@@ -63,10 +82,9 @@ def comparable_baseline(split: DataFrame, by: Sequence[str] = (), exact: bool =
         F.struct(F.lit(3).alias("_lvl"), F.lit("").alias("_wt"), F.lit("").alias("_pt"))))
     tagged = train.select(*by, "_lpu", levels.alias("_level")).select(*by, "_lpu", "_level.*")
     keys = [*by, "_lvl", "_wt", "_pt"]
-    if exact:
-        meds = exact_quantiles(tagged, "_lpu", keys, {"m": 0.5})
-    else:
-        meds = tagged.groupBy(*keys).agg(F.percentile_approx("_lpu", 0.5, 10000).alias("m"))
+    # Three joins read the medians (one row per label pair): kept, lazily, so
+    # that neither the plan nor the work holds them three times.
+    meds = exact_quantiles(tagged, "_lpu", keys, {"m": 0.5}).persist(StorageLevel.MEMORY_AND_DISK)
     m1 = meds.filter(F.col("_lvl") == 1).select(*by, F.col("_wt").alias("work_type"),
                                                  F.col("_pt").alias("product_type_clean"), F.col("m").alias("_m1"))
     m2 = meds.filter(F.col("_lvl") == 2).select(*by, F.col("_wt").alias("work_type"), F.col("m").alias("_m2"))
@@ -80,7 +98,7 @@ def comparable_baseline(split: DataFrame, by: Sequence[str] = (), exact: bool =
 
 def train_price_model(split: DataFrame, cfg: Config = DEFAULT):
     """Fit the boosted-tree pipeline on the training split. Returns the fitted
-    model, or None with a reason when fewer than ``min_priced_jobs`` rows are
+    model, or None with a reason (then the predictions are empty) when fewer than ``min_priced_jobs`` rows are
     priced (one count at the edge)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -106,6 +124,8 @@ def train_price_model(split: DataFrame, cfg: Config = DEFAULT):
 
 def model_predictions(model, split: DataFrame) -> DataFrame:
     """Held-out jobs scored by the fitted model (expected price in money)."""
+    if model is None:
+        return split.filter(F.lit(False)).withColumn("expected_price", F.lit(None).cast("double"))
     pred = model.transform(split.filter(F.col("is_test")))
     return pred.withColumn("expected_price", F.expm1("prediction")).drop("features", "prediction",
                                                                           *[f"{c}_idx" for c in CATEGORICAL_FEATURES])

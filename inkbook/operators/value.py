@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkbook.config import DEFAULT, Config
 from inkbook.operators.cadence import CUSTOMER
 from inkbook.operators.common import (ONE_GROUP, attach, dbl, first_by_date, join_on, msum, not_null, one_group, rnd,
-                                      running_sum, top_k)
+                                      prefix_sums, top_k)
 
 
 def customer_order():
@@ -114,20 +114,46 @@ def industry_breakdown(jobs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def pareto_80(bc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Customers whose running share of VA stays within 80% (floor 1)."""
-    slim = bc.select(*by, "customer_id", "customer_name", "total_va_amount", "_total_va")
-    run = running_sum(slim, "total_va_amount", customer_order(), by, "_cum")
-    cum_share = F.when(F.col("_total_va") != 0,
-                       dbl("_cum") / dbl("_total_va") * F.lit(100.0)).otherwise(F.lit(0.0))
-    agg = run.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("customer_count"),
-        F.count(F.when(cum_share <= 80, 1)).alias("_n80"))
-    n80 = F.greatest(F.col("_n80"), F.lit(1)).cast("bigint")
-    return agg.select(*by, "customer_count", n80.alias("customers_for_80pct_value"),
-                      rnd(n80 / F.greatest(F.col("customer_count"), F.lit(1)) * F.lit(100.0), 1)
+    """Customers whose running share of VA stays within 80% (floor 1).
+
+    Customers of equal value are one row with their number: the running total
+    after the j-th of them is the total before them plus j times the value, so
+    the number within 80% follows per value, and no customer list is sorted."""
+    values = bc.groupBy(*by, "total_va_amount").agg(F.count(F.lit(1)).alias("_k"), F.max("_total_va").alias("_total_va"))
+    run = prefix_sums(values, "total_va_amount", by, {"_before": F.col("total_va_amount") * F.col("_k")}, ascending=False)
+    v, k, before, total = dbl("total_va_amount"), F.col("_k"), F.col("_before"), dbl("_total_va")
+
+    def within(j):
+        share = F.when(total != 0, dbl(F.col("_before") + F.col("total_va_amount") * j) / total * F.lit(100.0)) \
+            .otherwise(F.lit(0.0))
+        return share <= 80
+    # the last j within the bound, by division, then set right by the test
+    # itself at the two places around it (division rounds)
+    room = F.when(v == 0, k).otherwise(F.floor((total * 0.8 - dbl(before)) / v)).cast("bigint")
+    guess = F.least(F.greatest(room, F.lit(0)), k)
+    up = F.when((guess < k) & within(guess + 1), guess + 1).otherwise(guess)
+    last = F.when((up > 0) & ~within(up), up - 1).otherwise(up)
+    # a negative value lowers the total: those after the first fitting one fit
+    falling = F.when(within(F.lit(1)), k).otherwise(F.greatest(F.lit(0), k - F.greatest(room, F.lit(0))))
+    n = F.when(total == 0, k).when(v > 0, last).when(v == 0, F.when(within(F.lit(1)), k).otherwise(0)).otherwise(falling)
+    agg = run.groupBy(*by).agg(F.sum("_k").alias("customer_count"), F.sum(n).alias("_n80"))
+    n80 = F.greatest(F.coalesce("_n80", F.lit(0)), F.lit(1)).cast("bigint")
+    return agg.select(*by, F.coalesce("customer_count", F.lit(0)).alias("customer_count"),
+                      n80.alias("customers_for_80pct_value"),
+                      rnd(n80 / F.greatest(F.coalesce("customer_count", F.lit(0)), F.lit(1)) * F.lit(100.0), 1)
                       .alias("pct_of_customers_for_80pct_value"))
 
 
+def tied_accounts(bc: DataFrame, by: Sequence[str] = (), cfg: Config = DEFAULT) -> DataFrame:
+    """Every customer whose VA is within ``near_tie_pct`` of the largest."""
+    by = list(by)
+    top = attach(bc, bc.groupBy(*by).agg(F.max("total_va_amount").alias("_v1")), by)
+    gap = F.lit(1.0) - dbl("total_va_amount") / dbl("_v1")
+    return top.where((F.col("total_va_amount") > 0) & (gap <= cfg.near_tie_pct)).select(
+        *by, "customer_id", "customer_name", rnd("total_va_amount").alias("total_va_amount"),
+        rnd(gap * 100, 1).alias("below_top_pct"))
+
+
 def _shape_parts(bc: DataFrame, by: Sequence[str], cfg: Config):
     """Top ranks (enough for every rank-based figure) and whole-mart counts."""
     top = top_k(bc, customer_order(), cfg.max_ranks_considered + 2, by, rank_col="rank")
@@ -187,7 +213,8 @@ def concentration_shape(bc: DataFrame, by: Sequence[str] = (), cfg: Config = DEF
 
 
 def concentration_summary(bc: DataFrame, by: Sequence[str] = (), cfg: Config = DEFAULT) -> DataFrame:
-    """Concentration figures for the brief (V8), with floors of 1."""
+    """Concentration figures for the brief (V8), with floors of 1. The tied
+    accounts themselves are the rows of ``tied_accounts``."""
     by = list(by)
     if not by:
         # Nested scalar subqueries trip the subquery-merging rule, so the
@@ -208,10 +235,6 @@ def concentration_summary(bc: DataFrame, by: Sequence[str] = (), cfg: Config = D
     })
     j = join_on(top, base.select(*by, "lead_n", "ahead_n", "_v1"), by) if by else top.withColumns(
         {c: base.select(c).scalar() for c in ("lead_n", "ahead_n", "_v1")})
-    # Names of tied accounts come from the ranks already held (top 12); the
-    # tied count itself is exact over all customers.
-    tied = (F.col("total_va_amount") > 0) & \
-        (F.lit(1.0) - dbl("total_va_amount") / dbl("_v1") <= cfg.near_tie_pct)
     r = F.col("rank")
     va = F.col("total_va_amount")
     ranks = j.groupBy(*by).agg(
@@ -226,8 +249,6 @@ def concentration_summary(bc: DataFrame, by: Sequence[str] = (), cfg: Config = D
         F.max(F.when(r == F.col("lead_n") + 1, F.col("customer_name"))).alias("next_after_leading_name"),
         F.max(F.when(r == F.col("lead_n") + 1, va)).alias("_vnext"),
         F.max(F.when(r == F.col("ahead_n") + 1, va)).alias("_vtail"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(tied, F.struct(r, F.col("customer_name"))))),
-                                 lambda x: x["customer_name"]), ", ").alias("_tied_names"),
     )
     df = join_on(base, ranks, by) if by else base.withColumns(
         {c: ranks.select(c).scalar() for c in ranks.columns})
@@ -237,7 +258,6 @@ def concentration_summary(bc: DataFrame, by: Sequence[str] = (), cfg: Config = D
         return rnd(F.when(total != 0, F.coalesce(dbl(c), F.lit(0.0)) / total * 100).otherwise(0.0), 1)
 
     mean_va = dbl("_total") / F.col("customer_count")
-    tied_names = F.when(F.col("n_pos") == 0, F.col("top_customer_name")).otherwise(F.col("_tied_names"))
     return df.select(
         *by,
         F.col("customer_count").cast("bigint").alias("customer_count"),
@@ -246,7 +266,7 @@ def concentration_summary(bc: DataFrame, by: Sequence[str] = (), cfg: Config = D
         share("_s5").alias("top_5_share_pct"),
         F.col("lead_n").cast("bigint").alias("leading_count"), "leading_names",
         share("_slead").alias("leading_share_pct"),
-        F.col("tied_n").cast("bigint").alias("tied_count"), tied_names.alias("tied_names"),
+        F.col("tied_n").cast("bigint").alias("tied_count"),
         F.when((F.col("tied_n") > 1) & (F.col("_v1") != 0),
                rnd((dbl("_v1") - dbl("_v_tied")) / dbl("_v1") * 100, 1)).otherwise(0.0)
         .alias("tied_spread_pct"),

@@ -54,3 +54,13 @@ SELECT count(*) FILTER (WHERE gap_pct <= -20) AS flagged_count,
        CAST(20.0 AS DOUBLE) AS threshold_pct
 FROM (SELECT *, actual_price - expected_price AS gap,
              (actual_price - expected_price) / expected_price * 100 AS gap_pct FROM pbase) t""", "pbase")
+
+LABELS = {
+    "quantity": "Order quantity", "impressions": "Impressions (sheets)", "plates": "Printing plates",
+    "press_hrs": "Press hours", "paper_base": "Paper cost", "labour_base": "Labour cost",
+    "purchases_base": "Bought-in cost", "work_type": "Work type", "region": "Region", "currency": "Currency",
+    "product_type_clean": "Product type"}
+q("features_used", " UNION ALL ".join(
+    f"SELECT CAST({i} AS BIGINT) AS ordinal, '{f}' AS feature, '{t}' AS label, "
+    f"(SELECT count(*) FROM psplit WHERE CAST({f} AS VARCHAR) <> 'Unknown') AS jobs_with_value"
+    for i, (f, t) in enumerate(LABELS.items(), 1)), "psplit")

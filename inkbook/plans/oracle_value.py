@@ -73,9 +73,6 @@ SELECT p.customer_count, p.customers_for_80pct_value, p.pct_of_customers_for_80p
        (SELECT string_agg(customer_name, ', ' ORDER BY rank) FROM bc WHERE rank <= lead_n) AS leading_names,
        {R("coalesce((SELECT sum(total_va_amount) FROM bc WHERE rank <= lead_n), 0) / tot * 100", 1)} AS leading_share_pct,
        tied_n AS tied_count,
-       CASE WHEN (SELECT n_pos FROM shape_raw) = 0 THEN (SELECT customer_name FROM bc WHERE rank = 1)
-            ELSE (SELECT string_agg(customer_name, ', ' ORDER BY rank) FROM bc
-                  WHERE rank <= 12 AND total_va_amount > 0 AND 1 - CAST(total_va_amount AS DOUBLE) / v1 <= 0.12) END AS tied_names,
        CASE WHEN tied_n > 1 AND v1 <> 0 THEN
             {R("(v1 - (SELECT CAST(min(total_va_amount) AS DOUBLE) FROM bc WHERE total_va_amount > 0 AND 1 - CAST(total_va_amount AS DOUBLE) / v1 <= 0.12)) / v1 * 100", 1)}
             ELSE 0 END AS tied_spread_pct,
@@ -115,6 +112,11 @@ FROM jd WHERE industry IS NOT NULL GROUP BY industry""", "jd")
 q("pareto_80", "SELECT * FROM pareto", "pareto")
 q("concentration_shape", "SELECT * FROM shape", "shape")
 q("concentration_summary", "SELECT * FROM conc", "conc")
+q("tied_accounts", f"""
+SELECT customer_id, customer_name, {R('total_va_amount')} AS total_va_amount,
+       {R('(1 - CAST(total_va_amount AS DOUBLE) / (SELECT CAST(max(total_va_amount) AS DOUBLE) FROM bc)) * 100', 1)} AS below_top_pct
+FROM bc WHERE total_va_amount > 0
+  AND 1 - CAST(total_va_amount AS DOUBLE) / (SELECT CAST(max(total_va_amount) AS DOUBLE) FROM bc) <= 0.12""", "bc")
 q("dataset_summary", f"""
 SELECT count(*) AS row_count, count(DISTINCT customer_id) AS customer_count,
        {R(M('sell_price_base'))} AS total_sell_price, {R(M('va_amount_base'))} AS total_va_amount,

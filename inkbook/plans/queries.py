@@ -27,48 +27,11 @@ def register(key: str):
     return deco
 
 
-_SHARED: dict = {}
-_SHARE = {"on": True}
-
-
-def share_jobs(on: bool = True) -> None:
-    """Report-build mode (the default): every query over a data folder reads
-    one persisted derived-jobs frame, one fitted model and one set of area
-    summaries, as ``build_report`` does, instead of re-running the source
-    joins in each branch of each plan. Off: each query rebuilds everything."""
-    _SHARE["on"] = on
-
-
-def _key(spark: SparkSession, *parts):
-    """Caches belong to one Spark application: a new session starts clean."""
-    return (spark.sparkContext.applicationId, *parts)
-
-
-def reset_shared() -> None:
-    """Release everything report-build mode kept (the mode is unchanged)."""
-    for v in list(_SHARED.values()):
-        for df in (v.values() if isinstance(v, dict) else [v]):
-            df.unpersist()
-    _SHARED.clear()
-    _MODELS.clear()
-
-
-def _shared(spark, name, sf_dir, build):
-    key = _key(spark, name, sf_dir)
-    if key not in _SHARED:
-        from pyspark import StorageLevel
-        _SHARED[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
-    return _SHARED[key]
-
-
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    if not _SHARE["on"]:
-        return derive(jobs_view(spark, sf_dir))
-    key = _key(spark, "jobs", sf_dir)
-    if key not in _SHARED:
-        from pyspark import StorageLevel
-        _SHARED[key] = derive(jobs_view(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
-    return _SHARED[key]
+    """The derived jobs. Every query derives its own, so its plan prunes
+    columns and pushes filters down to the tables, and building a query runs
+    nothing."""
+    return derive(jobs_view(spark, sf_dir))
 
 
 @register("order_events")
@@ -88,7 +51,7 @@ def q_order_cadence(spark, sf_dir):
 
 @register("reorder_forecast")
 def q_reorder_forecast(spark, sf_dir):
-    return _mart(spark, sf_dir, "reorder_customers", lambda: reorder.reorder_forecast(jobs(spark, sf_dir)))
+    return reorder.reorder_forecast(jobs(spark, sf_dir))
 
 
 @register("reorder_summary")
@@ -108,7 +71,7 @@ def q_follow_up(spark, sf_dir):
 
 @register("churn_summary")
 def q_churn_summary(spark, sf_dir):
-    return _mart(spark, sf_dir, "churn", lambda: churn.churn_summary(churn.churn_status(jobs(spark, sf_dir))))
+    return churn.churn_summary(churn.churn_status(jobs(spark, sf_dir)))
 
 
 # --- customer value and dataset summary ------------------------------------
@@ -122,9 +85,6 @@ def q_customer_value(spark, sf_dir):
 
 @register("customer_value_chart")
 def q_customer_value_chart(spark, sf_dir):
-    m = _marts(spark, sf_dir)
-    if m is not None:
-        return value.customer_value_chart(jobs(spark, sf_dir), top=m["top_customers"], conc=m["concentration"])
     return value.customer_value_chart(jobs(spark, sf_dir))
 
 
@@ -160,13 +120,17 @@ def q_concentration_shape(spark, sf_dir):
 
 @register("concentration_summary")
 def q_concentration_summary(spark, sf_dir):
-    return _mart(spark, sf_dir, "concentration",
-                 lambda: value.concentration_summary(value.by_customer(jobs(spark, sf_dir))))
+    return value.concentration_summary(value.by_customer(jobs(spark, sf_dir)))
+
+
+@register("tied_accounts")
+def q_tied_accounts(spark, sf_dir):
+    return value.tied_accounts(value.by_customer(jobs(spark, sf_dir)))
 
 
 @register("dataset_summary")
 def q_dataset_summary(spark, sf_dir):
-    return _mart(spark, sf_dir, "summary", lambda: value.dataset_summary(jobs(spark, sf_dir)))
+    return value.dataset_summary(jobs(spark, sf_dir))
 
 
 @register("currency_split")
@@ -213,12 +177,12 @@ def q_repeat_by_product(spark, sf_dir):
 
 @register("repeat_summary")
 def q_repeat_summary(spark, sf_dir):
-    return _mart(spark, sf_dir, "repeat", lambda: repeat.repeat_summary(jobs(spark, sf_dir)))
+    return repeat.repeat_summary(jobs(spark, sf_dir))
 
 
 @register("pricing_summary")
 def q_pricing_summary(spark, sf_dir):
-    return _mart(spark, sf_dir, "pricing", lambda: pricing.pricing_summary(jobs(spark, sf_dir)))
+    return pricing.pricing_summary(jobs(spark, sf_dir))
 
 
 @register("discount_by_customer")
@@ -263,7 +227,7 @@ def q_slowest_vs_norm(spark, sf_dir):
 
 @register("turnaround_summary")
 def q_turnaround_summary(spark, sf_dir):
-    return _mart(spark, sf_dir, "delivery", lambda: delivery.turnaround_summary(jobs(spark, sf_dir)))
+    return delivery.turnaround_summary(jobs(spark, sf_dir))
 
 
 # --- seasonality ------------------------------------------------------------------
@@ -277,7 +241,7 @@ def q_monthly_series(spark, sf_dir):
 
 @register("seasonal_index")
 def q_seasonal_index(spark, sf_dir):
-    return _mart(spark, sf_dir, "season_index", lambda: season.seasonal_index(jobs(spark, sf_dir)))
+    return season.seasonal_index(jobs(spark, sf_dir))
 
 
 @register("seasonal_forecast")
@@ -297,7 +261,7 @@ def q_peak_month_mix(spark, sf_dir):
 
 @register("seasonality_summary")
 def q_seasonality_summary(spark, sf_dir):
-    return _mart(spark, sf_dir, "season", lambda: season.seasonality_summary(jobs(spark, sf_dir)))
+    return season.seasonality_summary(jobs(spark, sf_dir))
 
 
 @register("actual_vs_forecast")
@@ -473,16 +437,11 @@ from inkbook.operators import quote  # noqa: E402
 
 
 def _split(spark, sf_dir):
-    if _SHARE["on"]:
-        return _shared(spark, "split", sf_dir,
-                       lambda: quote.holdout_split(quote.price_features(jobs(spark, sf_dir))))
     return quote.holdout_split(quote.price_features(jobs(spark, sf_dir)))
 
 
 def _base(spark, sf_dir):
     """Held-out jobs priced by the comparable-work baseline."""
-    if _SHARE["on"]:
-        return _shared(spark, "base", sf_dir, lambda: quote.comparable_baseline(_split(spark, sf_dir)))
     return quote.comparable_baseline(_split(spark, sf_dir))
 
 
@@ -508,8 +467,7 @@ def q_comparable_baseline(spark, sf_dir):
 
 @register("benchmark_metrics")
 def q_benchmark_metrics(spark, sf_dir):
-    return _mart(spark, sf_dir, "quote_metrics",
-                 lambda: quote.benchmark_metrics(_base(spark, sf_dir), _split(spark, sf_dir)))
+    return quote.benchmark_metrics(_base(spark, sf_dir), _split(spark, sf_dir))
 
 
 @register("underpriced_jobs")
@@ -519,79 +477,63 @@ def q_underpriced_jobs(spark, sf_dir):
 
 @register("underpriced_summary")
 def q_underpriced_summary(spark, sf_dir):
-    return _mart(spark, sf_dir, "quote_summary", lambda: quote.underpriced_summary(_base(spark, sf_dir)))
-
+    return quote.underpriced_summary(_base(spark, sf_dir))
 
-_MODELS: dict[str, tuple] = {}
 
-
-def _model(spark, sf_dir):
-    """Fit once per data folder in report-build mode (one model per report);
-    standalone queries fit their own."""
+def _scored(spark, sf_dir):
+    """The price model fitted for this query, and the held-out jobs it scores."""
     s = _split(spark, sf_dir)
-    if not _SHARE["on"]:
-        return (*quote.train_price_model(s), s)
-    key = _key(spark, sf_dir)
-    if key not in _MODELS:
-        _MODELS[key] = (*quote.train_price_model(s), s)
-    return _MODELS[key]
+    model, reason = quote.train_price_model(s)
+    return quote.model_predictions(model, s), s, reason
 
 
 @register("train_price_model")
 def q_train_price_model(spark, sf_dir):
-    model, reason, s = _model(spark, sf_dir)
-    if model is None:
-        return spark.createDataFrame([], "row_key string, expected_price double")
-    return quote.model_predictions(model, s).select("row_key", rnd("expected_price", 2).alias("expected_price"))
+    scored, _, reason = _scored(spark, sf_dir)
+    return scored.select("row_key", rnd("expected_price", 2).alias("expected_price"),
+                         F.lit(reason).cast("string").alias("reason"))
 
 
 @register("price_model_metrics")
 def q_price_model_metrics(spark, sf_dir):
-    model, _, s = _model(spark, sf_dir)
-    if model is None:
-        return spark.createDataFrame([], "r2_log double")
-    return quote.benchmark_metrics(quote.model_predictions(model, s), s)
+    scored, s, reason = _scored(spark, sf_dir)
+    return quote.benchmark_metrics(scored, s).withColumn("reason", F.lit(reason).cast("string"))
 
 
-# --- findings and brief metrics -----------------------------------------------------------
-from inkbook.operators import findings  # noqa: E402
+@register("model_underpriced_jobs")
+def q_model_underpriced_jobs(spark, sf_dir):
+    return quote.underpriced_jobs(_scored(spark, sf_dir)[0])
+
+
+@register("model_underpriced_summary")
+def q_model_underpriced_summary(spark, sf_dir):
+    return quote.underpriced_summary(_scored(spark, sf_dir)[0])
 
 
-def _marts(spark, sf_dir):
-    """The area summaries; in report-build mode built once and kept (each
-    is one row per report, so keeping them costs nothing)."""
-    if not _SHARE["on"]:
-        return None
-    key = _key(spark, "marts", sf_dir)
-    if key not in _SHARED:
-        from pyspark import StorageLevel
-        m = findings.area_marts(jobs(spark, sf_dir), base=_base(spark, sf_dir), split=_split(spark, sf_dir))
-        _SHARED[key] = {k: v.persist(StorageLevel.MEMORY_AND_DISK) for k, v in m.items()}
-    return _SHARED[key]
+@register("features_used")
+def q_features_used(spark, sf_dir):
+    return quote.features_used(_split(spark, sf_dir))
 
 
-def _mart(spark, sf_dir, name, build):
-    """A report-level summary: the shared mart in report-build mode, else
-    built for this query alone."""
-    m = _marts(spark, sf_dir)
-    return m[name] if m is not None else build()
+# --- findings and brief metrics -----------------------------------------------------------
+from inkbook.operators import findings  # noqa: E402
 
 
 @register("at_stake")
 def q_at_stake(spark, sf_dir):
-    return findings.at_stake(jobs(spark, sf_dir), marts=_marts(spark, sf_dir))
+    return findings.at_stake(jobs(spark, sf_dir))
 
 
 @register("executive_findings")
 def q_executive_findings(spark, sf_dir):
-    return findings.executive_findings(jobs(spark, sf_dir), marts=_marts(spark, sf_dir))
+    return findings.executive_findings(jobs(spark, sf_dir))
 
 
 @register("brief_metrics")
 def q_brief_metrics(spark, sf_dir):
-    return findings.brief_metrics(jobs(spark, sf_dir), marts=_marts(spark, sf_dir))
+    return findings.brief_metrics(jobs(spark, sf_dir))
 
 
 @register("brief_breakdown")
 def q_brief_breakdown(spark, sf_dir):
-    return findings.brief_breakdown(jobs(spark, sf_dir), marts=_marts(spark, sf_dir))
+    return findings.brief_breakdown(jobs(spark, sf_dir))

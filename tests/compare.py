@@ -104,8 +104,5 @@ if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     keys = sys.argv[2].split(",") if len(sys.argv) > 2 else None
     spark = local_session(8)
-    if os.environ.get("INKBOOK_SHARE") == "0":      # standalone mode: every query rebuilds its inputs
-        from inkbook.plans import queries as Q
-        Q.share_jobs(False)
     res = compare(spark, sf, keys)
     print("SUMMARY", sum(v == "OK" for v in res.values()), "/", len(res))

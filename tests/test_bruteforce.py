@@ -38,3 +38,44 @@ def test_statuses_partition_customers(spark):
     st = churn.churn_status(derive(jobs_view(spark, SF)))
     s = churn.churn_summary(st).first()
     assert s.active + s.at_risk + s.dormant == s.customers == st.count()
+
+
+def test_quantiles_when_one_value_holds_most_rows(spark):
+    import numpy as np
+    from inkbook.operators.common import exact_quantiles
+    rng = np.random.default_rng(1)
+    rows = [("a", 5.0)] * 900 + [("a", float(x)) for x in rng.normal(5, 3, 100)] + \
+        [(None, float(x)) for x in range(7)] + [("b", None), ("c", 1.5)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    got = {r["k"]: (r["lo"], r["m"], r["hi"]) for r in exact_quantiles(df, "v", ["k"], {"lo": .05, "m": .5, "hi": .95}).collect()}
+    for k in ("a", None, "c"):
+        want = np.percentile([v for kk, v in rows if kk == k], [5, 50, 95])
+        assert np.allclose(got[k], want)
+    assert "b" not in got
+    one = exact_quantiles(df.where("k = 'a'"), "v", [], {"m": .5}).first()
+    assert one["m"] == 5.0
+
+
+def test_every_tied_account_is_named(spark):
+    from inkbook.operators import value
+    bc = spark.createDataFrame([(f"c{i}", f"N{i}", 100.0 - (i == 19) * 50) for i in range(20)],
+                               "customer_id string, customer_name string, total_va_amount double")
+    assert {r["customer_id"] for r in value.tied_accounts(bc).collect()} == {f"c{i}" for i in range(19)}
+
+
+def test_pareto_by_rank(spark):
+    import random
+    from pyspark.sql import functions as F
+    from inkbook.operators import value
+    rng = random.Random(2)
+    for values in ([10] * 50, [rng.randint(1, 9) for _ in range(80)], [5, 5, 0, 0, -3, -4], [0, 0], [100, -20, -20], [7]):
+        bc = spark.createDataFrame([(f"c{i}", f"n{i}", v) for i, v in enumerate(values)],
+                                   "customer_id string, customer_name string, v long") \
+            .withColumn("total_va_amount", F.col("v").cast("decimal(28,8)")) \
+            .withColumn("_total_va", F.lit(sum(values)).cast("decimal(28,8)"))
+        cum = n = 0
+        for v in sorted(values, reverse=True):
+            cum += v
+            n += sum(values) == 0 or cum / sum(values) * 100 <= 80
+        got = value.pareto_80(bc).first()
+        assert (got["customer_count"], got["customers_for_80pct_value"]) == (len(values), max(n, 1)), values

@@ -105,7 +105,7 @@ def test_concentration_single_and_no_positive(spark):
     neg = rows(value.concentration_shape(value.by_customer(_values_frame(spark, [-5, -10]))))[0]
     assert (neg["leading_count"], neg["tied_count"], neg["ahead_count"]) == (0, 0, 0)
     summ = rows(value.concentration_summary(value.by_customer(_values_frame(spark, [-5, -10]))))[0]
-    assert summ["leading_count"] == 1 and summ["tied_names"] == "N00"
+    assert summ["leading_count"] == 1
 
 
 def test_pareto_and_shares(spark):

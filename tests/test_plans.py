@@ -9,19 +9,16 @@ def standalone(spark):
     # Spark substitutes cached relations into any matching plan, so earlier
     # tests' shared frames must be released to see the operators' own plans.
     from inkbook.plans import queries as Q
-    Q.reset_shared()
     spark.catalog.clearCache()
-    Q.share_jobs(False)
     yield
-    Q.share_jobs(True)
 
 SF = "/root/testdata/sf0.001"
-SKIP = {"train_price_model", "price_model_metrics"}
+SKIP = {"train_price_model", "price_model_metrics", "model_underpriced_jobs", "model_underpriced_summary"}
 
 
 def _keys():
-    import __spark_entry__ as E
-    return sorted(k for k in E.queries() if k not in SKIP)
+    from inkbook.plans.queries import REGISTRY
+    return sorted(k for k in REGISTRY if k not in SKIP)
 
 
 def _plan(df) -> str:
@@ -62,12 +59,14 @@ def test_plan_is_scale_safe(spark, key):
     assert _single_partition_windows(plan) == []
 
 
-def test_running_share_is_range_partitioned(spark):
-    """The prefix sum reads its range-partitioned rows from one reliable
-    checkpoint (so both passes see the same partition ids)."""
-    import __spark_entry__ as E
-    plan = _plan(E.queries()["pareto_80"](spark, SF))
-    assert "rangepartitioning" in plan or "ExistingRDD" in plan
+def test_building_a_query_runs_nothing(spark):
+    """No Spark job while the plan of a query is built (the model keys fit)."""
+    from inkbook.plans.queries import REGISTRY
+    group = "inkbook-no-jobs"
+    spark.sparkContext.setJobGroup(group, "plan building")
+    for key in _keys():
+        REGISTRY[key](spark, SF)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(group) == []
 
 
 def test_scans_are_pruned(spark):
