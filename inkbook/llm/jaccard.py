@@ -10,13 +10,18 @@
    size; false hits are harmless) and ordered rare shingles first, by counts in
    a table of fixed size: one global order.
 4. Two similar sets share a shingle of their prefixes in that order. Sets that
-   share one and have compatible sizes form a block; blocks of equal members
-   are kept once; large ones are dealt out as pairs of chunks.
-   Blocks whose members a first round has connected already are left out.
-5. A task stores the ordered sets of a block in a trie and walks it once for
-   all probing sets together: overlaps along a shared path are counted once,
-   and a subtree is left as soon as the lengths that remain cannot reach the
-   threshold for any probe. The links of a block go out as a spanning forest.
+   share one form a block; blocks of equal members are kept once; large ones
+   are dealt out as pairs of chunks.
+5. A block first sees its sets' sketches only: counts of shingles per hash
+   bucket, about a hundredth of the set. The sum of the lesser counts bounds an
+   overlap from above, so a set whose bounds against all others of its block
+   fall short has no partner there and is left out. For the others a task
+   stores the ordered sets in a trie and walks it once for all probing sets
+   together: overlaps along a shared path are counted once, and a subtree is
+   left as soon as the lengths that remain cannot reach the threshold for any
+   probe. The links of a block go out as a spanning forest.
+   In a first round every set goes to its largest block only; sets connected
+   by then need not meet again in the second.
 6. Connected components of the links, on stored tables.
 
 No pair is emitted that is not a link, and copies are never expanded.
@@ -88,6 +93,43 @@ def allowed(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Counts per hash bucket, a power of two of buckets with about eight
+    shingles each (255: that many or more)."""
+    n = 16
+    while n * 8 < len(s):
+        n *= 2
+    return np.minimum(np.bincount((common.mix(s) & np.uint64(n - 1)).astype(np.int64), minlength=n), 255) \
+        .astype(np.uint8).tobytes()
+
+
+def may_link(sizes: np.ndarray, sketches: list[np.ndarray], side: np.ndarray, part: np.ndarray,
+             percent: int) -> np.ndarray:
+    """Which sets of a block may have a partner there, by sizes and sketches;
+    partners are of another part, and of the other side if there are two."""
+    m = len(sizes)
+    width = min(map(len, sketches))
+    # a wider sketch folds: its bucket modulo the narrower number of buckets
+    flat = np.stack([x.astype(np.int64).reshape(-1, width).sum(0) for x in sketches])
+    full = np.array([(x == 255).any() for x in sketches])
+    out = np.zeros(m, bool)
+    two = bool(side.any())
+    for i in range(m):
+        with_ = (part != part[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+        if two:
+            with_ &= side != side[i]
+        with_[:i + 1] = False
+        at = np.flatnonzero(with_)
+        if not len(at):
+            continue
+        bound = np.minimum(flat[at], flat[i]).sum(1)
+        bound = np.where(full[at] | full[i], sizes[at], bound)
+        good = bound * (100 + percent) >= percent * (sizes[at] + sizes[i])
+        out[at[good]] = True
+        out[i] |= good.any()
+    return out
+
+
 # ------------------------------------------------------------- the trie
 def trie_links(sets: list[np.ndarray], probes: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
     """(set, probe) pairs that link. Sets and probes hold ranks in the global
@@ -255,7 +297,7 @@ def bloom(keys: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
 
 def candidate_sets(docs: DataFrame, light: DataFrame, id_col: str, text_col: str, words: int,
                    percent: int) -> DataFrame:
-    """sig, n, tokens (codes), id of the classes that may have a partner."""
+    """sig, n, tokens (codes), sketch, id of the classes that may have a partner."""
     seen = bloom(with_partners(docs, light, id_col, text_col, words, percent).select(_sql_key().alias("key")))
 
     def run(rows):
@@ -268,12 +310,13 @@ def candidate_sets(docs: DataFrame, light: DataFrame, id_col: str, text_col: str
                 at = _key(sig) % BLOOM_BITS
                 if seen[at >> 3] >> (at & 7) & 1 and sig not in batch:
                     batch.add(sig)
-                    out.append((sig, len(s), s.astype("<u8").tobytes()))
-            cols = list(zip(*out)) if out else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()),
-                                              pa.array(cols[2], pa.binary())], names=["sig", "n", "tokens"])
-    rows = _bodies(docs, id_col, text_col).mapInArrow(run, "sig binary, n int, tokens binary")
-    return common.store(rows.groupBy("sig").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+                    out.append((sig, len(s), s.astype("<u8").tobytes(), sketch(s)))
+            cols = list(zip(*out)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.binary(), pa.binary()))],
+                names=["sig", "n", "tokens", "sketch"])
+    rows = _bodies(docs, id_col, text_col).mapInArrow(run, "sig binary, n int, tokens binary, sketch binary")
+    return common.store(rows.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "sketch")])
                         .withColumn("id", F.xxhash64("sig")), "shingle-sets")
 
 
@@ -295,76 +338,87 @@ def rarity(sets: DataFrame) -> np.ndarray:
 
 
 def blocks(sets: DataFrame, weight, percent: int) -> DataFrame:
-    """(id, token, k, members): which sets (by a short name; two sets of one
-    name only meet in vain) are in which block, each membership kept once."""
-    step = np.log(100 / percent)
-
+    """(id, token, members): which sets (by a short name; two sets of one name
+    only meet in vain) are in which block, each membership kept once."""
     def prefixes(rows):
         for b in rows:
-            key, token, size = [], [], []
+            key, token = [], []
             for name, n, t in zip(*(c.to_pylist() for c in b.columns)):
                 t = np.frombuffer(t, "<u8")
                 w = weight(t)
                 first = np.lexsort((t, w))[:allowed(n, percent) + 1]
                 first = first[w[first] > 1]
-                key += [name] * len(first)
-                size += [n] * len(first)
-                token.append(t[first])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), pa.array(size, pa.int32()),
-                 pa.array((np.concatenate(token) if token else np.zeros(0, "<u8")).astype(np.int64))],
-                names=["id", "n", "token"])
-    # partners' sizes lie in one class of sizes or in two neighbouring ones
-    k = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
-    posts = sets.select("id", "n", "tokens").mapInArrow(prefixes, "id long, n int, token long") \
-        .select("id", "n", "token", F.explode(F.array(k, k + 1)).alias("k"))
-    block = posts.groupBy("token", "k").agg(
+                key.append(np.full(len(first), name, np.int64))
+                token.append(t[first].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
+                                              for x in (key, token)], names=["id", "token"])
+    posts = sets.select("id", "n", "tokens").mapInArrow(prefixes, "id long, token long")
+    block = posts.groupBy("token").agg(
         F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"),
-        F.sum(F.xxhash64(F.lit(1), "id").bitwiseAND(F.lit((1 << 40) - 1))).alias("y"),
-        F.min("n").alias("least"), F.max("n").alias("most")) \
-        .where((F.col("members") > 1) & ((F.col("members") > 2) | (100 * F.col("least") >= percent * F.col("most"))))
-    kept = block.groupBy("members", "x", "y").agg(F.min(F.struct("token", "k")).alias("b")) \
-        .select(F.col("b.token").alias("token"), F.col("b.k").alias("k"), "members")
-    return common.store(posts.select("id", "token", "k").join(kept, ["token", "k"]), "shingle-blocks")
+        F.sum(F.xxhash64(F.lit(1), "id").bitwiseAND(F.lit((1 << 40) - 1))).alias("y")).where(F.col("members") > 1)
+    kept = block.groupBy("members", "x", "y").agg(F.min("token").alias("token")).select("token", "members")
+    return common.store(posts.join(kept, "token"), "shingle-blocks")
 
 
 def within_blocks(rows: DataFrame, sets: DataFrame, weight, percent: int) -> DataFrame:
-    """(a, b): the links of the blocks (token, k) of ``rows``."""
-    size = rows.groupBy("token", "k").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"),
-                                          F.count("*").alias("m")).where("m > 1").drop("m")
+    """(a, b): the links of the blocks of ``rows`` (id, token, part) between
+    sets of different parts."""
+    size = rows.groupBy("token").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"),
+                                     F.count("*").alias("m")).where("m > 1").drop("m")
     # chunk pairs (i, j), i <= j: a set meets its own chunk and every other
-    dealt = rows.join(size, ["token", "k"]) \
+    dealt = rows.join(size, "token") \
         .withColumn("me", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))) \
-        .select("id", F.xxhash64("token", "k", F.least("me", "other"), F.greatest("me", "other")).alias("block"),
-                (F.col("me") > F.col("other")).cast("int").alias("side")) \
-        .join(sets.select("id", "sig", "tokens"), "id") \
-        .select("block", "side", "sig", "tokens").repartition("block").sortWithinPartitions("block")
+        .select("id", "part", F.xxhash64("token", F.least("me", "other"), F.greatest("me", "other")).alias("block"),
+                (F.col("me") > F.col("other")).cast("int").alias("side"))
 
-    def pairs(found):
-        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()),
-                                           pa.array([f[1] for f in found], pa.binary())], names=["a", "b"])
+    def grouped(batches):
+        """(block, the other columns of its rows), one block after another."""
+        block, held = None, []
+        for b in common.batches(batches):
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[0] != block:
+                    if len(held) > 1:
+                        yield block, held
+                    block, held = row[0], []
+                held.append(row[1:])
+        if len(held) > 1:
+            yield block, held
+
+    def sieve(batches):
+        out = []
+        schema = pa.schema([("block", pa.int64()), ("side", pa.int32()), ("id", pa.int64())])
+        for block, held in grouped(batches):
+            side, name, part, n, sk = zip(*held)
+            good = may_link(np.array(n, np.int64), [np.frombuffer(x, np.uint8) for x in sk], np.array(side),
+                            np.array(part), percent)
+            out += [(block, side[i], name[i]) for i in np.flatnonzero(good).tolist()]
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
     def join(batches):
-        block, held, found = None, [], []
-
-        def solve():
-            if len(held) > 1:
-                own = [np.frombuffer(h[2], "<u8") for h in held]
-                for a, b in block_links(own, [h[0] for h in held], weight, percent):
-                    found.append((held[a][1], held[b][1]))
-        for b in common.batches(batches):
-            for key, side, sig, tokens in zip(*(c.to_pylist() for c in b.columns)):
-                if key != block:
-                    solve()
-                    block, held = key, []
-                held.append((side, sig, tokens))
+        found = []
+
+        def pairs():
+            batch = pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()),
+                                                pa.array([f[1] for f in found], pa.binary())], names=["a", "b"])
+            found.clear()
+            return batch
+        for _, held in grouped(batches):
+            own = [np.frombuffer(h[2], "<u8") for h in held]
+            for a, b in block_links(own, [h[0] for h in held], weight, percent):
+                found.append((held[a][1], held[b][1]))
             if len(found) > 5000:
-                yield pairs(found)
-                found.clear()
-        solve()
-        yield pairs(found)
-    return common.store(dealt.mapInArrow(join, "a binary, b binary"), "shingle-links")
+                yield pairs()
+        yield pairs()
+    light = dealt.join(sets.select("id", "n", "sketch"), "id").select("block", "side", "id", "part", "n", "sketch")
+    left = light.repartition("block").sortWithinPartitions("block").mapInArrow(sieve, "block long, side int, id long")
+    whole = left.join(sets.select("id", "sig", "tokens"), "id").select("block", "side", "sig", "tokens")
+    return common.store(whole.repartition("block").sortWithinPartitions("block")
+                        .mapInArrow(join, "a binary, b binary"), "shingle-links")
 
 
 def links(sets: DataFrame, percent: int) -> DataFrame:
@@ -375,16 +429,16 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     counts = rarity(sets)
     weight = lambda tokens: counts[_slot(tokens)]
     rows = blocks(sets, weight, percent)
-    largest = rows.groupBy("id").agg(F.max(F.struct("members", "token", "k")).alias("b")) \
-        .select("id", "b.token", "b.k")
+    largest = rows.groupBy("id").agg(F.max(F.struct("members", "token")).alias("b")) \
+        .select("id", "b.token", F.col("id").alias("part"))
     some = within_blocks(largest, sets, weight, percent)
     known = graph.components(some, "a", "b")
     part = sets.select("id", "sig").join(known.withColumnRenamed("node", "sig"), "sig", "left") \
-        .select("id", F.coalesce("root", "sig").alias("root"))
-    open_ = rows.join(part, "id").groupBy("token", "k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")) \
-        .where("lo < hi").select("token", "k")
-    rest = within_blocks(rows.select("id", "token", "k").join(open_, ["token", "k"]), sets, weight, percent)
-    return some.union(rest)
+        .select("id", F.xxhash64(F.coalesce("root", "sig")).alias("part"))
+    rows = rows.select("id", "token").join(part, "id")
+    open_ = rows.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")) \
+        .where("lo < hi").select("token")
+    return some.union(within_blocks(rows.join(open_, "token"), sets, weight, percent))
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,

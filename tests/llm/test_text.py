@@ -447,3 +447,16 @@ def test_queries_run(spark):
     for name, fn in QUERIES.items():
         assert fn(spark, "/root/testdata/sf0.001").columns[:len(columns[name.split("_")[0]].split())] == \
             columns[name.split("_")[0]].split()
+
+
+@given(st.lists(st.sets(st.integers(0, 400), min_size=1, max_size=200), min_size=2, max_size=8), st.sampled_from([60, 85]))
+@settings(max_examples=60, deadline=None)
+def test_sketches_never_lose_a_link(sets, percent):
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    m = len(sets)
+    good = jaccard.may_link(np.array([len(s) for s in sets]), [np.frombuffer(jaccard.sketch(a), np.uint8) for a in arrays],
+                            np.zeros(m, int), np.arange(m), percent)
+    for i in range(m):
+        for j in range(i):
+            if linked(frozenset(sets[i]), frozenset(sets[j]), percent):
+                assert good[i] and good[j]
