@@ -42,13 +42,16 @@ FLOORS = (0.3, 0.04, 0.03, 0.12, 0.12)
 #: bound on the squared distance: documents of rare but sound kinds lie well
 #: beyond the normal tail, so it is far out.
 CHI2_MEDIAN, CHI2_975, CUTOFF = 4.351, 12.83, 60.0
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+Q_COLUMNS = [f"q__{c}" for c in STATISTICS]
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 
 
 # --------------------------------------------------------- text statistics
 def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds the base statistics as one struct column ``q__``."""
+    """Adds the base statistics as columns ``q__n_words`` and so on. (Plain
+    columns: fields of a struct would be pulled into every use.)"""
     keep = df.columns
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     df = df.withColumn("q__body", body)
@@ -77,28 +80,32 @@ def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     lines = F.filter(F.split(F.col("q__body"), "\n"), lambda x: F.translate(x, WHITE, "") != "")
     df = df.withColumn("q__lines", lines)
     b = F.col("q__body")
-    stats = F.struct(
-        F.size(w).cast("long").alias("n_words"),
-        F.char_length(F.translate(b, WHITE, "")).cast("long").alias("word_chars"),
-        (F.char_length(b) - F.char_length(F.translate(b, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("q__lines") - F.size(F.array_distinct("q__lines"))).cast("long").alias("n_dup_lines"),
-        F.when(p.isNull(), F.lit(0).cast("long")).otherwise(covered).alias("n_repeat_words"),
-        F.size("q__lines").cast("long").alias("n_lines"))
-    return df.select(*keep, stats.alias("q__"))
+    stats = {
+        "n_words": F.size(w).cast("long"),
+        "word_chars": F.char_length(F.translate(b, WHITE, "")).cast("long"),
+        "n_symbols": (F.char_length(b) - F.char_length(F.translate(b, SYMBOLS, ""))).cast("long"),
+        "n_dup_lines": (F.size("q__lines") - F.size(F.array_distinct("q__lines"))).cast("long"),
+        "n_repeat_words": F.when(p.isNull(), F.lit(0).cast("long")).otherwise(covered),
+        "n_lines": F.size("q__lines").cast("long")}
+    return df.select(*keep, *[stats[c].alias(f"q__{c}") for c in STATISTICS])
 
 
-def base_failed(q: Column) -> Column:
-    return (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
+def q(name: str) -> Column:
+    return F.col(f"q__{name}")
 
 
-def features(q: Column) -> list[Column]:
+def base_failed() -> Column:
+    return (q("n_words") < MIN_WORDS) | (100 * q("n_repeat_words") > 50 * q("n_words"))
+
+
+def features() -> list[Column]:
     """Transformed statistics: logarithms of sizes, roots of shares."""
-    n = F.greatest(q["n_words"], F.lit(1)).cast("double")
+    n = F.greatest(q("n_words"), F.lit(1)).cast("double")
     values = (F.log(n),
-              F.log(F.greatest(q["word_chars"], F.lit(1)) / n),
-              F.sqrt(q["n_symbols"] / F.greatest(q["word_chars"], F.lit(1))),
-              F.sqrt(q["n_dup_lines"] / F.greatest(q["n_lines"], F.lit(1))),
-              F.sqrt(q["n_repeat_words"] / n))
+              F.log(F.greatest(q("word_chars"), F.lit(1)) / n),
+              F.sqrt(q("n_symbols") / F.greatest(q("word_chars"), F.lit(1))),
+              F.sqrt(q("n_dup_lines") / F.greatest(q("n_lines"), F.lit(1))),
+              F.sqrt(q("n_repeat_words") / n))
     return [F.round(v, 4).alias(f) for v, f in zip(values, FEATURES)]
 
 
@@ -215,21 +222,21 @@ def _named(df: DataFrame, lang_col: str, source_col: str) -> DataFrame:
 
 
 def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(groups, estimates) from stored rows with lang__, source__, q__."""
-    passed = stats.where(~base_failed(F.col("q__")))
+    """(groups, estimates) from stored rows with lang__, source__ and the statistics."""
+    passed = stats.where(~base_failed())
     groups = common.store(grouped(passed), "mcd-groups")
     rows = common.store(passed.join(groups, ["lang__", "source__"])
-                        .select("g__", *features(F.col("q__"))), "mcd-rows")
+                        .select("g__", *features()), "mcd-rows")
     sizes = rows.groupBy("g__").count().where(F.col("count") >= MIN_GROUP).select("g__")
     return groups, estimate(rows.join(sizes, "g__", "left_semi"))
 
 
 def verdict(stats: DataFrame, groups: DataFrame, params: DataFrame) -> DataFrame:
     """Adds base_failed, d2 (null without an estimate) and kept to rows with
-    lang__, source__ and q__."""
+    lang__, source__ and the statistics."""
     rows = (stats.join(groups, ["lang__", "source__"], "left").join(params, "g__", "left")
-            .select(*stats.columns, "p__", *features(F.col("q__"))))
-    return (rows.withColumn("base_failed", base_failed(F.col("q__")))
+            .select(*stats.columns, "p__", *features()))
+    return (rows.withColumn("base_failed", base_failed())
             .withColumn("d2", F.when(F.col("p__").isNotNull(), distance()))
             .withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= CUTOFF)))
 
@@ -241,18 +248,23 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text__"),
                       F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     stats = common.store(_named(with_statistics(own, "text__"), "lang", "source")
-                         .select("doc_id", "lang__", "source__", "q__"), "quality")
+                         .select("doc_id", "lang__", "source__", *Q_COLUMNS), "quality")
     out = verdict(stats, *fit(stats))
-    return out.select("doc_id", *[F.col("q__")[c].alias(c) for c in (
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept", "d2")
+    return out.select("doc_id", *[q(c).alias(c) for c in STATISTICS[:-1]], "base_failed", "kept", "d2")
 
 
 def keep(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns. The rows are
-    stored once beside their statistics, so the texts are gone through once."""
+    """The rows of ``docs`` that are kept, with their columns. The statistics
+    are computed a second time beside the texts: neither a copy of the texts
+    nor a shuffle of them is needed."""
     common.prepare(docs.sparkSession)
-    own = docs.select(F.struct("*").alias("row__"), F.col(text_col).alias("text__"),
-                      F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
-    whole = common.store(_named(with_statistics(own, "text__"), "lang", "source")
-                         .select("row__", "lang__", "source__", "q__"), "quality")
-    return verdict(whole, *fit(whole.select("lang__", "source__", "q__"))).where("kept").select("row__.*")
+
+    def stated(df):
+        own = df.select(F.struct("*").alias("row__"), F.col(text_col).alias("text__"),
+                        F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+        # a row number that the last filter reads: the optimiser does not carry
+        # a filter below it, where it would repeat every statistic's expression
+        return _named(with_statistics(own, "text__"), "lang", "source") \
+            .select("row__", "lang__", "source__", *Q_COLUMNS, F.monotonically_increasing_id().alias("mark__"))
+    light = common.store(stated(docs).select("lang__", "source__", *Q_COLUMNS), "quality")
+    return verdict(stated(docs), *fit(light)).where("kept AND mark__ >= 0").select("row__.*")
