@@ -22,22 +22,18 @@ def numeric_tokens(text) -> Column:
     return F.coalesce(F.regexp_extract_all(col(text), F.lit(NUMERIC_TOKEN), 0), F.array().cast("array<string>"))
 
 
+#: A figure without symbols and separators: digits, decimals up to their
+#: trailing zeros, thousands or millions, per cent.
+_FIGURE = r"^(\d*)(?:\.(\d*?)0*)?([mk]?)(%?)%*$"
+
+
 def canonical_figure(token) -> Column:
-    """Comparable form: no symbol, commas or spaces; a trailing .0 and
-    trailing decimal zeros dropped; % and k/m suffixes kept."""
-    t = F.regexp_replace(F.lower(F.trim(col(token))), "[, ]", "")
-    t = F.regexp_replace(t, "^[£€$]+", "")
-    pct = t.endswith("%")
-    t = F.regexp_replace(t, "%+$", "")
-    suffix = F.when(t.rlike("[mk]$"), F.substring(t, -1, 1)).otherwise(F.lit(""))
-    t = F.when(suffix != "", F.regexp_replace(t, "[mk]$", "")).otherwise(t)
-    t = F.when(t.endswith(".0"), F.regexp_replace(t, "\\.0$", "")).otherwise(t)
-    t = F.when(t.contains("."), F.regexp_replace(F.regexp_replace(t, "0+$", ""), "\\.+$", "")).otherwise(t)
-    return F.concat(t, suffix, F.when(pct, F.lit("%")).otherwise(F.lit("")))
-
-
-def canonical_figures(text) -> Column:
-    return F.transform(numeric_tokens(text), canonical_figure)
+    """Comparable form of a figure: its digits, its decimals without trailing
+    zeros, and its k, m or per cent sign."""
+    bare = F.regexp_replace(F.lower(col(token)), "[, £€$]", "")
+    whole, decimals, size, cent = (F.regexp_extract(bare, _FIGURE, g) for g in (1, 2, 3, 4))
+    dot = F.when(decimals != "", F.concat(F.lit("."), decimals)).otherwise(F.lit(""))
+    return F.when(bare.rlike(_FIGURE), F.concat(whole, dot, size, cent)).otherwise(bare)
 
 
 def hedged(text) -> Column:

@@ -44,7 +44,11 @@ SELECT user_id AS report_id, event_id AS seq, ts,
        event_type AS progress,
        least(greatest(CAST(floor(value) AS INTEGER), 0), 100) AS progress_pct,
        'report ' || CAST(user_id AS VARCHAR) AS name,
-       CASE WHEN event_type = 'error' THEN props END AS message
+       CASE WHEN event_type = 'error' THEN props END AS message,
+       CASE WHEN event_type = 'purchase' THEN CAST(floor(value) AS BIGINT) END AS rows,
+       CASE WHEN event_type = 'purchase' THEN CAST(floor(value / 2) AS BIGINT) END AS customers,
+       CASE WHEN event_type = 'purchase' THEN CAST(ts AS DATE) - 30 END AS period_from,
+       CASE WHEN event_type = 'purchase' THEN CAST(ts AS DATE) END AS period_to
 FROM events
 """)
 cte("rstate", """
@@ -56,13 +60,18 @@ SELECT * FROM (
          first(name ORDER BY ts DESC, seq DESC) FILTER (WHERE name IS NOT NULL) AS name,
          max(ts) FILTER (WHERE status = 'ready') AS completed_at,
          first(message ORDER BY ts DESC, seq DESC) FILTER (WHERE status = 'failed') AS error,
-         count(*) AS event_count
+         count(*) AS event_count,
+         first(rows ORDER BY ts DESC, seq DESC) FILTER (WHERE rows IS NOT NULL) AS rows,
+         first(customers ORDER BY ts DESC, seq DESC) FILTER (WHERE customers IS NOT NULL) AS customers,
+         first(period_from ORDER BY ts DESC, seq DESC) FILTER (WHERE period_from IS NOT NULL) AS period_from,
+         first(period_to ORDER BY ts DESC, seq DESC) FILTER (WHERE period_to IS NOT NULL) AS period_to
   FROM rev GROUP BY report_id) t
 WHERE status <> 'deleted'
 """, "rev")
 q("report_state_latest", "SELECT * FROM rstate", "rstate")
 q("report_list", """
-SELECT report_id, name, created_at, completed_at, status, progress, progress_pct, error FROM rstate""", "rstate")
+SELECT report_id, name, created_at, completed_at, status, progress, progress_pct, error, rows, customers,
+       period_from, period_to FROM rstate""", "rstate")
 q("latest_ready", """
 SELECT report_id, created_at FROM rstate WHERE status = 'ready'
 ORDER BY created_at DESC, report_id DESC LIMIT 1""", "rstate")

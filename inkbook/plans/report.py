@@ -40,6 +40,7 @@ def build_report(jd: DataFrame, cfg: Config = DEFAULT, by: Sequence[str] = ()) -
     fc = reorder.reorder_forecast(jd, by, cfg)
     split = quote.holdout_split(quote.price_features(jd, by), cfg)
     base = quote.comparable_baseline(split, by)
+    areas = findings.area_marts(jd, by, cfg, base=base, split=split)
     return {
         "dataset_summary": value.dataset_summary(jd, by),
         "currency_split": value.currency_split(jd, by),
@@ -77,6 +78,12 @@ def build_report(jd: DataFrame, cfg: Config = DEFAULT, by: Sequence[str] = ()) -
         "benchmark_metrics": quote.benchmark_metrics(base, split, by),
         "underpriced_jobs": quote.underpriced_jobs(base, by, cfg),
         "underpriced_summary": quote.underpriced_summary(base, by, cfg),
-        "at_stake": findings.at_stake(jd, by, cfg),
-        "executive_findings": findings.executive_findings(jd, by, cfg),
+        "at_stake": findings.at_stake(jd, by, cfg, marts=areas),
+        "executive_findings": findings.executive_findings(jd, by, cfg, marts=areas),
+        "brief_metrics": findings.brief_metrics(jd, by, cfg, marts=areas),
+        "brief_breakdown": findings.brief_breakdown(jd, by, cfg, marts=areas),
+        "pareto_80": value.pareto_80(bc, by),
+        "tied_accounts": value.tied_accounts(bc, by, cfg),
+        "concentration_shape": value.concentration_shape(bc, by, cfg),
+        "dataset_facts": value.dataset_facts(jd, by),
     }

@@ -1,14 +1,20 @@
 """New export files arriving in a folder become stored reports.
 
-readStream (CSV with the export headers, read as text) -> foreachBatch:
-clean, overwrite the touched report partitions, append lifecycle events and
-rebuild the marts of the touched reports only. Every write in a batch is
-idempotent (dynamic partition overwrite per report; events keyed by
-(report_id, batch)), so a replayed batch after a failure converges to the
-same state. Progress is tracked in the checkpoint folder, which must be on
-shared storage on a cluster."""
+The stream carries file names only; each micro-batch reads its files by their
+own headers. Files with equal headers are read together, columns are taken by
+name (so a reordered file loads right), and a file that lacks a column of the
+contract becomes a ``failed`` report that names what is missing, while the
+others go on. The same holds for a report whose marts cannot be built.
+
+Every write is idempotent (dynamic partition overwrite per report; events
+keyed by (report_id, batch), timed by the files), so a replayed batch after a
+failure changes nothing. Progress is tracked in the checkpoint folder, which
+must be on shared storage on a cluster."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +22,11 @@ from inkbook.config import DEFAULT, Config
 from inkbook.operators.derive import derive
 from inkbook.plans.report import build_report
 from inkbook.sources import ingest, library
-from inkbook.sources.schema import HEADER_MAP, JOBS_RAW_SCHEMA
+from inkbook.sources.schema import HEADER_MAP, JOBS_COLUMNS
+
+#: Files of a micro-batch: bounds what a batch keeps on the driver.
+MAX_FILES = 100
+NO_ROWS = "None of the rows has both a customer and a booking date."
 
 
 def report_id_from_path(path_col) -> F.Column:
@@ -26,54 +36,102 @@ def report_id_from_path(path_col) -> F.Column:
     return F.when(digits != "", digits.cast("bigint")).otherwise(F.abs(F.xxhash64(path_col)))
 
 
-def process_batch(df: DataFrame, batch_id: int, root: str, cfg: Config = DEFAULT,
-                  write_marts: bool = True) -> None:
-    """One micro-batch: record each touched report, store its cleaned rows
-    (replacing that report's partition), rebuild its marts, mark it ready.
-    The only collect is one row per report touched by the batch."""
-    spark = df.sparkSession
-    raw = df.withColumn("report_id", report_id_from_path(F.col("_metadata.file_path")))
-    named = raw.select(*[F.col(f"`{h}`").alias(c) for h, c in HEADER_MAP.items()], "report_id")
-    jobs = ingest.clean(named)
-    # One row per touched report: how many usable rows it brought.
-    touched = named.groupBy("report_id").agg(F.count(F.lit(1)).alias("rows_in")).join(
-        jobs.groupBy("report_id").agg(F.count(F.lit(1)).alias("rows_ok"),
-                                      F.count_distinct("customer_id").alias("customers")),
-        on="report_id", how="left").collect()
-    ok = [r.report_id for r in touched if (r.rows_ok or 0) > 0]
-    events = [{"report_id": r.report_id, "seq": batch_id * 10,
-               "status": library.GENERATING if (r.rows_ok or 0) > 0 else library.FAILED,
-               "progress": "Stored the dataset", "progress_pct": 15,
-               "name": f"report {r.report_id}",
-               "message": None if (r.rows_ok or 0) > 0 else
-               "No usable rows: every row is missing a booking date or customer."} for r in touched]
-    if events:
-        library.append_report_events(spark, root, events)
-    if not ok:
+def _read(spark: SparkSession, paths: Sequence[str], fmt: str) -> DataFrame:
+    reader = spark.read.format(fmt)
+    if fmt == "csv":
+        reader = reader.option("header", "true").option("inferSchema", "false")
+    return reader.load(list(paths))
+
+
+def missing_columns(headers: Sequence[str]) -> list[str]:
+    """Contract columns that a file's header has under neither name, sorted."""
+    have = set(headers)
+    return sorted(c for h, c in HEADER_MAP.items() if c in JOBS_COLUMNS and h not in have and c not in have)
+
+
+def process_files(spark: SparkSession, files: Sequence[tuple[str, datetime]], batch_id: int, root: str,
+                  cfg: Config = DEFAULT, write_marts: bool = True, fmt: str = "csv") -> None:
+    """One micro-batch over (path, modification time) of its files."""
+    if not files:
         return
-    keep = jobs.filter(F.col("report_id").isin(ok))
-    keep_cols = [c for c in keep.columns if c != "report_id"]
-    (keep.select(*keep_cols, "report_id").write.mode("overwrite")
+    when = max(t for _, t in files)
+    ids = {r.path: r.report_id for r in spark.createDataFrame([(p,) for p, _ in files], "path string")
+           .select("path", report_id_from_path(F.col("path")).alias("report_id")).collect()}
+
+    def event(report_id, step, status, **more):
+        return {"report_id": report_id, "seq": batch_id * 10 + step, "status": status,
+                "ts": when + timedelta(microseconds=step), **more}
+    # the header line of each file; files with equal headers go together
+    by_header: dict[tuple, list[str]] = {}
+    failed = []
+    for path, _ in files:
+        headers = tuple(_read(spark, [path], fmt).columns)
+        lacking = missing_columns(headers)
+        if lacking:
+            failed.append(event(ids[path], 0, library.FAILED, name=f"report {ids[path]}",
+                                message="Columns missing from the file: " + ", ".join(lacking)))
+        else:
+            by_header.setdefault(headers, []).append(path)
+    if failed:
+        library.append_report_events(spark, root, failed)
+    if not by_header:
+        return
+    parts = []
+    for paths in by_header.values():
+        df = _read(spark, paths, fmt)
+        named = [F.col(f"`{h}`" if h in df.columns else f"`{c}`").alias(c) for h, c in HEADER_MAP.items()]
+        parts.append(df.select(*named, report_id_from_path(F.col("_metadata.file_path")).alias("report_id")))
+    raw = parts[0]
+    for p in parts[1:]:
+        raw = raw.unionByName(p)
+    jobs = ingest.clean(raw)
+    facts = {r.report_id: r for r in jobs.groupBy("report_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("customer_id").alias("customers"),
+        F.min("sales_in").alias("period_from"), F.max("sales_in").alias("period_to")).collect()}   # one row per file
+    good = sorted({ids[p] for paths in by_header.values() for p in paths})
+    library.append_report_events(spark, root, [
+        event(i, 0, library.GENERATING, progress="Stored the dataset", progress_pct=15, name=f"report {i}",
+              **{c: facts[i][c] for c in library.FACTS}) if i in facts else
+        event(i, 0, library.FAILED, name=f"report {i}", message=NO_ROWS) for i in good])
+    if not facts:
+        return
+    cols = [c for c in jobs.columns if c != "report_id"]
+    (jobs.select(*cols, "report_id").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("report_id").parquet(f"{root}/jobs"))
-    if write_marts:
-        stored = library.load_jobs(spark, root).filter(F.col("report_id").isin(ok))
-        marts = build_report(derive(stored, cfg, ("report_id",)), cfg, ("report_id",))
-        library.write_payload(marts, root)
+    broken = _build(spark, root, sorted(facts), cfg) if write_marts else {}
     library.append_report_events(spark, root, [
-        {"report_id": rid, "seq": batch_id * 10 + 1, "status": library.READY, "progress": "Complete",
-         "progress_pct": 100} for rid in ok])
+        event(i, 1, library.FAILED, message=broken[i]) if i in broken else
+        event(i, 1, library.READY, progress="Complete", progress_pct=100) for i in sorted(facts)])
+
+
+def _build(spark: SparkSession, root: str, ids: list[int], cfg: Config) -> dict[int, str]:
+    """Build the marts of the touched reports at once; if that fails, one by
+    one, so that only the reports at fault fail. Returns their messages."""
+    touched = spark.createDataFrame([(i,) for i in ids], "report_id bigint")
+    stored = spark.read.parquet(f"{root}/jobs").join(touched, "report_id", "left_semi")
+    try:
+        library.write_payload(build_report(derive(stored, cfg, ("report_id",)), cfg, ("report_id",)), root)
+        return {}
+    except Exception as error:
+        if len(ids) == 1:
+            return {ids[0]: str(error)}
+        out: dict[int, str] = {}
+        for i in ids:
+            out |= _build(spark, root, [i], cfg)
+        return out
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, root: str, checkpoint: str, cfg: Config = DEFAULT,
                   write_marts: bool = True, fmt: str = "csv"):
     """Start (and, with availableNow, finish) ingestion of every file now in
     ``source_dir``. Returns the StreamingQuery."""
-    reader = spark.readStream.format(fmt).schema(JOBS_RAW_SCHEMA)
-    if fmt == "csv":
-        reader = reader.option("header", "true")
-    stream = reader.load(source_dir).select("*", "_metadata")
-    return (stream.writeStream
-            .foreachBatch(lambda df, bid: process_batch(df, bid, root, cfg, write_marts))
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .start())
+    # only names and times are read: the contents' column is pruned
+    names = (spark.readStream.format("binaryFile")
+             .schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", MAX_FILES).load(source_dir)
+             .select("path", "modificationTime"))
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        files = [(r.path, r.modificationTime.replace(tzinfo=None)) for r in df.collect()]     # at most MAX_FILES
+        process_files(spark, sorted(files), batch_id, root, cfg, write_marts, fmt)
+    return (names.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())

@@ -42,9 +42,11 @@ def test_lifecycle_state_list_latest_delete_purge(spark):
     assert st[2].progress_pct == 0 and st[3].status == "failed" and len(st[3].error) == 1000
     latest = library.latest_ready(library.report_state(library.read_events(spark, root))).collect()
     assert [r.report_id for r in latest] == [1]
-    assert library.delete_report(spark, root, 2) is False          # refused while generating
+    assert library.delete_report(spark, root, 2) is None          # refused while generating
     library.store_jobs(jobs_frame(spark, [dict(customer_id="A")]), root, 1)
-    assert library.delete_report(spark, root, 1) is True
+    assert library.load_jobs(spark, root, 1).count() == 1
+    assert {r.report_id for r in library.delete_report(spark, root, 1).collect()} == {2, 3}
+    assert library.load_jobs(spark, root).count() == 0              # hidden at once, before the purge
     st2 = library.report_state(library.read_events(spark, root))
     assert {r.report_id for r in st2.collect()} == {2, 3}
     assert library.purge_deleted(spark, root) >= 1
@@ -122,21 +124,65 @@ def test_stream_ingests_files_idempotently(spark, tmp_path):
     assert library.load_jobs(spark, root).count() == 6
 
 
-def test_replayed_batch_converges(spark, tmp_path):
-    from inkbook.streaming.ingest_stream import process_batch
-    from inkbook.sources.schema import JOBS_RAW_SCHEMA
-    headers = list(HEADER_MAP)
-    row = {h: "1" for h in headers}
-    row.update({"Title": "T", "CustomerID": "A", "Customer Name": "A", "SalesIn": "2024-01-01",
-                "Currency": "Stg"})
-    df = spark.createDataFrame([tuple(row[h] for h in headers)] * 3, JOBS_RAW_SCHEMA) \
-        .withColumn("_metadata", F.struct(F.lit("/in/report_9.csv").alias("file_path")))
-    root = str(tmp_path / "lib")
-    process_batch(df, 0, root, write_marts=False)
-    process_batch(df, 0, root, write_marts=False)      # the same batch again, as after a failure
+def _export(path, customer, headers=None, days=("2024-01-01",), **more):
+    headers = headers or list(HEADER_MAP)
+    with open(path, "w", newline="") as f:
+        w = csv.writer(f)
+        w.writerow(headers)
+        for day in days:
+            row = {h: "1" for h in HEADER_MAP} | {"Title": "T", "CustomerID": customer, "Customer Name": customer,
+                                                  "SalesIn": day, "Currency": "Stg"} | more
+            w.writerow([row[h] for h in headers])
+
+
+def test_replayed_batch_changes_nothing(spark, tmp_path):
+    import datetime as dt
+    from inkbook.streaming.ingest_stream import process_files
+    _export(tmp_path / "report_9.csv", "A", days=("2024-01-01", "2024-02-03", "2024-03-01"))
+    root, files = str(tmp_path / "lib"), [(str(tmp_path / "report_9.csv"), dt.datetime(2024, 5, 1))]
+    process_files(spark, files, 0, root, write_marts=False)
+    before = library.report_state(library.read_events(spark, root)).collect()
+    process_files(spark, files, 0, root, write_marts=False)      # the same batch again, as after a failure
     assert library.load_jobs(spark, root, 9).count() == 3
-    st = library.report_state(library.read_events(spark, root)).collect()
-    assert [(r.report_id, r.status) for r in st] == [(9, "ready")]
+    assert library.report_state(library.read_events(spark, root)).collect() == before
+    r, = before
+    assert (r.report_id, r.status, r.event_count, r.rows, r.customers, r.period_from, r.period_to) == \
+        (9, "ready", 2, 3, 1, d("2024-01-01"), d("2024-03-01"))
+
+
+def test_headers_decide_per_file(spark, tmp_path):
+    import datetime as dt
+    from inkbook.streaming.ingest_stream import process_files
+    names = list(HEADER_MAP)
+    _export(tmp_path / "report_1.csv", "A", headers=names[::-1])                       # reordered
+    _export(tmp_path / "report_2.csv", "B", headers=[h for h in names if h not in ("CustomerID", "Rep")])
+    _export(tmp_path / "report_3.csv", "C")
+    _export(tmp_path / "report_4.csv", "", SalesIn="never")                            # no usable row
+    root = str(tmp_path / "lib")
+    process_files(spark, [(str(tmp_path / f"report_{i}.csv"), dt.datetime(2024, 5, 1)) for i in (1, 2, 3, 4)], 3, root,
+                  write_marts=False)
+    st = {r.report_id: r for r in library.report_state(library.read_events(spark, root)).collect()}
+    assert {i: r.status for i, r in st.items()} == {1: "ready", 2: "failed", 3: "ready", 4: "failed"}
+    assert "customer_id, rep" in st[2].error
+    got = {r.report_id: (r.customer_id, r.job_id) for r in library.load_jobs(spark, root).collect()}
+    assert {i: c for i, (c, _) in got.items()} == {1: "A", 3: "C"} and len({j for _, j in got.values()}) == 1
+
+
+def test_a_failing_build_fails_its_report_only(spark, tmp_path, monkeypatch):
+    import datetime as dt
+    from inkbook.streaming import ingest_stream as S
+    for i, c in ((1, "A"), (2, "B")):
+        _export(tmp_path / f"report_{i}.csv", c)
+
+    def build(jobs, cfg, by):
+        if jobs.filter("customer_id = 'B'").count():
+            raise RuntimeError("cannot build B")
+        return {"m": jobs.groupBy("report_id").count()}
+    monkeypatch.setattr(S, "build_report", build)
+    root = str(tmp_path / "lib")
+    S.process_files(spark, [(str(tmp_path / f"report_{i}.csv"), dt.datetime(2024, 5, 1)) for i in (1, 2)], 0, root)
+    st = {r.report_id: (r.status, r.error) for r in library.report_state(library.read_events(spark, root)).collect()}
+    assert st == {1: ("ready", None), 2: ("failed", "cannot build B")}
 
 
 def test_report_build_with_reliable_checkpoint(spark):
