@@ -19,7 +19,8 @@
    stores the ordered sets in a trie and walks it once for all probing sets
    together: overlaps along a shared path are counted once, and a subtree is
    left as soon as the lengths that remain cannot reach the threshold for any
-   probe. The links of a block go out as a spanning forest.
+   probe. The links of a block go out as stars around the least set of
+   each component.
    In a first round every set goes to its largest block only; sets connected
    by then need not meet again in the second.
 6. Connected components of the links, on stored tables.
@@ -194,7 +195,7 @@ def trie_links(sets: list[np.ndarray], probes: list[np.ndarray] | None, percent:
 
 
 def spanning(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs."""
+    """(member, least member) of every component of the pairs."""
     up: dict[int, int] = {}
 
     def find(x):
@@ -202,13 +203,10 @@ def spanning(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
             up[x] = up[up[x]]
             x = up[x]
         return x
-    out = []
     for a, b in pairs:
         x, y = find(a), find(b)
-        if x != y:
-            up[x] = y
-            out.append((a, b))
-    return out
+        up[max(x, y)] = min(x, y)
+    return [(x, find(x)) for x in list(up) if find(x) != x]
 
 
 def block_links(sets: list[np.ndarray], side: list[int], weight, percent: int) -> list[tuple[int, int]]:
@@ -408,6 +406,7 @@ def within_blocks(rows: DataFrame, sets: DataFrame, weight, percent: int) -> Dat
             found.clear()
             return batch
         for _, held in grouped(batches):
+            held.sort(key=lambda h: h[1])
             own = [np.frombuffer(h[2], "<u8") for h in held]
             for a, b in block_links(own, [h[0] for h in held], weight, percent):
                 found.append((held[a][1], held[b][1]))
@@ -432,8 +431,10 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     largest = rows.groupBy("id").agg(F.max(F.struct("members", "token")).alias("b")) \
         .select("id", "b.token", F.col("id").alias("part"))
     some = within_blocks(largest, sets, weight, percent)
-    known = graph.components(some, "a", "b")
-    part = sets.select("id", "sig").join(known.withColumnRenamed("node", "sig"), "sig", "left") \
+    # links go from a set to the least of its block's component, so sets with
+    # one root are connected (the reverse need not hold: they meet again then)
+    known = some.groupBy(F.col("a").alias("sig")).agg(F.min("b").alias("root"))
+    part = sets.select("id", "sig").join(known, "sig", "left") \
         .select("id", F.xxhash64(F.coalesce("root", "sig")).alias("part"))
     rows = rows.select("id", "token").join(part, "id")
     open_ = rows.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")) \
