@@ -21,8 +21,8 @@
    left as soon as the lengths that remain cannot reach the threshold for any
    probe. The links of a block go out as stars around the least set of
    each component.
-   In a first round every set goes to its largest block only; sets connected
-   by then need not meet again in the second.
+   In the first rounds every set goes to one block only; sets connected by
+   then need not meet again in the last.
 6. Connected components of the links, on stored tables.
 
 No pair is emitted that is not a link, and copies are never expanded.
@@ -48,6 +48,8 @@ WORDS, PERCENT = 4, 85
 FIRST = 4 / 3
 BLOOM_BITS = 1 << 26
 TABLE = 1 << 20
+#: Rounds in which a set goes to one block only.
+ROUNDS = 2
 #: Sets of a block that one trie holds.
 CHUNK = 512
 
@@ -423,23 +425,34 @@ def within_blocks(rows: DataFrame, sets: DataFrame, weight, percent: int) -> Dat
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between classes, enough of them to connect what is linked.
 
-    First every set goes to one block only, its largest: that connects most of
-    a family. Then go the blocks whose members are not all connected yet."""
+    In the first ROUNDS rounds every set goes to one block only, that of its
+    least shingle by the round's hash: similar sets mostly choose the same one,
+    so most of a family is connected at the cost of one copy of each set. Then
+    go all blocks whose members are not all connected yet."""
     counts = rarity(sets)
     weight = lambda tokens: counts[_slot(tokens)]
-    rows = blocks(sets, weight, percent)
-    largest = rows.groupBy("id").agg(F.max(F.struct("members", "token")).alias("b")) \
-        .select("id", "b.token", F.col("id").alias("part"))
-    some = within_blocks(largest, sets, weight, percent)
-    # links go from a set to the least of its block's component, so sets with
-    # one root are connected (the reverse need not hold: they meet again then)
-    known = some.groupBy(F.col("a").alias("sig")).agg(F.min("b").alias("root"))
-    part = sets.select("id", "sig").join(known, "sig", "left") \
-        .select("id", F.xxhash64(F.coalesce("root", "sig")).alias("part"))
-    rows = rows.select("id", "token").join(part, "id")
-    open_ = rows.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")) \
-        .where("lo < hi").select("token")
-    return some.union(within_blocks(rows.join(open_, "token"), sets, weight, percent))
+    rows = blocks(sets, weight, percent).select("id", "token")
+    found = None
+    for turn in range(ROUNDS + 1):
+        if found is None:
+            open_ = rows.withColumn("part", F.col("id"))
+        else:
+            # links go from a set to the least of its block's component, so sets
+            # with one root are connected (the reverse need not hold)
+            known = found.groupBy(F.col("a").alias("sig")).agg(F.min("b").alias("root"))
+            part = sets.select("id", "sig").join(known, "sig", "left") \
+                .select("id", F.xxhash64(F.coalesce("root", "sig")).alias("part"))
+            open_ = rows.join(part, "id")
+            apart = open_.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")) \
+                .where("lo < hi").select("token")
+            open_ = open_.join(apart, "token")
+        if turn < ROUNDS:
+            open_ = open_.groupBy("id").agg(
+                F.min(F.struct(F.xxhash64(F.lit(turn), "token").alias("h"), "token")).alias("t"),
+                F.first("part").alias("part")).select("id", "t.token", "part")
+        more = within_blocks(open_, sets, weight, percent)
+        found = more if found is None else found.union(more)
+    return found
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
