@@ -480,10 +480,17 @@ def q_underpriced_summary(spark, sf_dir):
     return quote.underpriced_summary(_base(spark, sf_dir))
 
 
+_FITTED: dict = {}
+
+
 def _scored(spark, sf_dir):
-    """The price model fitted for this query, and the held-out jobs it scores."""
-    s = _split(spark, sf_dir)
-    model, reason = quote.train_price_model(s)
+    """The held-out jobs as the price model scores them. There is one model
+    per report: the last one fitted is kept for the other keys of its data."""
+    s, key = _split(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        _FITTED.clear()
+        _FITTED[key] = quote.train_price_model(s)
+    model, reason = _FITTED[key]
     return quote.model_predictions(model, s), s, reason
 
 

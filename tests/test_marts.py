@@ -3,10 +3,14 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from inkbook.config import Config
 from inkbook.operators import churn, delivery, pricing, quote, reorder, repeat, season, value
 from inkbook.operators.derive import derive
 from tests.frames import d, derived, jobs_frame, rows
 
+#: The tests fit fewer rounds than the library's default of 400.
+SHORT_FIT = Config(gbt_max_iter=30, gbt_step_size=0.2)
+
 
 def test_null_keys_are_dropped_and_unknown_currency_converts_at_one(spark):
     jd = derived(spark, [
@@ -174,7 +178,7 @@ def test_discounts_plus_uplifts_equal_net(spark):
 def test_model_gate(spark):
     rows199 = [dict(row_key=f"r{i}", sell_price=10.0 + i) for i in range(199)]
     split = quote.holdout_split(quote.price_features(jobs_frame(spark, rows199).transform(derive)))
-    model, reason = quote.train_price_model(split)
+    model, reason = quote.train_price_model(split, SHORT_FIT)
     assert model is None and "Not enough" in reason
 
 
@@ -208,7 +212,10 @@ def test_results_do_not_depend_on_partitioning(spark):
 def test_boosted_model_beats_comparable_baseline(spark):
     from inkbook.plans.queries import REGISTRY
     sf = "/root/testdata/sf0.001"
-    gbt = REGISTRY["price_model_metrics"](spark, sf).first()
+    from inkbook.sources.fixtures import jobs_view
+    split = quote.holdout_split(quote.price_features(derive(jobs_view(spark, sf))))
+    model, _ = quote.train_price_model(split, SHORT_FIT)
+    gbt = quote.benchmark_metrics(quote.model_predictions(model, split), split).first()
     base = REGISTRY["benchmark_metrics"](spark, sf).first()
     assert gbt.test_rows == base.test_rows > 0
     assert gbt.median_abs_pct_error < base.median_abs_pct_error
@@ -218,8 +225,8 @@ def test_boosted_model_beats_comparable_baseline(spark):
 def test_model_is_reproducible_with_a_seed(spark):
     from inkbook.sources.fixtures import jobs_view
     split = quote.holdout_split(quote.price_features(derive(jobs_view(spark, "/root/testdata/sf0.001"))))
-    a, _ = quote.train_price_model(split)
-    b, _ = quote.train_price_model(split)
+    a, _ = quote.train_price_model(split, SHORT_FIT)
+    b, _ = quote.train_price_model(split, SHORT_FIT)
     pa = sorted((r.row_key, round(r.expected_price, 6)) for r in quote.model_predictions(a, split).collect())
     pb = sorted((r.row_key, round(r.expected_price, 6)) for r in quote.model_predictions(b, split).collect())
     assert pa == pb
