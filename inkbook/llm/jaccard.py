@@ -437,9 +437,14 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         if found is None:
             open_ = rows.withColumn("part", F.col("id"))
         else:
-            # links go from a set to the least of its block's component, so sets
-            # with one root are connected (the reverse need not hold)
-            known = found.groupBy(F.col("a").alias("sig")).agg(F.min("b").alias("root"))
+            if turn < ROUNDS:
+                # links go from a set to the least of its block's component, so
+                # sets with one root are connected (the reverse need not hold)
+                known = found.groupBy(F.col("a").alias("sig")).agg(F.min("b").alias("root"))
+            else:
+                # a large family's stars of the rounds overlap: as one component
+                # its blocks are closed, as several parts each would go again
+                known = graph.components(found, "a", "b").withColumnRenamed("node", "sig")
             part = sets.select("id", "sig").join(known, "sig", "left") \
                 .select("id", F.xxhash64(F.coalesce("root", "sig")).alias("part"))
             open_ = rows.join(part, "id")
