@@ -4,8 +4,9 @@
    length, long first, then a hash). Equal sets are one class from here on.
 2. Long shingles are rare, so the longest ones decide first: a set that shares
    too few of them with any other set cannot have a partner (a partner leaves
-   at most the share 1 - t of a set unmatched). Which shingles occur in one
-   class only is a partially aggregated min/max per shingle.
+   at most the share 1 - t of a set unmatched). Every set shows more of them than
+   it counts, so that a partner finds each shared one. Which shingles occur in
+   one class only is a partially aggregated min/max per shingle.
 3. The remaining classes are read again (found through a Bloom bitmap of fixed
    size; false hits are harmless) and ordered rare shingles first, by counts in
    a table of fixed size: one global order.
@@ -35,6 +36,7 @@ an empty table gives an empty result. Only the id and text columns are read."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +98,22 @@ def allowed(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
+def counted(n: int, percent: int) -> int:
+    """Longest shingles of a set that the first test counts."""
+    return min(n, int(np.ceil(n * (100 - percent) / 100 * FIRST)) + 1)
+
+
+@lru_cache(1 << 16)
+def shown(n: int, percent: int) -> int:
+    """Longest shingles of a set that hold every shared one that a partner
+    counts: before such a one stand here at most those that the partner has
+    before it, and those that this set leaves unmatched."""
+    m = np.arange(-(-percent * n // 100), 100 * n // percent + 1)      # sizes of partners
+    unmatched = n - -(-percent * (m + n) // (100 + percent))
+    first = np.minimum(m, np.ceil(m * (100 - percent) / 100 * FIRST).astype(np.int64) + 1)
+    return int(min(n, (first + unmatched)[unmatched >= 0].max()))
+
+
 def sketch(s: np.ndarray) -> bytes:
     """Counts per hash bucket, a power of two of buckets with about eight
     shingles each (255: that many or more)."""
@@ -256,17 +274,22 @@ def with_partners(docs: DataFrame, light: DataFrame, id_col: str, text_col: str,
     """(sig, n) of the classes that may have a partner."""
     def longest(rows):
         for b in common.batches(rows):
-            keys, parts = [], []
+            keys, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for s in shingle_sets(b.column(1), words):
-                part = s[:int(np.ceil(len(s) * (100 - percent) / 100 * FIRST)) + 1]
+                if not len(s):
+                    continue
+                part = s[:shown(len(s), percent)]
+                # the lowest bit tells the tokens that count for their own set
+                key = np.full(len(part), _key(signature(s)), np.int64) << 1
+                key[:counted(len(s), percent)] |= 1
                 parts.append(part)
-                keys.append(np.full(len(part), _key(signature(s)) if len(s) else 0, np.int64))
+                keys.append(key)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(parts).view(np.int64))],
                                              names=["key", "token"])
     tokens = _bodies(docs, id_col, text_col).mapInArrow(longest, "key long, token long")
     single = tokens.groupBy("token").agg(F.min("key").alias("key"), F.max("key").alias("other")) \
-        .where(F.col("key") == F.col("other"))
-    alone = single.groupBy("key").agg(F.count("*").alias("alone"))
+        .where((F.col("key") == F.col("other")) & (F.col("key").bitwiseAND(F.lit(1)) == 1))
+    alone = single.groupBy(F.shiftrightunsigned("key", 1).alias("key")).agg(F.count("*").alias("alone"))
     one = light.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.first("n").alias("n")).withColumn("key", _sql_key())
     bound = F.col("n") - F.ceil(F.col("n") * percent / 100)
     return one.join(alone, "key", "left").where(F.coalesce("alone", F.lit(0)) <= bound).select("sig", "n")

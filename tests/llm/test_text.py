@@ -97,6 +97,27 @@ def test_components_equal_brute_force(spark, monkeypatch, n, percent, chunk):
     assert len(least) < len(nodes)
 
 
+def test_first_test_keeps_sets_with_a_partner(spark):
+    rng, texts = random.Random(5), []
+    for n in [9, 9, 15, 16, 20, 29, 49, 54, 63] * 3:
+        base = ["".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(3, 7))) for _ in range(n)]
+        texts += [" ".join(base), " ".join(["z" * rng.randint(15, 40)] * (1 + (n > 40)) + base)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingles(t, 4) for t in texts]
+    pairs = [(i, i + 1) for i in range(0, len(texts), 2) if linked(sets[i], sets[i + 1], 85)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()}
+    assert len(pairs) > 20
+    assert [(i, j) for i, j in pairs if got[j] != i] == []
+
+
+@given(st.integers(1, 400), st.integers(1, 400), st.sampled_from([50, 80, 85, 100]))
+@settings(max_examples=300, deadline=None)
+def test_shown_shingles_reach_what_a_partner_counts(a, b, percent):
+    both = -(-percent * (a + b) // (100 + percent))
+    if both <= min(a, b):
+        assert jaccard.shown(b, percent) >= min(b, jaccard.counted(a, percent) + b - both)
+
+
 def test_empty_tables(spark):
     df = odd_documents(spark).limit(0)
     assert jaccard.jaccard_components(df).count() == 0
