@@ -5,9 +5,10 @@ balanced hierarchical clustering of a bounded sample (SAMPLE rows, chosen by a
 hash of the id); every vector is indexed. A vector near a border goes to up to
 REPLICAS lists: those whose centroid is at most REPLICA_RATIO times as far as
 the nearest. Centroids are found through an in-memory neighbour graph, by
-best-first search. A query visits the lists whose centroid is at most
-PROBE_RATIO times as far as its nearest one (at least enough lists to hold a
-fair number of vectors), and scores their vectors exactly.
+best-first search, or all compared where that finds too few. A query visits
+every list whose centroid is at most so many times as far as its nearest one
+(at least enough lists to hold a fair number of vectors), and scores their
+vectors exactly.
 
 Largest inner product becomes smallest distance by one more coordinate,
 sqrt(M^2 - |x|^2) with M the largest norm (zero for queries), so vectors need
@@ -36,7 +37,7 @@ from inkbook.llm import common
 #: Rows the centroids are fitted on, vectors per list aimed at, most lists.
 SAMPLE, LIST, LISTS = 40_000, 200, 16_384
 REPLICAS, REPLICA_RATIO = 4, 1.15
-PROBE_RATIO, MOST_PROBES = 1.10, 512
+PROBE_RATIO, PROBES = 1.10, 512
 DEGREE = 16
 SHARD = 32_768
 #: Queries scored at a time.
@@ -129,6 +130,33 @@ class Graph:
                 np.sqrt(np.maximum(np.take_along_axis(d, order, 1), 0)))
 
 
+    def all(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All centroids and their distances, nearest first."""
+        d = (q * q).sum(1, keepdims=True) + self.sq - 2 * q @ self.c.T
+        order = np.argsort(d, axis=1, kind="stable")
+        return order, np.sqrt(np.maximum(np.take_along_axis(d, order, 1), 0))
+
+
+def to_visit(graph: Graph, q: np.ndarray, homes: np.ndarray, ratio: float, least: int, width: int = PROBES) \
+        -> list[np.ndarray]:
+    """The lists each query visits: all within the ratio, and the nearest until
+    ``least`` vectors are held. Where the last of the ``width`` centroids that
+    the graph finds is still wanted, all centroids are looked at."""
+    def wanted(near, d):
+        held = np.cumsum(homes[near], axis=1) - homes[near]
+        return (d <= d[:, :1] * ratio) | (held < least)
+    near, d = graph.search(q, width)
+    take = wanted(near, d)
+    out = [n[t] for n, t in zip(near, take)]
+    more = np.flatnonzero(take[:, -1]) if near.shape[1] < len(graph.c) else []
+    for lo in range(0, len(more), 16):
+        part = more[lo:lo + 16]
+        near, d = graph.all(q[part])
+        for r, n, t in zip(part, near, wanted(near, d)):
+            out[r] = n[t]
+    return out
+
+
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products summed in component order, so that equal vectors score
     equally wherever they lie."""
@@ -236,22 +264,19 @@ def search(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding",
     for i, (_, h) in counts.items():
         homes[i] = h
 
+    wanting = rows.where(F.col("vec_id") % query_every == 0)
     def probe(batches):
         for b in common.batches(batches, 1 << 20):
             x = _matrix(b.column(1))
             got = []
             for lo in range(0, len(x), 64):
                 q = x[lo:lo + 64]
-                if one_list:
-                    near, d = np.zeros((len(q), 1), int), np.ones((len(q), 1))
-                else:
-                    near, d = graph.search(np.hstack([q, np.zeros((len(q), 1))]), MOST_PROBES)
                 # enough lists to hold ten times what is asked for
-                held = np.cumsum(homes[near], axis=1) - homes[near]
-                take = (d <= d[:, :1] * probe_ratio) | (held < 10 * k)
+                visit = [np.zeros(1, int)] * len(q) if one_list else \
+                    to_visit(graph, np.hstack([q, np.zeros((len(q), 1))]), homes, probe_ratio, 10 * k)
                 for r in range(len(q)):
                     by: dict[int, list[int]] = {}
-                    for i in near[r][take[r]].tolist():
+                    for i in visit[r].tolist():
                         for p in range(parts.get(i, 0)):
                             by.setdefault(base[i] + p, []).append(i)
                     got += [(s, lo + r, lists) for s, lists in by.items()]
@@ -259,7 +284,7 @@ def search(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding",
             yield pa.RecordBatch.from_arrays(
                 [pa.array([g[0] for g in got], pa.int32()), b.column(0).take(at), b.column(1).take(at),
                  pa.array([g[2] for g in got], pa.list_(pa.int32()))], names=["shard", "query_id", "vec", "lists"])
-    asked = common.store(rows.where(F.col("vec_id") % query_every == 0).mapInArrow(
+    asked = common.store(wanting.mapInArrow(
         probe, f"shard int, query_id long, vec {kind}, lists array<int>"), "probes")
     asking = {r["shard"]: -(-r["count"] // SHARD) for r in asked.groupBy("shard").count().collect()}
 

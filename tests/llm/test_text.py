@@ -410,6 +410,18 @@ def test_recall(spark, monkeypatch, n, hot):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_every_list_within_the_ratio_is_visited():
+    rng = np.random.default_rng(9)
+    g = ann.Graph(rng.normal(size=(900, 24)))
+    q, homes = rng.normal(size=(40, 24)), np.full(900, 200)
+    for ratio in (1.0, 1.2, 1.5, 100.0):
+        for x, lists in zip(q, ann.to_visit(g, q, homes, ratio, 0)):
+            d = np.sqrt(((g.c - x) ** 2).sum(1))
+            # the graph may miss a few of the lists it searches, none of those beyond its width
+            want = set(np.flatnonzero(d <= d.min() * ratio).tolist())
+            assert set(lists.tolist()) == want if len(want) > ann.PROBES else set(lists.tolist()) <= want
+
+
 # ------------------------------------------------------------------ pipeline
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
