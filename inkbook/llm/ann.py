@@ -8,7 +8,9 @@ the nearest. Centroids are found through an in-memory neighbour graph, by
 best-first search, or all compared where that finds too few. A query visits
 every list whose centroid is at most so many times as far as its nearest one
 (at least enough lists to hold a fair number of vectors), and scores their
-vectors exactly.
+vectors exactly. That ratio is fitted: PILOTS queries are answered from all
+vectors, and it is the least, from PROBE_RATIO on, at which the visited lists
+hold the share AIM of their true neighbours, however many lists there are.
 
 Largest inner product becomes smallest distance by one more coordinate,
 sqrt(M^2 - |x|^2) with M the largest norm (zero for queries), so vectors need
@@ -38,6 +40,8 @@ from inkbook.llm import common
 SAMPLE, LIST, LISTS = 40_000, 200, 16_384
 REPLICAS, REPLICA_RATIO = 4, 1.15
 PROBE_RATIO, PROBES = 1.10, 512
+#: Queries the ratio is fitted on, share of their neighbours to be found.
+PILOTS, AIM = 256, 0.95
 DEGREE = 16
 SHARD = 32_768
 #: Queries scored at a time.
@@ -157,6 +161,28 @@ def to_visit(graph: Graph, q: np.ndarray, homes: np.ndarray, ratio: float, least
     return out
 
 
+def fitted_ratio(graph: Graph, q: np.ndarray, homes: np.ndarray, hits: list[tuple[int, list[int]]], ratio: float,
+                 least: int, aim: float = AIM) -> float:
+    """The least ratio, from ``ratio`` on, at which queries visit a list of the
+    share ``aim`` of ``hits``: (query, lists that hold one of its neighbours)."""
+    need = []
+    by: dict[int, list[list[int]]] = {}
+    for i, lists in hits:
+        by.setdefault(i, []).append(lists)
+    for i, each in by.items():
+        near, d = (x[0] for x in graph.all(q[i:i + 1]))
+        far = np.empty(len(d))
+        far[near] = d
+        held = np.cumsum(homes[near]) - homes[near]
+        free = d[held < least].max(initial=0.0)            # visited at any ratio
+        for lists in each:
+            f = far[lists].min()
+            need.append(1.0 if f <= free else f / d[0] if d[0] > 0 else np.inf)
+    if not need:
+        return ratio
+    return float(max(ratio, np.sort(need)[int(np.ceil(aim * len(need))) - 1] * (1 + 1e-9)))
+
+
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products summed in component order, so that equal vectors score
     equally wherever they lie."""
@@ -265,6 +291,39 @@ def search(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding",
         homes[i] = h
 
     wanting = rows.where(F.col("vec_id") % query_every == 0)
+    if not one_list:
+        pilots = wanting.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PILOTS).toArrow().sort_by("vec_id")
+        pilot_ids, pilot = pilots["vec_id"].to_numpy(), _matrix(pilots["vec"])
+        many = REPLICAS * (k + 1)
+
+        def true_hits(batches):
+            """The rows of a partition that may be among the best of a pilot."""
+            best = [np.zeros((len(pilot), 0)), np.zeros((len(pilot), 0), np.int64), np.zeros((len(pilot), 0), np.int32)]
+            for b in common.batches(batches, 1 << 20):
+                for lo in range(0, b.num_rows, 4096):
+                    part = b.slice(lo, 4096)
+                    ids, lists = part.column(1).to_numpy(), part.column(0).to_numpy()
+                    got = pilot @ _matrix(part.column(2)).T
+                    got[pilot_ids[:, None] == ids] = -np.inf
+                    every = [np.hstack([best[0], got]), np.hstack([best[1], np.broadcast_to(ids, got.shape)]),
+                             np.hstack([best[2], np.broadcast_to(lists, got.shape)])]
+                    if every[0].shape[1] > many:
+                        at = np.argpartition(-every[0], many - 1, axis=1)[:, :many]
+                        every = [np.take_along_axis(x, at, 1) for x in every]
+                    best = every
+            r, j = np.nonzero(np.isfinite(best[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), *(pa.array(x[r, j]) for x in best)],
+                                             names=["pilot", "score", "vec_id", "list"])
+        hits = []
+        if len(pilot):
+            seen = postings.select("list", "vec_id", "vec").mapInArrow(
+                true_hits, "pilot int, score double, vec_id long, list int") \
+                .groupBy("pilot", "vec_id").agg(F.max("score").alias("score"), F.collect_set("list").alias("lists"))
+            best = seen.groupBy("pilot").agg(F.slice(F.sort_array(F.collect_list(
+                F.struct((-F.col("score")).alias("down"), "vec_id", "lists"))), 1, k).alias("top"))
+            hits = [(r["pilot"], h["lists"]) for r in best.collect() for h in r["top"]]      # k rows per pilot
+        probe_ratio = fitted_ratio(graph, np.hstack([pilot, np.zeros((len(pilot), 1))]), homes, hits, probe_ratio, 10 * k)
+
     def probe(batches):
         for b in common.batches(batches, 1 << 20):
             x = _matrix(b.column(1))

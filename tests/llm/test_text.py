@@ -410,6 +410,27 @@ def test_recall(spark, monkeypatch, n, hot):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def recall(spark, x, **how):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    hit = there = 0
+    found = defaultdict(list)
+    for r in ann.search(df, **how).collect():
+        found[r["query_id"]].append(r["vec_id"])
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(found[q]) & set(np.argsort(-s)[:20].tolist()))
+        there += 20
+    return hit / there
+
+
+def test_many_lists_whose_distances_hardly_differ(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST", 4)
+    x = np.random.default_rng(8).normal(size=(3000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert recall(spark, x) >= 0.9
+
+
 def test_every_list_within_the_ratio_is_visited():
     rng = np.random.default_rng(9)
     g = ann.Graph(rng.normal(size=(900, 24)))
