@@ -12,7 +12,8 @@ A text is cut into overlapping windows. A span must hold a digit, an ``@`` or
 a bracketed "at", so windows without one have none and are not decoded; all
 others are, whatever the text's length. Windows are reconciled over the whole
 text: spans cut by a window's edge yield to the neighbour that holds them
-whole, and of the spans that remain the set of greatest total probability
+whole, or else to a window set around them and widened until it does; of the
+spans that remain the set of greatest total probability
 without overlaps is taken. Spans that meet a base span, are unsure, or do not
 read as their kind once separators are undone are left out.
 
@@ -246,23 +247,85 @@ def windows(text: str) -> list[int]:
     return starts
 
 
+def _decoded(model: Tagger, texts: list[str], part: list[tuple[int, int, int]]):
+    """(window, span) of windows (text, start, end) of one width; what reaches
+    beyond the text is no span."""
+    ids = np.zeros((len(part), part[0][2] - part[0][1]), np.int64)
+    for r, (i, s, e) in enumerate(part):
+        piece = symbols(texts[i][s:e])
+        ids[r, :len(piece)] = piece
+    for (i, s, e), spans in zip(part, model.decode(ids)):
+        for kind, a, b, sure in spans:
+            if s + b <= len(texts[i]):
+                yield (i, s, e), (kind, s + a, s + b, sure)
+
+
+def not_held(cut: list[tuple[int, int, int, int]], whole: list[list]) -> list[tuple[int, int, int, int]]:
+    """The cut pieces (text, kind, start, end) that lie in no whole span of
+    their kind."""
+    reach: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
+    for i in {c[0] for c in cut}:
+        for kind, a, b, _ in sorted(whole[i]):
+            starts, ends = reach.setdefault((i, kind), ([], []))
+            starts.append(a)
+            ends.append(max(b, ends[-1] if ends else 0))
+    out = []
+    for i, kind, a, b in cut:
+        starts, ends = reach.get((i, kind), ([], []))
+        k = bisect_left(starts, a + 1)
+        if not k or ends[k - 1] < b:
+            out.append((i, kind, a, b))
+    return out
+
+
+def around(model: Tagger, texts: list[str], cut: list[tuple[int, int, int, int]]):
+    """(text, span) decoded in windows around the cut pieces, which are joined
+    where they meet; while an edge still cuts a span, the margin is doubled."""
+    margin = STRIDE
+    while cut:
+        joined: list[list[int]] = []
+        for i, kind, a, b in sorted(cut):
+            if joined and joined[-1][:2] == [i, kind] and a <= joined[-1][3]:
+                joined[-1][3] = max(b, joined[-1][3])
+            else:
+                joined.append([i, kind, a, b])
+        by: dict[int, list[tuple[int, int, int]]] = {}
+        pieces: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+        for i, _, a, b in joined:
+            s = max(0, a - margin)
+            w = (i, s, s - (s - b - margin) // STRIDE * STRIDE)       # widths are multiples of the stride
+            if w not in pieces:
+                by.setdefault(w[2] - s, []).append(w)
+            pieces.setdefault(w, []).append((a, b))
+        cut = []
+        for width, parts in by.items():
+            step = max(1, 256 * WINDOW // width)
+            for lo in range(0, len(parts), step):
+                for (i, s, e), (kind, a, b, sure) in _decoded(model, texts, parts[lo:lo + step]):
+                    if not any(a < y and x < b for x, y in pieces[i, s, e]):
+                        continue
+                    if a == s > 0 or b == e < len(texts[i]):
+                        cut.append((i, kind, a, b))
+                    else:
+                        yield i, (kind, a, b, sure)
+        margin *= 2
+
+
 def added_spans(model: Tagger, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
     """The model's spans of each text beyond its base spans."""
     where = [(i, s) for i, t in enumerate(texts) for s in windows(t)]
-    found: list[list] = [[] for _ in texts]
+    whole: list[list] = [[] for _ in texts]
+    cut: list[tuple[int, int, int, int]] = []
     for lo in range(0, len(where), 256):
-        part = where[lo:lo + 256]
-        ids = np.zeros((len(part), WINDOW), np.int64)
-        for r, (i, s) in enumerate(part):
-            piece = symbols(texts[i][s:s + WINDOW])
-            ids[r, :len(piece)] = piece
-        for (i, s), spans in zip(part, model.decode(ids)):
-            n = len(texts[i])
-            for kind, a, b, sure in spans:
-                # cut by an edge: the neighbouring window holds it whole
-                if a == 0 and s > 0 or b == WINDOW and s + WINDOW < n or sure < SURE or s + b > n:
-                    continue
-                found[i].append((kind, s + a, s + b, sure))
+        part = [(i, s, s + WINDOW) for i, s in where[lo:lo + 256]]
+        for (i, s, e), (kind, a, b, sure) in _decoded(model, texts, part):
+            if a == s > 0 or b == e < len(texts[i]):
+                cut.append((i, kind, a, b))
+            else:
+                whole[i].append((kind, a, b, sure))
+    for i, span in around(model, texts, not_held(cut, whole)):
+        whole[i].append(span)
+    found = [[s for s in spans if s[3] >= SURE] for spans in whole]
     out = []
     for text, own, spans in zip(texts, base, found):
         good = []

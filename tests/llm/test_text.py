@@ -279,6 +279,38 @@ def test_added_spans_and_clean_texts(tagger):
     assert pii.added_spans(tagger, clean, [[] for _ in clean]) == [[] for _ in clean]
 
 
+class Runs:
+    """Takes every run without a space for an email."""
+
+    def decode(self, ids):
+        space = pii.symbols(" ")[0]
+        out = []
+        for row in ids:
+            inside = np.diff(np.concatenate([[0], ((row != space) & (row != 0)).astype(int), [0]]))
+            out.append([(0, int(a), int(b), 0.99) for a, b in zip(np.flatnonzero(inside == 1), np.flatnonzero(inside == -1))])
+        return out
+
+
+@pytest.mark.parametrize("n", [20, 56, 97, 700])
+def test_spans_longer_than_the_overlap(n):
+    item = "u" * (n // 2 - 4) + "[at]" + "h" * (n - n // 2 - 4) + ".com"
+    for offset in range(100, 148):
+        text = "x" * 9 + " a" * 200 + " "
+        text = text[:offset - 1] + " " + item + " and b" + " c" * 100
+        spans, = pii.added_spans(Runs(), [text], [[]])
+        assert [(KINDS[k], text[a:b]) for k, a, b in spans] == [("email", item)]
+
+
+def test_long_addresses_at_every_offset(tagger):
+    item = "benjamin_foster [at] database [dot] hostings [dot] com"
+    hit = 0
+    for offset in range(48):
+        text = prose(random.Random(8), 60).ljust(400)[:200 + offset] + " " + item + " " + prose(random.Random(9), 60)
+        spans, = pii.added_spans(tagger, [text], [pii.base_spans(text)])
+        hit += any(text[a:b] == item for _, a, b in spans)
+    assert hit >= 44
+
+
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 30), st.integers(1, 8), st.floats(0.1, 1)), max_size=9))
 @settings(max_examples=100, deadline=None)
 def test_reconciled_spans_are_the_best(spans):
