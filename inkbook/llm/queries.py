@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkbook.llm import ann, archive, bpe, common, html_text, jaccard, lm, packing, pii, quality, token_store
+from inkbook.llm import (ann, archive, bpe, common, html_text, importance, jaccard, lm, packing, pii, quality,
+                         token_store)
 
 QUERIES = {}
 
@@ -70,3 +71,8 @@ def op7_lm(spark, sf_dir):
 @register
 def op4_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_importance(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
