@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkbook.llm import (ann, archive, bpe, common, html_text, importance, jaccard, lm, packing, pii, quality,
+from inkbook.llm import (ann, archive, bpe, collocations, common, html_text, importance, jaccard, lm, packing, pii, quality,
                          token_store)
 
 QUERIES = {}
@@ -76,3 +76,8 @@ def op4_pii(spark, sf_dir):
 @register
 def op13_importance(spark, sf_dir):
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
