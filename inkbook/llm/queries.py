@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkbook.llm import (ann, archive, bpe, collocations, common, html_text, importance, jaccard, lm, packing, pii, quality,
-                         token_store)
+from inkbook.llm import (ann, archive, bpe, collocations, common, html_text, importance, jaccard, lm, packing, passages, pii,
+                         quality, token_store)
 
 QUERIES = {}
 
@@ -81,3 +81,8 @@ def op13_importance(spark, sf_dir):
 @register
 def op11_collocations(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@register
+def op12_passages(spark, sf_dir):
+    return passages.remove_repeats(table(spark, sf_dir, "documents"))

@@ -22,11 +22,13 @@ WHITE = common._SEP
 @dataclass
 class Words:
     """Words of one piece of a column: ``data`` holds its bytes, ``start`` and
-    ``end`` the words' places in them, ``row`` each word's row."""
+    ``end`` the words' places in them, ``row`` each word's row; the piece
+    begins at ``base`` in the column's buffer."""
     data: np.ndarray
     row: np.ndarray
     start: np.ndarray
     end: np.ndarray
+    base: int = 0
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
@@ -54,7 +56,7 @@ def scan(col: pa.Array, separator: np.ndarray, fold: np.ndarray = SAME) -> Itera
         last[cuts] = word[cuts]
         start = np.flatnonzero(first)
         row = (np.searchsorted(offsets, start + lo, "right") - 1).astype(np.int64)
-        yield Words(data, row, start, np.flatnonzero(last) + 1)
+        yield Words(data, row, start, np.flatnonzero(last) + 1, lo)
 
 
 def joined(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
