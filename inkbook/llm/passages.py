@@ -3,24 +3,24 @@
 A window is WINDOW consecutive words. A window whose words also start earlier
 (order: id, hash of the text, place) is repeated, and all its words go.
 
-1. **Units.** Texts are cut where the content says so (about every CUT windows),
-   so equal passages are cut alike. Of equal units only the first occurrence
-   stays live; every window of the others starts earlier too.
-2. **Prefixes.** Each window has an anchor: its least run of ANCHOR words (by
+1. **Prefixes.** Each window has an anchor: its least run of ANCHOR words (by
    hash), so equal windows have equal anchors. Anchors are the prefixes that
-   split the windows into groups. A prefix that occurs once among the live units
-   has no repeat below it and is dropped. A prefix with more than ``heavy``
-   occurrences is made longer, up to all the words of the window.
-3. **Subtrees.** A group fits a task's memory. Its windows' suffixes are sorted
+   split the windows into groups. A unit is a run of windows with one anchor in
+   one place; of equal units only the first occurrence stays live, since every
+   window of the others starts earlier too (a batch of texts drops its own equal
+   units before they are shuffled). A prefix with one live unit has no other
+   repeat below it and is done. A prefix with more than ``heavy`` live units is
+   made longer, up to all the words of the window.
+2. **Subtrees.** A group fits a task's memory. Its windows' suffixes are sorted
    by doubling, neighbours' common prefixes are measured, and an internal node
    of depth WINDOW or more holds the occurrences of one repeat: all leaves but
    the earliest are repeated. At full length a node is one key, whose earliest
    leaf is an aggregate; what is not that leaf is repeated.
-4. Texts without windows in groups are done at once; the others meet the repeats
+3. Texts without windows in groups are done at once; the others meet the repeats
    found in them.
 
-Only units (one row for some CUT words), anchors (one for some eight words), the
-texts, and the words around repeated anchors are shuffled.
+Only units (one row for some eight words), the texts, and the words of live
+units in groups are shuffled.
 
 Defined cases: a null text counts as empty; fewer than WINDOW words are never
 removed; null ids come after all others; rows that share an id but not the text
@@ -32,18 +32,19 @@ harm."""
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkbook.llm import common, wordscan
 
 WINDOW = 20
 ANCHOR = 6
-CUT = 32
-#: Occurrences of a prefix that make one group of a task at most.
+#: Live units of a prefix that make one group of a task at most.
 HEAVY = 4096
 #: Words of the groups that a task sorts at once.
 TREE_WORDS = 1 << 18
@@ -89,12 +90,10 @@ class Texts:
         return common.mix((self._sums[at + words] - self._sums[at]) * common._pow(common._PINV, len(self.hash) + 1)[at])
 
     def units(self):
-        """(first window, windows) of every unit; units cut at content."""
+        """(first window, windows) of every run of windows with one anchor."""
         at = np.flatnonzero(self.valid)
-        fresh = self.windows[at] % np.uint64(CUT) == 0
-        fresh[:1] = True
-        fresh[1:] |= self.row[at[1:]] != self.row[at[:-1]]
-        head = np.flatnonzero(fresh)
+        fresh = np.append(True, (self.row[at[1:]] != self.row[at[:-1]]) | (self.anchor[at[1:]] != self.anchor[at[:-1]]))
+        head = np.flatnonzero(fresh[:len(at)])
         return at[head], np.diff(np.append(head, len(at)))
 
     def kept(self, gone: np.ndarray) -> tuple[np.ndarray, list[str]]:
@@ -126,6 +125,17 @@ def _flags(bits: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
 
 
+def _packed(text: str) -> bytes:
+    data = text.encode()
+    return struct.pack("<Q", len(data)) + bytes(pa.Codec("zstd").compress(data))
+
+
+def _unpacked(col: pa.Array) -> pa.Array:
+    codec = pa.Codec("zstd")
+    return pa.array([bytes(codec.decompress(x[8:], struct.unpack_from("<Q", x)[0])).decode() for x in col.to_pylist()],
+                    pa.large_string())
+
+
 # ----------------------------------------------------------------- subtrees
 def subtree(words: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix tree of segments (``words`` in a row, of ``sizes``), as the sorted
@@ -207,37 +217,38 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def find_units(texts: DataFrame, window: int) -> DataFrame:
-    """Units of all texts: unit (hash), id, dh, start, n, grams (its anchors)."""
+    """Units of all texts: gram (their anchor), unit (hash), id, dh, start, n;
+    the first of equal ones of a batch."""
     def run(rows):
         for b in common.batches(rows):
             t = Texts(b.column(2), window)
             at, n = t.units()
-            row = t.row[at] if len(at) else np.zeros(0, np.int64)
-            unit = t.run(at, n + window - 1).astype(np.int64) if len(at) else row
-            # anchors of a unit's windows, each once in a row
-            win = np.repeat(at - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            owner = np.repeat(np.arange(len(at)), n)
-            anchor = t.anchor[win]
-            fresh = np.append(True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))[:len(anchor)]
-            grams = t.gram[anchor[fresh]].astype(np.int64)
-            ends = np.append(0, np.cumsum(np.bincount(owner[fresh], minlength=len(at)))).astype(np.int32)
+            row = t.row[at]
+            gram = t.gram[t.anchor[at]].astype(np.int64)
+            unit = t.run(at, n + window - 1).astype(np.int64)
+            doc, text = (b.column(i).to_numpy()[row] for i in (0, 1))
+            start = at - t.first[row]
+            order = np.lexsort([start, text, doc, unit])
+            order = order[np.append(True, unit[order[1:]] != unit[order[:-1]])[:len(order)]]
+            # back to the order of the texts, in which ids lie side by side
+            order.sort()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(unit), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)),
-                 pa.array(at - t.first[row]), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(grams))],
-                names=["unit", "id", "dh", "start", "n", "grams"])
+                [pa.array(x[order]) for x in (gram, unit, doc, text)]
+                + [pa.array(x[order].astype(np.int32)) for x in (start, n)],
+                names=["gram", "unit", "id", "dh", "start", "n"])
 
     return texts.select("id", "dh", "body").mapInArrow(
-        run, "unit long, id long, dh long, start long, n long, grams array<long>")
+        run, "gram long, unit long, id long, dh long, start int, n int")
 
 
-_PARTS = ("kind int, id long, dh long, doc_id long, n_words long, n_removed long, kept_sha256 string, body string, "
+_PARTS = ("kind int, id long, dh long, doc_id long, n_words long, n_removed long, kept_sha256 string, body binary, "
           "gone binary, heavy binary, gram long, start long, words binary")
 DONE, OPEN, SEGMENT, FULL = range(4)
 
 
 def split(texts: DataFrame, window: int) -> DataFrame:
-    """What the live units say of each text (``units``: its live ones, with
-    the repeated anchors): DONE texts; OPEN ones, with the windows that are gone
+    """What the live units say of each text (``units``: its live ones; ``kind``
+    0: alone with their prefix, 1: in a group, 2: of long prefixes): DONE texts; OPEN ones, with the windows that are gone
     and those of long prefixes; SEGMENTs of groups; windows of FULL length."""
     names = [p.split()[0] for p in _PARTS.split(", ")]
     types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
@@ -252,30 +263,23 @@ def split(texts: DataFrame, window: int) -> DataFrame:
         for b in common.batches(rows):
             t = Texts(b.column(3), window)
             doc_ids, ids, hashes = (b.column(i).to_pylist() for i in range(3))
-            gone, is_open = t.valid.copy(), np.zeros(b.num_rows, bool)
-            heavy = np.zeros(len(gone), bool)
-            segments, full = [], []
-            for row, units in enumerate(b.column(4).to_pylist()):
-                base = int(t.first[row])
-                for u in units or ():
-                    lo = base + u["start"]
-                    hi = lo + u["n"]
-                    gone[lo:hi] = False
-                    if not u["grams"]:
-                        continue
-                    is_open[row] = True
-                    anchor = t.anchor[lo:hi]
-                    head = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-                    long_one = {g["gram"]: g["heavy"] for g in u["grams"]}
-                    mine = t.gram[anchor[head]].astype(np.int64).tolist()
-                    for g, x, y in zip(mine, head.tolist(), [*head[1:].tolist(), hi - lo]):
-                        if g not in long_one:
-                            continue
-                        if long_one[g]:
-                            heavy[lo + x:lo + y] = True
-                            full += [(row, p) for p in range(lo + x, lo + y)]
-                        else:
-                            segments.append((row, g, lo + x, lo + y + window - 1))
+            units = b.column(4)
+            of = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(units), 0).to_numpy(zero_copy_only=False))
+            start, size, sort = (units.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            lo = t.first[of] + start
+            hi = lo + size
+            edge = np.zeros((2, len(t.valid) + 1), np.int64)
+            for k, which in ((0, sort >= 0), (1, sort == 2)):
+                np.add.at(edge[k], lo[which], 1)
+                np.add.at(edge[k], hi[which], -1)
+            live, heavy = np.cumsum(edge, 1)[:, :-1] > 0
+            gone = t.valid & ~live
+            is_open = np.bincount(of, sort > 0, b.num_rows) > 0 if b.num_rows else np.zeros(0, bool)
+            grouped = np.flatnonzero(sort == 1)
+            grams = t.gram[t.anchor[lo[grouped]]].astype(np.int64)
+            segments = list(zip(of[grouped].tolist(), grams.tolist(), lo[grouped].tolist(), (hi[grouped] + window - 1).tolist()))
+            full = [(row, p) for row, x, y, s in zip(of.tolist(), lo.tolist(), hi.tolist(), sort.tolist()) if s == 2
+                    for p in range(x, y)]
             removed, sums = t.kept(t.covered(gone))
             done = np.flatnonzero(~is_open).tolist()
             n_words = np.diff(t.first)
@@ -285,7 +289,7 @@ def split(texts: DataFrame, window: int) -> DataFrame:
             if wait:
                 spans = [slice(int(t.first[i]), min(int(t.first[i + 1]), len(gone))) for i in wait]
                 yield batch(OPEN, len(wait), id=[ids[i] for i in wait], dh=[hashes[i] for i in wait],
-                            doc_id=[doc_ids[i] for i in wait], body=b.column(3).take(pa.array(wait)).to_pylist(),
+                            doc_id=[doc_ids[i] for i in wait], body=[_packed(x) for x in b.column(3).take(pa.array(wait)).to_pylist()],
                             gone=[_bits(gone[s]) for s in spans], heavy=[_bits(heavy[s]) for s in spans])
             for lo in range(0, len(segments), 4096):
                 part = segments[lo:lo + 4096]
@@ -306,7 +310,7 @@ def finish(texts: DataFrame, window: int) -> DataFrame:
     ones of long prefixes (``early``)."""
     def run(rows):
         for b in common.batches(rows):
-            t = Texts(b.column(1), window)
+            t = Texts(_unpacked(b.column(1)), window)
             gone = np.zeros(len(t.valid), bool)
             columns = [b.column(i).to_pylist() for i in range(2, 6)]
             for row, (bits, long_ones, late, early) in enumerate(zip(*columns)):
@@ -330,16 +334,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """Per document: doc_id, n_words, n_removed, kept_sha256 (of the words that
     stay, joined by one space)."""
     texts = _keyed(docs, id_col, text_col)
-    live = find_units(texts, window).groupBy("unit").agg(
-        F.min(F.struct("id", "dh", "start", "n", "grams")).alias("x")).select("unit", "x.*")
-    live = common.store(live, "passage-units")
-
-    anchors = live.select("unit", F.explode("grams").alias("gram"))
-    often = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= 2)
-    shared = anchors.join(often, "gram").groupBy("unit").agg(
-        F.collect_set(F.struct("gram", (F.col("k") > heavy).alias("heavy"))).alias("grams"))
-    by_text = live.select("unit", "id", "dh", "start", "n").join(shared, "unit", "left").groupBy("id", "dh").agg(
-        F.collect_list(F.struct("start", "n", "grams")).alias("units"))
+    groups = find_units(texts, window).repartition("gram").groupBy("gram", "unit").agg(
+        F.min(F.struct("id", "dh", "start", "n")).alias("x"))
+    k = F.count(F.lit(1)).over(Window.partitionBy("gram"))
+    kind = F.when(k == 1, 0).when(k <= heavy, 1).otherwise(2).cast("byte")
+    by_text = groups.select("x.*", kind.alias("kind")).groupBy("id", "dh").agg(
+        F.collect_list(F.struct("start", "n", "kind")).alias("units"))
     parts = common.store(split(texts.join(by_text, ["id", "dh"], "left"), window), "passage-parts")
 
     def part(kind, *columns):
