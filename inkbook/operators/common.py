@@ -117,78 +117,114 @@ def attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.withColumns({c: small.select(c).scalar() for c in small.columns})
 
 
-#: Value ranges per group that order statistics and prefix sums count over.
-RANGES = 64
+# --- order statistics and prefix sums ---------------------------------------------
+# ``exact_quantiles`` brackets each wanted rank by approximate quantiles, whose
+# error is bounded, and counts: everything outside the brackets falls into one
+# count per gap, values inside are counted one by one. The rank is then read off
+# an array of about a 2500th of the group's rows. Both passes are aggregates that
+# combine in the map tasks.
+# ``prefix_sums`` splits a group into ranges by approximate quantiles, as many as
+# its size asks for, sums the ranges up in an array of at most RANGES elements and
+# runs a window inside each range only.
+
+#: Inverse of the relative rank error of the approximate quantiles.
+ACCURACY = 10_000
+#: Half width of a bracket in relative ranks: twice that error.
+MARGIN = 2 / ACCURACY
+#: Value ranges of a group at most, and rows that one range should hold.
+RANGES = 512
+RANGE_ROWS = 4096
+
+
+def _join(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``small`` (one row per group) beside every row; keys may be null."""
+    if not keys:
+        return attach(df, small, [])
+    right = small.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                         *[c for c in small.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return df.join(right, on=on).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
-def _ranges(distinct: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """``distinct`` (one row per key and value) with ``_r``, the number of the
-    value's range within its group. The bounds are approximate quantiles of
-    the distinct values; results do not depend on where they lie."""
-    steps = [i / RANGES for i in range(1, RANGES)]
-    bounds = distinct.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(F.col(value).cast("double"), F.array(*map(F.lit, steps)), F.lit(1000)))
-        .alias("_b"))
-    df = attach(distinct, bounds, keys)
-    return df.withColumn("_r", F.size(F.filter("_b", lambda b: b < F.col(value).cast("double")))).drop("_b")
-
-
-def _null_safe(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join on keys that may be null; the right side's keys are dropped."""
-    right = b.select(*[F.col(k).alias(f"_k_{i}") if k in keys else F.col(k) for i, k in
-                       [(list(keys).index(c) if c in keys else -1, c) for c in b.columns]])
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{i}")) for i, k in enumerate(keys)]
-    return a.join(right, on=on).drop(*[f"_k_{i}" for i in range(len(keys))])
+def exact_quantiles(df: DataFrame, value, keys: Sequence[str], qs: dict[str, float]) -> DataFrame:
+    """Exact linearly interpolated quantiles of a continuous column per group;
+    nulls are left out. Equals ``percentile`` / DuckDB ``quantile_cont``."""
+    keys, names = list(keys), list(qs)
+    d = df.select(*keys, col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    ends = [e for m in names for e in (max(0.0, qs[m] - MARGIN), min(1.0, qs[m] + MARGIN))]
+    bounds = d.groupBy(*keys).agg(F.percentile_approx("_v", ends, ACCURACY).alias("_b"))
+    b, v = F.col("_b"), F.col("_v")
+
+    def between(i, m):
+        low = v >= b[2 * i] if qs[m] > MARGIN else F.lit(True)
+        high = v <= b[2 * i + 1] if qs[m] < 1 - MARGIN else F.lit(True)
+        return low & high
+    inside = F.lit(False)
+    gap = F.lit(0)
+    for i, m in enumerate(names):
+        inside = inside | between(i, m)
+        gap = gap + (v > b[2 * i + 1]).cast("int")
+    # one row per value inside a bracket, one per gap between brackets
+    counted = _join(d, bounds, keys).select(*keys, gap.alias("_g"), F.when(inside, v).alias("_x"), "_v") \
+        .groupBy(*keys, "_g", "_x").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    rows = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_hi", "_lo", "_c"))).alias("_a"),
+                                      F.sum("_c").alias("_n"))
+    start = F.struct(F.lit(0).cast("bigint").alias("before"),
+                     *[F.lit(None).cast("double").alias(f"{m}{e}") for m in names for e in ("_f", "_t")])
+
+    def step(acc, x):
+        def read(m, e):
+            pos = (F.col("_n") - 1).cast("double") * F.lit(float(qs[m]))
+            rank = (F.floor(pos) if e == "_f" else F.ceil(pos)).cast("bigint")
+            found = (acc["before"] <= rank) & (rank < acc["before"] + x["_c"])
+            # a rank may be the value next to a bracket; further inside a gap it
+            # would mean a broken error bound
+            exact = F.when(rank == acc["before"], x["_lo"]).when(rank == acc["before"] + x["_c"] - 1, x["_hi"]) \
+                .when(x["_lo"] == x["_hi"], x["_hi"]) \
+                .otherwise(F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
+            return F.when(found, exact).otherwise(acc[f"{m}{e}"]).alias(f"{m}{e}")
+        return F.struct((acc["before"] + x["_c"]).alias("before"), *[read(m, e) for m in names for e in ("_f", "_t")])
+
+    out = rows.filter("_n > 0").withColumn("_q", F.aggregate("_a", start, step))
+
+    def interpolated(m):
+        pos = (F.col("_n") - 1).cast("double") * F.lit(float(qs[m]))
+        lo, hi = F.col(f"_q.{m}_f"), F.col(f"_q.{m}_t")
+        return (lo + (pos - F.floor(pos)) * (hi - lo)).alias(m)
+    return out.select(*keys, *[interpolated(m) for m in names])
 
 
 def prefix_sums(distinct: DataFrame, value: str, by: Sequence[str], sums: dict[str, Column],
-                ascending: bool = True, total: str | None = None) -> DataFrame:
+                ascending: bool = True) -> DataFrame:
     """Per ``by`` group, sums over all rows before each row in the order of
-    ``value``; the rows hold each value of a group once. ``total`` also adds
-    the group's total of the first sum.
-
-    Lazy and without a global sort: rows fall into RANGES value ranges per
-    group, the ranges' totals (a bounded number per group) are summed up, and
-    a window runs inside each range only."""
-    keys = list(by) or [ONE_GROUP]
-    df = distinct if by else one_group(distinct)
-    d = _ranges(df, value, keys)
-    order = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
-    base = d.groupBy(*keys, "_r").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    before = Window.partitionBy(*keys).orderBy(order("_r")).rowsBetween(Window.unboundedPreceding, -1)
-    zero = {n: F.lit(0).cast(base.schema[n].dataType) for n in sums}
-    whole = [F.sum(next(iter(sums))).over(Window.partitionBy(*keys)).alias(total)] if total else []
-    base = base.select(*keys, "_r", *[F.coalesce(F.sum(n).over(before), zero[n]).alias(f"{n}_base") for n in sums], *whole)
-    inside = Window.partitionBy(*keys, "_r").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, -1)
+    ``value``; the rows hold each value of a group once. The result does not
+    depend on where the ranges lie."""
+    by, names = list(by), list(sums)
+    v = F.col(value).cast("double")
+    steps = [i / RANGES for i in range(1, RANGES)]
+    bounds = distinct.groupBy(*by).agg(F.percentile_approx(v, steps, F.lit(4 * RANGES)).alias("_all"),
+                                       F.count(F.lit(1)).alias("_size"))
+    wanted = F.least(F.ceil(F.col("_size") / RANGE_ROWS), F.lit(RANGES))
+    bounds = bounds.select(*by, F.array_distinct(F.filter(
+        "_all", lambda b, i: F.floor((i + 1) * wanted / RANGES) > F.floor(i * wanted / RANGES))).alias("_b"))
+    d = _join(distinct, bounds, by).withColumn("_r", F.size(F.filter("_b", lambda b: b < v))).drop("_b")
+    totals = d.groupBy(*by, "_r").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    # at most RANGES totals a group, in one array that is summed up in order
+    side = F.col("_r") if ascending else -F.col("_r")
+    ranges = totals.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(
+        side.alias("_s"), "_r", *names))).alias("_t"))
+    kinds = {n: totals.schema[n].dataType for n in names}
+    zero = {n: F.lit(0).cast(kinds[n]) for n in names}
+
+    def ahead(n):
+        def total(x):
+            return F.aggregate(F.filter("_t", lambda y: y["_s"] < x["_s"]), zero[n],
+                               lambda a, y: (a + y[n]).cast(kinds[n]))
+        return total
+    base = ranges.select(*by, F.explode(F.transform("_t", lambda x: F.struct(
+        x["_r"].alias("_r"), *[ahead(n)(x).alias(f"{n}_base") for n in names]))).alias("_x")).select(*by, "_x.*")
+    order = F.col(value).asc() if ascending else F.col(value).desc()
+    inside = Window.partitionBy(*by, "_r").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = d.withColumns({n: F.coalesce(F.sum(c).over(inside), zero[n]) for n, c in sums.items()})
-    out = _null_safe(local, base, [*keys, "_r"])
-    out = out.withColumns({n: F.col(n) + F.col(f"{n}_base") for n in sums})
-    return out.drop("_r", *[f"{n}_base" for n in sums], *([] if by else [ONE_GROUP]))
-
-
-def exact_quantiles(df: DataFrame, value, keys: Sequence[str], qs: dict[str, float]) -> DataFrame:
-    """Exact linearly interpolated quantiles of a continuous column per group,
-    lazily and without buffering a group in one task: equal values are counted
-    first (so a value that most rows share is one row), the counts before each
-    value come from ``prefix_sums``, and each quantile is read off the values
-    that cover the two ranks around q * (n - 1). Equals ``percentile`` /
-    DuckDB ``quantile_cont``."""
-    keys = list(keys)
-    v = col(value)
-    d = df.select(*keys, v.cast("double").alias("_v")).filter(F.col("_v").isNotNull()) \
-        .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    own = keys or [ONE_GROUP]
-    d = d if keys else one_group(d)
-    r = prefix_sums(d, "_v", own, {"_before": F.col("_c")}, total="_n")
-    aggs = []
-    for name, q in qs.items():
-        pos = (F.col("_n") - 1).cast("double") * F.lit(float(q))
-
-        def covers(rank):
-            return (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c"))
-        aggs += [F.max(F.when(covers(F.floor(pos)), F.col("_v"))).alias(f"_{name}_lo"),
-                 F.max(F.when(covers(F.ceil(pos)), F.col("_v"))).alias(f"_{name}_hi"),
-                 F.max(pos - F.floor(pos)).alias(f"_{name}_fr")]
-    g = r.groupBy(*own).agg(*aggs)
-    return g.select(*keys, *[(F.col(f"_{m}_lo") + F.col(f"_{m}_fr") * (F.col(f"_{m}_hi") - F.col(f"_{m}_lo"))).alias(m)
-                             for m in qs])
+    out = _join(local, base, [*by, "_r"])
+    return out.withColumns({n: F.col(n) + F.col(f"{n}_base") for n in names}).drop("_r", *[f"{n}_base" for n in names])

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,21 +73,9 @@ def comparable_baseline(split: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         .withColumn("_lpu", F.log1p(F.col("actual_price") / F.col("quantity")))
     test = split.filter(F.col("is_test"))
 
-    # The three medians (work type x product, work type, all) in one pass:
-    # the training rows are tagged once per level, like grouping sets.
-    levels = F.explode(F.array(
-        F.struct(F.lit(1).alias("_lvl"), F.col("work_type").alias("_wt"), F.col("product_type_clean").alias("_pt")),
-        F.struct(F.lit(2).alias("_lvl"), F.col("work_type").alias("_wt"), F.lit("").alias("_pt")),
-        F.struct(F.lit(3).alias("_lvl"), F.lit("").alias("_wt"), F.lit("").alias("_pt"))))
-    tagged = train.select(*by, "_lpu", levels.alias("_level")).select(*by, "_lpu", "_level.*")
-    keys = [*by, "_lvl", "_wt", "_pt"]
-    # Three joins read the medians (one row per label pair): kept, lazily, so
-    # that neither the plan nor the work holds them three times.
-    meds = exact_quantiles(tagged, "_lpu", keys, {"m": 0.5}).persist(StorageLevel.MEMORY_AND_DISK)
-    m1 = meds.filter(F.col("_lvl") == 1).select(*by, F.col("_wt").alias("work_type"),
-                                                 F.col("_pt").alias("product_type_clean"), F.col("m").alias("_m1"))
-    m2 = meds.filter(F.col("_lvl") == 2).select(*by, F.col("_wt").alias("work_type"), F.col("m").alias("_m2"))
-    m3 = meds.filter(F.col("_lvl") == 3).select(*by, F.col("m").alias("_m3"))
+    def median(keys, name):
+        return exact_quantiles(train, "_lpu", [*by, *keys], {name: 0.5})
+    m1, m2, m3 = median(["work_type", "product_type_clean"], "_m1"), median(["work_type"], "_m2"), median([], "_m3")
     j = test.join(m1, on=[*by, "work_type", "product_type_clean"], how="left") \
         .join(m2, on=[*by, "work_type"], how="left")
     j = attach(j, m3, by)

@@ -4,8 +4,10 @@ Each query reads the driver tables through the fixture views and runs the
 mart over the whole data."""
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,29 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(jobs_view(spark, sf_dir))
 
 
+def reading_once(source: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``build(source)`` for results that read ``source`` many times: it is
+    persisted when the result is first computed (lost blocks come back from the
+    lineage) and let go together with the result, so the tables are scanned and
+    joined once and nothing is shared between queries."""
+    kept = source.persist(StorageLevel.MEMORY_AND_DISK)
+    result = build(kept)
+    weakref.finalize(result, kept.unpersist).atexit = False
+    return result
+
+
+#: What the findings and briefs read of a job.
+FINDING_COLUMNS = ["row_key", "job_id", "customer_id", "customer_name", "sales_in", "month_start", "quantity", "sell_price",
+                   "sell_price_base", "va_amount_base", "va_pct", "manual_adjustment_base", "is_below_cost",
+                   "is_low_margin", "press_hrs", "impressions", "plates", "labour_base", "paper_base", "purchases_base",
+                   "rep", "region", "industry", "work_type", "currency", "product_type", "product_type_clean",
+                   "lead_time_days"]
+
+
+def finding_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs(spark, sf_dir).select(*FINDING_COLUMNS)
+
+
 @register("order_events")
 def q_order_events(spark, sf_dir):
     return order_events(jobs(spark, sf_dir))
@@ -440,9 +465,9 @@ def _split(spark, sf_dir):
     return quote.holdout_split(quote.price_features(jobs(spark, sf_dir)))
 
 
-def _base(spark, sf_dir):
-    """Held-out jobs priced by the comparable-work baseline."""
-    return quote.comparable_baseline(_split(spark, sf_dir))
+def _on_split(spark, sf_dir, build):
+    """``build`` over the split, which the medians and the scoring read."""
+    return reading_once(_split(spark, sf_dir), build)
 
 
 @register("price_features")
@@ -461,23 +486,23 @@ def q_holdout_split(spark, sf_dir):
 def q_comparable_baseline(spark, sf_dir):
     # Model estimates (exp/log of medians) sit within a few ulps of half-cent
     # ties often; engines' libm differ in the last bits, so 4 dp.
-    return _base(spark, sf_dir).select(
-        "row_key", rnd("expected_price", 4).alias("expected_price"))
+    return _on_split(spark, sf_dir, lambda s: quote.comparable_baseline(s).select(
+        "row_key", rnd("expected_price", 4).alias("expected_price")))
 
 
 @register("benchmark_metrics")
 def q_benchmark_metrics(spark, sf_dir):
-    return quote.benchmark_metrics(_base(spark, sf_dir), _split(spark, sf_dir))
+    return _on_split(spark, sf_dir, lambda s: quote.benchmark_metrics(quote.comparable_baseline(s), s))
 
 
 @register("underpriced_jobs")
 def q_underpriced_jobs(spark, sf_dir):
-    return quote.underpriced_jobs(_base(spark, sf_dir))
+    return _on_split(spark, sf_dir, lambda s: quote.underpriced_jobs(quote.comparable_baseline(s)))
 
 
 @register("underpriced_summary")
 def q_underpriced_summary(spark, sf_dir):
-    return quote.underpriced_summary(_base(spark, sf_dir))
+    return _on_split(spark, sf_dir, lambda s: quote.underpriced_summary(quote.comparable_baseline(s)))
 
 
 _FITTED: dict = {}
@@ -528,19 +553,19 @@ from inkbook.operators import findings  # noqa: E402
 
 @register("at_stake")
 def q_at_stake(spark, sf_dir):
-    return findings.at_stake(jobs(spark, sf_dir))
+    return reading_once(finding_jobs(spark, sf_dir), findings.at_stake)
 
 
 @register("executive_findings")
 def q_executive_findings(spark, sf_dir):
-    return findings.executive_findings(jobs(spark, sf_dir))
+    return reading_once(finding_jobs(spark, sf_dir), findings.executive_findings)
 
 
 @register("brief_metrics")
 def q_brief_metrics(spark, sf_dir):
-    return findings.brief_metrics(jobs(spark, sf_dir))
+    return reading_once(finding_jobs(spark, sf_dir), findings.brief_metrics)
 
 
 @register("brief_breakdown")
 def q_brief_breakdown(spark, sf_dir):
-    return findings.brief_breakdown(jobs(spark, sf_dir))
+    return reading_once(finding_jobs(spark, sf_dir), findings.brief_breakdown)

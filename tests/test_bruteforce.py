@@ -2,6 +2,7 @@
 and grouping-key properties."""
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from inkbook.functions.text import HEDGE, NUMERIC_TOKEN
@@ -79,3 +80,23 @@ def test_pareto_by_rank(spark):
             n += sum(values) == 0 or cum / sum(values) * 100 <= 80
         got = value.pareto_80(bc).first()
         assert (got["customer_count"], got["customers_for_80pct_value"]) == (len(values), max(n, 1)), values
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 100, 40_000])
+def test_quantiles_and_prefix_sums_of_any_size(spark, n):
+    """Equal to the built-in percentile and to a plain running sum."""
+    from inkbook.operators import common
+    df = spark.range(n).select((F.xxhash64("id") % 100_003 / 7).alias("v"), (F.col("id") % 3 == 0).alias("k"))
+    qs = {"a": .0, "b": .05, "c": .5, "d": .93, "e": 1.0}
+    want = {r["k"]: r for r in df.groupBy("k").agg(*[F.percentile("v", q).alias(m) for m, q in qs.items()]).collect()}
+    got = common.exact_quantiles(df, "v", ["k"], qs)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    for r in got.collect():
+        assert [r[m] for m in qs] == pytest.approx([want[r["k"]][m] for m in qs], rel=1e-12)
+    d = df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
+    out = common.prefix_sums(d, "v", ["k"], {"before": F.col("c")}, ascending=False).collect()
+    for k in {r.k for r in out}:
+        total = 0
+        for r in sorted((r for r in out if r.k == k), key=lambda r: -r.v):
+            assert r.before == total
+            total += r.c

@@ -45,8 +45,8 @@ def test_names_words_ordinals(spark):
 
 
 def test_report_count(spark):
-    ev = spark.createDataFrame([(1, 0, None, "ready", None, None, None, None),
-                                (2, 0, None, "deleted", None, None, None, None)], library.EVENT_SCHEMA)
+    ev = spark.createDataFrame([(1, 0, None, "ready", *[None] * 8),
+                                (2, 0, None, "deleted", *[None] * 8)], library.EVENT_SCHEMA)
     assert library.report_count(library.report_state(ev)).first().reports == 1
 
 
