@@ -61,9 +61,11 @@ class Config:
     # price benchmark
     min_priced_jobs: int = 200
     holdout_buckets: int = 4  # one bucket of four is held out: a 75/25 split
-    gbt_max_iter: int = 400
-    gbt_max_depth: int = 6
-    gbt_step_size: float = 0.06
+    gbt_max_iter: int = 30
+    gbt_max_depth: int = 5
+    gbt_step_size: float = 0.2
+    gbt_max_bins: int = 64
+    code_prior: float = 20.0  # jobs that draw a category's mean price to that of all
     seed: int = 42
 
     # list lengths

@@ -201,7 +201,7 @@ def prefix_sums(distinct: DataFrame, value: str, by: Sequence[str], sums: dict[s
     depend on where the ranges lie."""
     by, names = list(by), list(sums)
     v = F.col(value).cast("double")
-    steps = [i / RANGES for i in range(1, RANGES)]
+    steps = F.expr("array(" + ", ".join(f"{i / RANGES!r}D" for i in range(1, RANGES)) + ")")
     bounds = distinct.groupBy(*by).agg(F.percentile_approx(v, steps, F.lit(4 * RANGES)).alias("_all"),
                                        F.count(F.lit(1)).alias("_size"))
     wanted = F.least(F.ceil(F.col("_size") / RANGE_ROWS), F.lit(RANGES))

@@ -7,12 +7,15 @@ the row key, so it does not depend on partitioning or on row order."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkbook.config import DEFAULT, Config
 from inkbook.operators.common import attach, exact_quantiles, rnd, top_k
+from inkbook.session import ensure_checkpoint_dir
 
 # Model inputs. Price outcomes (VA, markup, manual adjustment,
 # handling) are left out on purpose: they would let the model read the answer.
@@ -83,39 +86,101 @@ def comparable_baseline(split: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return j.withColumn("expected_price", F.expm1(m) * F.col("quantity")).drop("_m1", "_m2", "_m3")
 
 
+@dataclass
+class PriceModel:
+    """Boosted trees with what they need of the training jobs: per category of
+    each categorical input its smoothed mean log price (``codes``: feature,
+    value, code) and the mean of all."""
+    trees: object
+    codes: DataFrame
+    mean: float
+
+    def save(self, path: str) -> None:
+        """Store the model (under its report, say); ``load`` brings it back."""
+        self.trees.write().overwrite().save(f"{path}/trees")
+        self.codes.withColumn("mean", F.lit(self.mean)).write.mode("overwrite").parquet(f"{path}/codes")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "PriceModel":
+        from pyspark.ml.regression import GBTRegressionModel
+        codes = spark.read.schema("feature string, value string, fold int, code double, mean double").parquet(f"{path}/codes")
+        return cls(GBTRegressionModel.load(f"{path}/trees"), codes.drop("mean"), codes.agg(F.max("mean")).first()[0])
+
+
+FOLDS = 5
+
+
+def _fold() -> Column:
+    """The fold of a training job; held-out jobs have none."""
+    return F.when(F.col("is_test"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("row_key"), F.lit(FOLDS)).cast("int"))
+
+
+def category_codes(train: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, float]:
+    """(feature, value, fold, code) of every category and the overall mean: the
+    mean log price of its jobs, drawn to the overall mean as if by
+    ``code_prior`` further jobs. A fold's codes leave its own jobs out, so the
+    trees do not learn a job's price from itself; fold -1 has all of them. One
+    aggregate for all features, and a tree sees one number per category, so its
+    work does not grow with their number."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"))
+                                for c in CATEGORICAL_FEATURES])).alias("_p")
+    sums = train.select(pairs, _fold().alias("_f"), "label").groupBy("_p", "_f").agg(
+        F.sum("label").alias("s"), F.count(F.lit(1)).alias("n"))
+    others = F.explode(F.filter(F.array(*map(F.lit, range(-1, FOLDS))), lambda g: g != F.col("_f"))).alias("fold")
+    sums = sums.select("_p", others, "s", "n").groupBy("_p", "fold").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    mean = train.agg(F.avg("label")).first()[0] or 0.0
+    code = (F.col("s") + F.lit(cfg.code_prior * mean)) / (F.col("n") + cfg.code_prior)
+    return sums.select("_p.feature", "_p.value", "fold", code.alias("code")), mean
+
+
+def _vectors(split: DataFrame, codes: DataFrame, mean: float) -> DataFrame:
+    """``split`` with the vector of its inputs; categories by their codes."""
+    from pyspark.ml.feature import VectorAssembler
+    out = split.withColumn("_fold", _fold())
+    for c in CATEGORICAL_FEATURES:
+        own = codes.filter(F.col("feature") == c).select(F.col("value").alias(c), F.col("fold").alias("_fold"),
+                                                         F.col("code").alias(f"_{c}"))
+        out = out.join(own, [c, "_fold"], "left").withColumn(f"_{c}", F.coalesce(f"_{c}", F.lit(mean)))
+    inputs = [*NUMERIC_FEATURES, *[f"_{c}" for c in CATEGORICAL_FEATURES]]
+    out = out.withColumns({c: F.coalesce(F.nanvl(F.col(c), F.lit(None)), F.lit(0.0)) for c in NUMERIC_FEATURES})
+    return VectorAssembler(inputCols=inputs, outputCol="features").transform(out)
+
+
 def train_price_model(split: DataFrame, cfg: Config = DEFAULT):
-    """Fit the boosted-tree pipeline on the training split. Returns the fitted
-    model, or None with a reason (then the predictions are empty) when fewer than ``min_priced_jobs`` rows are
-    priced (one count at the edge)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    """Fit the boosted trees on the training split. Returns the model and None,
+    or None with a reason (then the predictions are empty) when fewer than
+    ``min_priced_jobs`` rows are priced.
+
+    The split is read once: it is kept while the model is fitted and let go
+    after. The codes are stored, so the vectors do not compute them again."""
     from pyspark.ml.regression import GBTRegressor
 
-    n = split.count()
-    if n < cfg.min_priced_jobs:
-        return None, "Not enough priced jobs to train a reliable model."
-    card = split.agg(*[F.count_distinct(c).alias(c) for c in CATEGORICAL_FEATURES]).first()
-    bins = max(32, max(card) + 2)
-    # One indexer over all four categories: one pass to learn the labels.
-    idx = [StringIndexer(inputCols=CATEGORICAL_FEATURES,
-                         outputCols=[f"{c}_idx" for c in CATEGORICAL_FEATURES],
-                         handleInvalid="keep", stringOrderType="alphabetAsc")]
-    vec = VectorAssembler(inputCols=NUMERIC_FEATURES + [f"{c}_idx" for c in CATEGORICAL_FEATURES],
-                          outputCol="features", handleInvalid="keep")
-    gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=cfg.gbt_max_iter,
-                       maxDepth=cfg.gbt_max_depth, stepSize=cfg.gbt_step_size, maxBins=bins,
-                       minInstancesPerNode=20, seed=cfg.seed, subsamplingRate=1.0)
-    model = Pipeline(stages=[*idx, vec, gbt]).fit(split.filter(~F.col("is_test")))
-    return model, None
-
-
-def model_predictions(model, split: DataFrame) -> DataFrame:
+    split = split.persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = None
+    try:
+        if split.count() < cfg.min_priced_jobs:
+            return None, "Not enough priced jobs to train a reliable model."
+        train = split.filter(~F.col("is_test"))
+        codes, mean = category_codes(train, cfg)
+        ensure_checkpoint_dir(split.sparkSession)
+        codes = codes.checkpoint()
+        vectors = _vectors(train, codes, mean).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+        gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=cfg.gbt_max_iter,
+                           maxDepth=cfg.gbt_max_depth, stepSize=cfg.gbt_step_size, maxBins=cfg.gbt_max_bins,
+                           minInstancesPerNode=20, seed=cfg.seed, subsamplingRate=1.0)
+        return PriceModel(gbt.fit(vectors), codes, mean), None
+    finally:
+        split.unpersist()
+        if vectors is not None:
+            vectors.unpersist()
+
+
+def model_predictions(model: PriceModel | None, split: DataFrame) -> DataFrame:
     """Held-out jobs scored by the fitted model (expected price in money)."""
     if model is None:
         return split.filter(F.lit(False)).withColumn("expected_price", F.lit(None).cast("double"))
-    pred = model.transform(split.filter(F.col("is_test")))
-    return pred.withColumn("expected_price", F.expm1("prediction")).drop("features", "prediction",
-                                                                          *[f"{c}_idx" for c in CATEGORICAL_FEATURES])
+    pred = model.trees.transform(_vectors(split.filter(F.col("is_test")), model.codes, model.mean))
+    return pred.withColumn("expected_price", F.expm1("prediction")).select(*split.columns, "expected_price")
 
 
 def benchmark_metrics(scored: DataFrame, split: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -4,6 +4,7 @@ Each query reads the driver tables through the fixture views and runs the
 mart over the whole data."""
 from __future__ import annotations
 
+import hashlib
 import weakref
 from collections.abc import Callable
 
@@ -16,6 +17,7 @@ from inkbook.operators import churn, reorder
 from inkbook.operators.cadence import order_cadence, order_events
 from inkbook.operators.common import rnd
 from inkbook.operators.derive import derive
+from inkbook.session import ensure_checkpoint_dir
 from inkbook.sources.fixtures import jobs_view
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -505,17 +507,18 @@ def q_underpriced_summary(spark, sf_dir):
     return _on_split(spark, sf_dir, lambda s: quote.underpriced_summary(quote.comparable_baseline(s)))
 
 
-_FITTED: dict = {}
-
-
 def _scored(spark, sf_dir):
-    """The held-out jobs as the price model scores them. There is one model
-    per report: the last one fitted is kept for the other keys of its data."""
-    s, key = _split(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FITTED:
-        _FITTED.clear()
-        _FITTED[key] = quote.train_price_model(s)
-    model, reason = _FITTED[key]
+    """The held-out jobs as the price model of these data scores them. A model
+    is fitted once per application and data, and stored in the shared folder;
+    later queries load it."""
+    s = _split(spark, sf_dir)
+    name = hashlib.sha256(f"{spark.sparkContext.applicationId}:{sf_dir}".encode()).hexdigest()[:16]
+    path = f"{ensure_checkpoint_dir(spark)}/price-model-{name}"
+    if library.path_exists(spark, f"{path}/codes/_SUCCESS"):
+        return quote.model_predictions(quote.PriceModel.load(spark, path), s), s, None
+    model, reason = quote.train_price_model(s)
+    if model is not None:
+        model.save(path)
     return quote.model_predictions(model, s), s, reason
 
 
