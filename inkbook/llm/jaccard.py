@@ -503,20 +503,29 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
              percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest
-    id; all columns stay. Decisions go by id: of rows that repeat an id one
-    stays (the least text), rows without an id all stay."""
+    """``docs`` with one row of each component, the one with the smallest id (no
+    id comes last; then the smallest text hash); all columns stay. Decisions go
+    by row, told by id and text: texts that are linked to nothing stay, whatever
+    rows share their ids, and of equal rows that were to stay one stays. Rows
+    without words are linked to nothing and stay."""
     common.prepare(docs.sparkSession)
-    found = common.store(jaccard_components(docs, id_col=id_col, text_col=text_col, words=words, percent=percent)
-                         .select("doc_id", "component_id"), "components")
-    # what goes is the smaller part, and often small enough to be sent around
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone__")).distinct()
-    key = F.col(id_col).cast("long")
-    left = docs.join(gone, key == F.col("gone__"), "left_anti")
-    again = common.store(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
-                         .select(F.col("doc_id").alias("again__")), "repeated-ids")
+    body, key = common.text_or_empty(text_col), F.col(id_col).cast("long")
+    # ids that no two texts share, so that the join's rows are told apart
+    row = F.xxhash64(key.isNull(), key, body)
+    named = docs.select(row.alias("doc_id"), body.alias("body"))
+    # only the texts' hashes and their classes are kept of the join
+    group = jaccard_components(named, id_col="doc_id", text_col="body", words=words, percent=percent) \
+        .where(F.col("class_id").isNotNull()).select(F.col("doc_id").alias("row__"), F.col("component_id").alias("group__"))
+    group = common.store(group.distinct(), "components")
+    rank = F.struct(key.isNull().alias("none"), key.alias("id"), F.xxhash64(body).alias("text"), row.alias("row"))
+    ranks = docs.select(row.alias("row__"), rank.alias("rank__")).distinct()
+    first = ranks.join(group, "row__").groupBy("group__").agg(F.min("rank__").alias("first__"))
+    gone = group.join(first.select("group__", F.col("first__.row").alias("stays__")), "group__") \
+        .where(F.col("row__") != F.col("stays__")).select("row__")
+    left = docs.withColumn("row__", row).join(gone, "row__", "left_anti")
+    again = common.store(docs.select(row.alias("row__")).join(group.select("row__"), "row__", "left_semi").groupBy("row__")
+                         .count().where("count > 1").select("row__"), "repeated-rows")
     if again.isEmpty():
-        return left
-    once = left.join(again, key == F.col("again__"), "left_semi").groupBy(key.alias("again__")).agg(
-        F.min_by(F.struct("*"), common.text_or_empty(text_col)).alias("row__")).select("row__.*")
-    return left.join(again, key == F.col("again__"), "left_anti").unionByName(once)
+        return left.drop("row__")
+    once = left.join(again, "row__", "left_semi").groupBy("row__").agg(F.first(F.struct(*docs.columns)).alias("kept__"))
+    return left.join(again, "row__", "left_anti").drop("row__").unionByName(once.select("kept__.*"))

@@ -511,11 +511,18 @@ def test_pipeline(spark, tmp_path):
 
 
 def test_repeated_ids_in_keep_one(spark):
+    """One row of each component, whatever ids its rows have or share."""
     df = odd_documents(spark)
     kept = jaccard.keep_one(df)
-    ids = [r["doc_id"] for r in kept.collect()]
     assert kept.columns == df.columns
-    assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None}) and ids.count(None) == 1
+    texts = [r["text"] for r in kept.collect()]
+    worded = [t for t in texts if t and words(t)]
+    assert sorted(worded) == sorted({r["text"] for r in df.collect() if r["text"] and words(r["text"])})
+    assert len(texts) - len(worded) == sum(1 for r in df.collect() if not (r["text"] and words(r["text"])))
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "null id text of some words here")
+    rows = [(1, a), (5, a), (5, b), (None, c), (None, c), (7, c + " "), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.keep_one(df).collect())) == [(1, a), (5, b), (7, c + " "), (9, "")]
 
 
 def test_queries_run(spark):
@@ -528,7 +535,9 @@ def test_queries_run(spark):
         "op6": "doc_id piece start length ids_crc32 sequence_id offset",
         "op7": "doc_id held_out n_tokens n_known train_tokens base_score score",
         "op8": "doc_id n_tokens ids_sha256 decoded_sha256", "op9": "query_id rank vec_id score",
-        "op10": "page_id payload_bytes payload_digest record_type refers_to"}
+        "op10": "page_id payload_bytes payload_digest record_type refers_to",
+        "op11": "lang rank phrase a l r n score", "op12": "doc_id n_words n_removed kept_sha256",
+        "op13": "doc_id n_features weight score rank"}
     assert sorted(n.split("_")[0] for n in QUERIES) == sorted(columns)
     for name, fn in QUERIES.items():
         assert fn(spark, "/root/testdata/sf0.001").columns[:len(columns[name.split("_")[0]].split())] == \
