@@ -155,6 +155,7 @@ def brief_problems(generated: DataFrame, computed: DataFrame) -> DataFrame:
     return scan.unionByName(brief_quality(generated))
 
 
+# The problem messages are read by those who reject a text.
 def brief_quality(brief: DataFrame) -> DataFrame:
     """Quality rules: a hero body of at least 180 characters that explains
     rather than instructs; a caption that finishes the headline in words; row

@@ -24,25 +24,25 @@ cte("st_raw", f"""
 SELECT 'customer_value' AS area,
        CAST((SELECT coalesce({R("sum(CAST(" + R('total_va_amount') + " AS DECIMAL(28,8)))")}, 0) FROM bc
              WHERE rank <= (SELECT leading_count FROM conc)) AS DOUBLE) AS raw,
-       true AS per_year, 'Annual value added riding on the leading accounts' AS basis
+       true AS per_year, 'Value added a year that depends on the largest accounts' AS basis
 UNION ALL SELECT 'pricing', (SELECT abs(below_cost_va) + discount_total FROM q_pricing_summary), true,
-       'Value given away at quoting each year, plus below-cost work'
+       'Discounts a year and the loss on jobs below cost'
 UNION ALL SELECT 'repeat_business', (SELECT reprint_pipeline_value FROM q_repeat_summary), false,
-       'Reprints now overdue their cycle'
+       'Value of reprints past their usual interval'
 UNION ALL SELECT 'churn', (SELECT dormant_lifetime_value_at_stake FROM q_churn_summary), true,
-       'Annual value added from accounts that have gone dormant'
+       'Value added a year lost with dormant accounts'
 UNION ALL SELECT 'reorder', CAST((SELECT coalesce(sum(CAST(predicted_next_order_value AS DECIMAL(28,8)))
                   FILTER (WHERE status = 'Overdue' AND predicted_next_order_value <> 0), 0) FROM reorder) AS DOUBLE),
-       false, 'Predicted value from customers past their reorder point'
+       false, 'Expected orders of customers past their usual date'
 UNION ALL SELECT 'seasonality', CAST((SELECT sum(CAST(greatest(lvl - av, 0) AS DECIMAL(28,8))) FROM (
                   SELECT av, CAST(sum(CAST(av AS DECIMAL(28,8))) OVER () AS DOUBLE) / count(*) OVER () AS lvl
                   FROM (SELECT {R('avg_value', 1)} AS av FROM sidx WHERE series = 'sales') a) b) AS DOUBLE),
-       false, 'Annual revenue shortfall in the quiet months against even loading'
+       false, 'Sales a year missing in months below the average'
 UNION ALL SELECT 'quote_guard', (SELECT abs(s.value_gap) * CASE WHEN m.test_rows > 0
                   THEN (m.test_rows + m.train_rows) / m.test_rows ELSE 1 END
                   FROM q_underpriced_summary s, q_benchmark_metrics m), true,
-       'Annual gap on jobs sold below the going rate'
-UNION ALL SELECT 'delivery', 0.0, false, 'Service measure, no direct money at risk'
+       'Shortfall a year on jobs priced under comparable work'
+UNION ALL SELECT 'delivery', 0.0, false, 'A measure of service without a price'
 """, "bc", "conc", "q_pricing_summary", "q_repeat_summary", "q_churn_summary", "reorder", "sidx",
     "q_underpriced_summary", "q_benchmark_metrics")
 
@@ -155,32 +155,32 @@ BROWS = [
       count("below_cost_jobs") + " || ' jobs'", "pricing_sell"),
     b("pricing", 3, "'Low-margin work'", money("low_margin_sell_value"), pct("low_margin_pct") + " || ' of jobs'",
       "pricing_sell"),
-    b("reorder", 0, "'Overdue'", count("overdue"), "'This week'", "ro_b"),
-    b("reorder", 1, "'Due soon'", count("due"), "'Next fortnight'", "ro_b"),
-    b("reorder", 2, "'On track'", count("greatest(predictable_customers - overdue - due, 0)"), "'Monitor only'", "ro_b"),
+    b("reorder", 0, "'Overdue'", count("overdue"), "'Call now'", "ro_b"),
+    b("reorder", 1, "'Due soon'", count("due"), "'Call in two weeks'", "ro_b"),
+    b("reorder", 2, "'On track'", count("greatest(predictable_customers - overdue - due, 0)"), "'No action'", "ro_b"),
     b("churn", 0, "'Active'", count("active"), "'None'", "q_churn_summary"),
-    b("churn", 1, "'At risk'", count("at_risk"), "'Contact this week'", "q_churn_summary"),
-    b("churn", 2, "'Dormant'", count("dormant"), "'Win-back campaign'", "q_churn_summary"),
-    b("seasonality", 0, "'Peak (' || peak_month || ')'", pct0("peak_index"), "'Book capacity early'",
+    b("churn", 1, "'At risk'", count("at_risk"), "'Call soon'", "q_churn_summary"),
+    b("churn", 2, "'Dormant'", count("dormant"), "'Offer to return'", "q_churn_summary"),
+    b("seasonality", 0, "'Peak (' || peak_month || ')'", pct0("peak_index"), "'Reserve presses ahead'",
       "q_seasonality_summary"),
-    b("seasonality", 1, "'Trough (' || trough_month || ')'", pct0("trough_index"), "'Schedule maintenance'",
+    b("seasonality", 1, "'Trough (' || trough_month || ')'", pct0("trough_index"), "'Time for upkeep'",
       "q_seasonality_summary"),
-    b("seasonality", 2, "'Recent press load'", num0("press_hours_recent_avg") + " || ' hrs'", "'Baseline'",
+    b("seasonality", 2, "'Recent press load'", num0("press_hours_recent_avg") + " || ' hrs'", "'Usual load'",
       "q_seasonality_summary"),
-    b("seasonality", 3, "'Peak press load'", num0("press_hours_peak_month") + " || ' hrs'", "'Capacity ceiling'",
+    b("seasonality", 3, "'Peak press load'", num0("press_hours_peak_month") + " || ' hrs'", "'Highest load'",
       "q_seasonality_summary"),
-    b("repeat_business", 0, "'Recurring titles'", count("repeat_titles"), "'Predictable, defensible revenue'",
+    b("repeat_business", 0, "'Recurring titles'", count("repeat_titles"), "'Orders that come again'",
       "q_repeat_summary"),
     b("repeat_business", 1, "'Overdue a reprint'", count("titles_due_reprint"),
-      money("reprint_pipeline_value") + " || ' callable now'", "q_repeat_summary"),
-    b("repeat_business", 2, "'One-off titles'", count("one_off_titles"), "'Needs a reason to return'",
+      money("reprint_pipeline_value") + " || ' to ask for'", "q_repeat_summary"),
+    b("repeat_business", 2, "'One-off titles'", count("one_off_titles"), "'Ordered once'",
       "q_repeat_summary"),
-    b("repeat_business", 3, "'Most reprinted title'", "CAST(max_runs AS VARCHAR) || ' runs'", "'Proof the model works'",
+    b("repeat_business", 3, "'Most reprinted title'", "CAST(max_runs AS VARCHAR) || ' runs'", "'Most repeats'",
       "q_repeat_summary"),
-    b("quote_guard", 0, "'Typical error'", pct("median_abs_pct_error"), "'Good'", "q_benchmark_metrics"),
-    b("quote_guard", 1, "'Within 10%'", pct("within_10pct"), "'Usable as a guide'", "q_benchmark_metrics"),
-    b("quote_guard", 2, "'Within 25%'", pct("within_25pct"), "'Strong'", "q_benchmark_metrics"),
-    b("quote_guard", 3, "'Tested on'", count("test_rows") + " || ' jobs'", "'Honest measure'", "q_benchmark_metrics"),
+    b("quote_guard", 0, "'Typical error'", pct("median_abs_pct_error"), "'Middle error'", "q_benchmark_metrics"),
+    b("quote_guard", 1, "'Within 10%'", pct("within_10pct"), "'Close'", "q_benchmark_metrics"),
+    b("quote_guard", 2, "'Within 25%'", pct("within_25pct"), "'Near'", "q_benchmark_metrics"),
+    b("quote_guard", 3, "'Tested on'", count("test_rows") + " || ' jobs'", "'Held out'", "q_benchmark_metrics"),
     b("customer_value", None, "work_type", money("total_va_amount"),
       pct0("total_va_amount / CASE WHEN t <> 0 THEN t ELSE 1.0 END * 100"),
       "(SELECT w.*, (SELECT CAST(sum(CAST(total_va_amount AS DECIMAL(28,8))) AS DOUBLE) "

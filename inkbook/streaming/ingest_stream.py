@@ -6,7 +6,9 @@ name (so a reordered file loads right), and a file that lacks a column of the
 contract becomes a ``failed`` report that names what is missing, while the
 others go on. The same holds for a report whose marts cannot be built.
 
-Every write is idempotent (dynamic partition overwrite per report; events
+Rows and marts of a batch are written under its version, and its commit shows
+both at once; until then, and where marts cannot be built, readers keep what
+they had. Every write is idempotent (partitions by report and version; events
 keyed by (report_id, batch), timed by the files), so a replayed batch after a
 failure changes nothing. Progress is tracked in the checkpoint folder, which
 must be on shared storage on a cluster."""
@@ -95,29 +97,31 @@ def process_files(spark: SparkSession, files: Sequence[tuple[str, datetime]], ba
         event(i, 0, library.FAILED, name=f"report {i}", message=NO_ROWS) for i in good])
     if not facts:
         return
-    cols = [c for c in jobs.columns if c != "report_id"]
-    (jobs.select(*cols, "report_id").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("report_id").parquet(f"{root}/jobs"))
-    broken = _build(spark, root, sorted(facts), cfg) if write_marts else {}
+    version = library.version_of(when)
+    library.write_jobs(jobs, root, version)
+    broken = _build(spark, root, sorted(facts), version, cfg) if write_marts else {}
+    done = {i: version for i in sorted(facts) if i not in broken}
+    if done:
+        library.commit(spark, root, done)
     library.append_report_events(spark, root, [
         event(i, 1, library.FAILED, message=broken[i]) if i in broken else
         event(i, 1, library.READY, progress="Complete", progress_pct=100) for i in sorted(facts)])
 
 
-def _build(spark: SparkSession, root: str, ids: list[int], cfg: Config) -> dict[int, str]:
+def _build(spark: SparkSession, root: str, ids: list[int], version: int, cfg: Config) -> dict[int, str]:
     """Build the marts of the touched reports at once; if that fails, one by
     one, so that only the reports at fault fail. Returns their messages."""
     touched = spark.createDataFrame([(i,) for i in ids], "report_id bigint")
-    stored = spark.read.parquet(f"{root}/jobs").join(touched, "report_id", "left_semi")
+    stored = library.read_version(spark, root, version).join(touched, "report_id", "left_semi")
     try:
-        library.write_payload(build_report(derive(stored, cfg, ("report_id",)), cfg, ("report_id",)), root)
+        library.write_payload(build_report(derive(stored, cfg, ("report_id",)), cfg, ("report_id",)), root, version)
         return {}
     except Exception as error:
         if len(ids) == 1:
             return {ids[0]: str(error)}
         out: dict[int, str] = {}
         for i in ids:
-            out |= _build(spark, root, [i], cfg)
+            out |= _build(spark, root, [i], version, cfg)
         return out
 
 

@@ -192,3 +192,68 @@ def test_report_build_with_reliable_checkpoint(spark):
     marts = build_report(jd)
     assert marts["churn_summary"].first().customers == 150
     assert marts["executive_findings"].count() >= 1
+
+
+def test_a_failed_build_leaves_the_old_report(spark, tmp_path, monkeypatch):
+    """Stopped between rows and marts, readers see the old rows with the old
+    marts; the replay shows the new ones together."""
+    import datetime as dt
+    from inkbook.streaming import ingest_stream as S
+    root, path = str(tmp_path / "lib"), tmp_path / "report_1.csv"
+
+    def seen():
+        return ([r.customer_id for r in library.load_jobs(spark, root).collect()],
+                [r.customer_id for r in library.read_payload(spark, root, 1, ["m"])["m"].collect()])
+    monkeypatch.setattr(S, "build_report", lambda jobs, cfg, by: {"m": jobs.select("report_id", "customer_id")})
+    _export(path, "A")
+    S.process_files(spark, [(str(path), dt.datetime(2024, 5, 1))], 0, root)
+    assert seen() == (["A"], ["A"])
+    _export(path, "B")
+
+    class Killed(BaseException):
+        pass
+
+    def killed(jobs, cfg, by):
+        raise Killed
+    with monkeypatch.context() as m:
+        m.setattr(S, "build_report", killed)
+        try:
+            S.process_files(spark, [(str(path), dt.datetime(2024, 5, 2))], 1, root)
+        except Killed:
+            pass
+    assert seen() == (["A"], ["A"])
+    S.process_files(spark, [(str(path), dt.datetime(2024, 5, 2))], 1, root)
+    assert seen() == (["B"], ["B"])
+    assert library.purge_superseded(spark, root) == 2 and seen() == (["B"], ["B"])
+    assert library.purge_superseded(spark, root) == 0
+
+
+def test_compacted_events_keep_the_state(spark):
+    """Few files, the same state; nothing changes when called again."""
+    root = _root()
+    import datetime as dt
+
+    def add(k):
+        library.append_report_events(spark, root, [
+            {"report_id": k % 4, "seq": k, "ts": dt.datetime(2024, 1, 1) + dt.timedelta(hours=k), "progress_pct": k,
+             "status": ("generating", "ready", "failed", "deleted")[k % 7 % 4], "name": f"n{k}"}])
+
+    def state():
+        return sorted(map(tuple, library.report_state(library.read_events(spark, root)).collect()))
+
+    def files():
+        return len([n for n in os.listdir(f"{root}/events") if n.startswith("part-")])
+    for k in range(12):
+        add(k)
+    before, many = state(), files()
+    assert library.compact_events(spark, root) == 0 and state() == before
+    assert library.compact_events(spark, root) == many and files() == 0 and state() == before
+    assert library.compact_events(spark, root) == 0 and state() == before
+    add(12)
+    after = state()
+    assert after != before
+    library.compact_events(spark, root)
+    # a compaction that was stopped before it was complete leaves no trace
+    os.makedirs(f"{root}/event-snapshots/99999999999999999999")
+    assert state() == after and library.compact_events(spark, root) == 1 and state() == after
+    assert len([n for n in os.listdir(f"{root}/event-snapshots") if not n.endswith("-files")]) <= 3
