@@ -14,6 +14,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,23 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def bucketed(df: DataFrame, name: str, key: str, parts: int):
+    """``df`` stored like ``store``, in buckets of ``key``: joins on the key read
+    the buckets where they lie and shuffle the other side only. ``df`` should be
+    partitioned by the key already (``parts`` partitions), or every task writes
+    to every bucket. The table's name goes with the context; what reads it must
+    be stored by then."""
+    spark = df.sparkSession
+    table = f"inkbook_{uuid.uuid4().hex[:12]}"
+    df.write.bucketBy(parts, key).sortBy(key) \
+        .option("path", scratch(spark, name)).format("parquet").saveAsTable(table)
+    try:
+        yield spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -11,8 +11,7 @@
    size; false hits are harmless) and ordered rare shingles first, by counts in
    a table of fixed size: one global order.
 4. Two similar sets share a shingle of their prefixes in that order. Sets that
-   share one form a block; blocks of equal members are kept once; large ones
-   are dealt out as pairs of chunks.
+   share one form a block; blocks of equal members are kept once.
 5. A block first sees its sets' sketches only: counts of shingles per hash
    bucket, about a hundredth of the set. The sum of the lesser counts bounds an
    overlap from above, so a set whose bounds against all others of its block
@@ -22,8 +21,11 @@
    left as soon as the lengths that remain cannot reach the threshold for any
    probe. The links of a block go out as stars around the least set of
    each component.
-   In the first rounds every set goes to one block only; sets connected by
-   then need not meet again in the last.
+   In the first rounds every set goes to one block only, and of a large block to
+   one chunk, which a few leading sets of the block join: they connect the
+   chunks, so a large family costs one copy of each set. Sets connected by then
+   need not meet again in the last round, which deals a block out as pairs of
+   chunks of different parts.
 6. Connected components of the links, on stored tables.
 
 No pair is emitted that is not a link, and copies are never expanded.
@@ -54,6 +56,11 @@ TABLE = 1 << 20
 ROUNDS = 2
 #: Sets of a block that one trie holds.
 CHUNK = 512
+#: Leading sets of a large block, on average, that every chunk of it holds in
+#: the first rounds.
+LEADS = 16
+#: Names of sets that a task remembers in order not to send one twice.
+REMEMBERED = 1 << 17
 
 
 # ------------------------------------------------------------- the sets
@@ -319,28 +326,34 @@ def bloom(keys: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
 
 
 def candidate_sets(docs: DataFrame, light: DataFrame, id_col: str, text_col: str, words: int,
-                   percent: int) -> DataFrame:
-    """sig, n, tokens (codes), sketch, id of the classes that may have a partner."""
+                   percent: int, parts: int) -> DataFrame:
+    """sig, n, tokens (codes), sketch, id of the classes that may have a partner,
+    in ``parts`` partitions by id."""
     seen = bloom(with_partners(docs, light, id_col, text_col, words, percent).select(_sql_key().alias("key")))
 
     def run(rows):
+        sent = set()
         for b in common.batches(rows):
-            out, batch = [], set()
+            out = []
             for s in shingle_sets(b.column(1), words):
                 if not len(s):
                     continue
                 sig = signature(s)
                 at = _key(sig) % BLOOM_BITS
-                if seen[at >> 3] >> (at & 7) & 1 and sig not in batch:
-                    batch.add(sig)
+                if seen[at >> 3] >> (at & 7) & 1 and sig not in sent:
+                    if len(sent) >= REMEMBERED:
+                        sent.clear()
+                    sent.add(sig)
                     out.append((sig, len(s), s.astype("<u8").tobytes(), sketch(s)))
             cols = list(zip(*out)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.binary(), pa.binary()))],
                 names=["sig", "n", "tokens", "sketch"])
-    rows = _bodies(docs, id_col, text_col).mapInArrow(run, "sig binary, n int, tokens binary, sketch binary")
-    return common.store(rows.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "sketch")])
-                        .withColumn("id", F.xxhash64("sig")), "shingle-sets")
+    rows = _bodies(docs, id_col, text_col).mapInArrow(run, "sig binary, n int, tokens binary, sketch binary") \
+        .withColumn("id", F.xxhash64("sig"))
+    # tasks send a set once, so it is enough to meet by the short name, by which
+    # the sets are then stored
+    return rows.repartition(parts, "id").groupBy("id", "sig").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "sketch")])
 
 
 def rarity(sets: DataFrame) -> np.ndarray:
@@ -383,18 +396,48 @@ def blocks(sets: DataFrame, weight, percent: int) -> DataFrame:
     return common.store(posts.join(kept, "token"), "shingle-blocks")
 
 
-def within_blocks(rows: DataFrame, sets: DataFrame, weight, percent: int) -> DataFrame:
-    """(a, b): the links of the blocks of ``rows`` (id, token, part) between
-    sets of different parts."""
+def chunked(rows: DataFrame) -> DataFrame:
+    """(id, part, block, side, lead): blocks of ``rows`` (id, token, part) by
+    chunks, a set in one of them and the leading sets in all."""
     size = rows.groupBy("token").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"),
-                                     F.count("*").alias("m")).where("m > 1").drop("m")
-    # chunk pairs (i, j), i <= j: a set meets its own chunk and every other
-    dealt = rows.join(size, "token") \
-        .withColumn("me", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))) \
+                                     F.count("*").alias("m")).where("m > 1")
+    lead = (F.col("chunks") > 1) & (F.pmod(F.xxhash64(F.lit(2), "id"), F.col("m")) < LEADS)
+    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    return rows.join(size, "token").withColumn("lead", lead.cast("int")) \
+        .withColumn("chunk", F.explode(F.when(lead, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own)))) \
+        .select("id", "part", F.xxhash64("token", "chunk").alias("block"), F.lit(0).alias("side"), "lead")
+
+
+def paired(rows: DataFrame) -> DataFrame:
+    """(id, part, block, side, lead): blocks of ``rows`` (id, token, part) as
+    pairs of chunks, so that any two sets of different parts meet. A large part
+    has chunks of its own, which need not meet each other; the small parts of a
+    block share chunks."""
+    parts = rows.groupBy("token", "part").agg(F.count("*").alias("m")).withColumn("large", F.col("m") * 2 > CHUNK)
+    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+    per_block = parts.groupBy("token").agg(
+        F.ceil(F.sum(F.when(~F.col("large"), F.col("m")).otherwise(0)) / CHUNK).cast("int").alias("shared"),
+        F.collect_list(F.when(F.col("large"), F.struct("part", chunks.alias("chunks")))).alias("own"))
+    at = lambda large, part, i: F.struct(F.lit(large).alias("large"), part.alias("part"), i.cast("int").alias("i"))
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    every = F.concat(F.transform(numbers(F.col("shared")), lambda i: at(False, F.lit(0).cast("long"), i)),
+                     F.flatten(F.transform("own", lambda o: F.transform(numbers(o["chunks"]),
+                                                                        lambda i: at(True, o["part"], i)))))
+    meets = parts.join(per_block.select("token", "shared", every.alias("every")), "token").select(
+        "token", "part", "large", F.when(F.col("large"), chunks).otherwise(F.col("shared")).alias("chunks"),
+        F.filter("every", lambda x: ~(F.col("large") & x["large"] & (x["part"] == F.col("part")))).alias("others"))
+    name = lambda large, part, i: F.xxhash64(large, part, i)
+    me = F.when(F.col("large"), name(F.col("large"), F.col("part"), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))) \
+        .otherwise(name(F.col("large"), F.lit(0).cast("long"), F.pmod(F.xxhash64("part"), F.col("chunks")).cast("int")))
+    return rows.join(meets, ["token", "part"]).withColumn("me", me).withColumn("o", F.explode("others")) \
+        .withColumn("other", name(F.col("o.large"), F.col("o.part"), F.col("o.i"))) \
         .select("id", "part", F.xxhash64("token", F.least("me", "other"), F.greatest("me", "other")).alias("block"),
-                (F.col("me") > F.col("other")).cast("int").alias("side"))
+                (F.col("me") > F.col("other")).cast("int").alias("side"), F.lit(0).alias("lead"))
+
 
+def within_blocks(dealt: DataFrame, sets: DataFrame, weight, percent: int) -> DataFrame:
+    """(a, b): the links of blocks dealt by ``chunked`` or ``paired`` between
+    sets of different parts."""
     def grouped(batches):
         """(block, the other columns of its rows), one block after another."""
         block, held = None, []
@@ -410,12 +453,12 @@ def within_blocks(rows: DataFrame, sets: DataFrame, weight, percent: int) -> Dat
 
     def sieve(batches):
         out = []
-        schema = pa.schema([("block", pa.int64()), ("side", pa.int32()), ("id", pa.int64())])
+        schema = pa.schema([("block", pa.int64()), ("side", pa.int32()), ("lead", pa.int32()), ("id", pa.int64())])
         for block, held in grouped(batches):
-            side, name, part, n, sk = zip(*held)
+            side, lead, name, part, n, sk = zip(*held)
             good = may_link(np.array(n, np.int64), [np.frombuffer(x, np.uint8) for x in sk], np.array(side),
                             np.array(part), percent)
-            out += [(block, side[i], name[i]) for i in np.flatnonzero(good).tolist()]
+            out += [(block, side[i], lead[i], name[i]) for i in np.flatnonzero(good).tolist()]
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
                 out = []
@@ -431,16 +474,17 @@ def within_blocks(rows: DataFrame, sets: DataFrame, weight, percent: int) -> Dat
             found.clear()
             return batch
         for _, held in grouped(batches):
-            held.sort(key=lambda h: h[1])
-            own = [np.frombuffer(h[2], "<u8") for h in held]
+            # leading sets first: the stars of a block's chunks share centres
+            held.sort(key=lambda h: (-h[1], h[2]))
+            own = [np.frombuffer(h[3], "<u8") for h in held]
             for a, b in block_links(own, [h[0] for h in held], weight, percent):
-                found.append((held[a][1], held[b][1]))
+                found.append((held[a][2], held[b][2]))
             if len(found) > 5000:
                 yield pairs()
         yield pairs()
-    light = dealt.join(sets.select("id", "n", "sketch"), "id").select("block", "side", "id", "part", "n", "sketch")
-    left = light.repartition("block").sortWithinPartitions("block").mapInArrow(sieve, "block long, side int, id long")
-    whole = left.join(sets.select("id", "sig", "tokens"), "id").select("block", "side", "sig", "tokens")
+    light = dealt.join(sets.select("id", "n", "sketch"), "id").select("block", "side", "lead", "id", "part", "n", "sketch")
+    left = light.repartition("block").sortWithinPartitions("block").mapInArrow(sieve, "block long, side int, lead int, id long")
+    whole = left.join(sets.select("id", "sig", "tokens"), "id").select("block", "side", "lead", "sig", "tokens")
     return common.store(whole.repartition("block").sortWithinPartitions("block")
                         .mapInArrow(join, "a binary, b binary"), "shingle-links")
 
@@ -461,7 +505,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
             open_ = rows.withColumn("part", F.col("id"))
         else:
             if turn < ROUNDS:
-                # links go from a set to the least of its block's component, so
+                # links go from a set to the first of its block's component, so
                 # sets with one root are connected (the reverse need not hold)
                 known = found.groupBy(F.col("a").alias("sig")).agg(F.min("b").alias("root"))
             else:
@@ -478,7 +522,8 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
             open_ = open_.groupBy("id").agg(
                 F.min(F.struct(F.xxhash64(F.lit(turn), "token").alias("h"), "token")).alias("t"),
                 F.first("part").alias("part")).select("id", "t.token", "part")
-        more = within_blocks(open_, sets, weight, percent)
+        dealt = chunked(open_) if turn < ROUNDS else paired(open_)
+        more = within_blocks(dealt, sets, weight, percent)
         found = more if found is None else found.union(more)
     return found
 
@@ -489,8 +534,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     links) and class_id (the set's name, null if empty) of every document."""
     common.prepare(docs.sparkSession)
     light = classes(docs, id_col, text_col, words)
-    sets = candidate_sets(docs, light, id_col, text_col, words, percent)
-    roots = graph.components(links(sets, percent), "a", "b")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    candidates = candidate_sets(docs, light, id_col, text_col, words, percent, parts)
+    with common.bucketed(candidates, "shingle-sets", "id", parts) as sets:
+        found = links(sets, percent)
+    roots = graph.components(found, "a", "b")
     firsts = light.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("least"))
     named = firsts.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left") \
         .withColumn("root", F.coalesce("root", "sig"))
