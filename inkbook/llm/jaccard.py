@@ -13,7 +13,7 @@
 4. Two similar sets share a shingle of their prefixes in that order. Sets that
    share one form a block; blocks of equal members are kept once.
 5. A block first sees its sets' sketches only: counts of shingles per hash
-   bucket, about a hundredth of the set. The sum of the lesser counts bounds an
+   bucket, an eighth of the set or less. The sum of the lesser counts bounds an
    overlap from above, so a set whose bounds against all others of its block
    fall short has no partner there and is left out. For the others a task
    stores the ordered sets in a trie and walks it once for all probing sets
@@ -41,6 +41,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +60,7 @@ CHUNK = 512
 #: Leading sets of a large block, on average, that every chunk of it holds in
 #: the first rounds.
 LEADS = 16
+MOST_BUCKETS = 4096
 #: Names of sets that a task remembers in order not to send one twice.
 REMEMBERED = 1 << 17
 
@@ -122,10 +124,11 @@ def shown(n: int, percent: int) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Counts per hash bucket, a power of two of buckets with about eight
-    shingles each (255: that many or more)."""
+    """Counts per hash bucket (255: that many or more), a power of two of buckets
+    with one shingle each or less, so that sets which differ by a little more
+    than allowed are told apart; MOST_BUCKETS bound the sketches of long sets."""
     n = 16
-    while n * 8 < len(s):
+    while n < min(len(s), MOST_BUCKETS):
         n *= 2
     return np.minimum(np.bincount((common.mix(s) & np.uint64(n - 1)).astype(np.int64), minlength=n), 255) \
         .astype(np.uint8).tobytes()
@@ -138,7 +141,7 @@ def may_link(sizes: np.ndarray, sketches: list[np.ndarray], side: np.ndarray, pa
     m = len(sizes)
     width = min(map(len, sketches))
     # a wider sketch folds: its bucket modulo the narrower number of buckets
-    flat = np.stack([x.astype(np.int64).reshape(-1, width).sum(0) for x in sketches])
+    flat = np.stack([x.reshape(-1, width).sum(0, dtype=np.int32) for x in sketches])
     full = np.array([(x == 255).any() for x in sketches])
     out = np.zeros(m, bool)
     two = bool(side.any())
@@ -570,7 +573,17 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     first = ranks.join(group, "row__").groupBy("group__").agg(F.min("rank__").alias("first__"))
     gone = group.join(first.select("group__", F.col("first__.row").alias("stays__")), "group__") \
         .where(F.col("row__") != F.col("stays__")).select("row__")
-    left = docs.withColumn("row__", row).join(gone, "row__", "left_anti")
+    # only rows that a bitmap of what goes shows are shuffled with their texts
+    gone = common.store(gone, "gone-rows")
+    seen = bloom(gone.select(F.col("row__").alias("key")))
+
+    @F.pandas_udf("boolean")
+    def shown_gone(key: pd.Series) -> pd.Series:
+        at = key.to_numpy() % BLOOM_BITS
+        return pd.Series((seen[at >> 3] >> (at & 7) & 1).astype(bool))
+    marked = docs.withColumn("row__", row).withColumn("seen__", shown_gone("row__"))
+    left = marked.where("NOT seen__").drop("seen__") \
+        .unionByName(marked.where("seen__").drop("seen__").join(gone, "row__", "left_anti"))
     again = common.store(docs.select(row.alias("row__")).join(group.select("row__"), "row__", "left_semi").groupBy("row__")
                          .count().where("count > 1").select("row__"), "repeated-rows")
     if again.isEmpty():
