@@ -6,8 +6,9 @@ advert, form or reader comments, by element, role or class, is set aside. Each
 remaining paragraph then gives points (one, one per comma, up to three for
 length) to its container, half to the next and less to those further up; a
 container's points are discounted by its link density. The best container and
-those of its siblings that score or read like it are kept, and inside them
-lists that are nearly all links are left out. Blocks come out in page order.
+those of its siblings that score or read like it are kept, with headings beside
+it; outside an article element, lists in them that are nearly all links are left
+out. Of an article's own header the headings stay. Blocks come out in page order.
 
 Defined cases: a null or empty html gives an empty text; broken markup (open
 or crossing elements, cut-off tags, stray ``<``) never fails; nesting of any
@@ -42,6 +43,8 @@ infobar legal login masthead menu menubar modal nav navbar navigation newsletter
 pager pagination paywall popup promo promoted promotion recommended related replies reply respond share sharing sidebar
 sidenav signup skip social sponsor sponsored subscribe subscription taboola toolbar widget""".split())
 COMMENTS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
+COMPANIONS = frozenset("""area articles bar block box button buttons content cta form icons inner items links list posts
+prompt section slot stories text tools unit wrap wrapper""".split())
 LAYOUT = frozenset("has no with without wrapper layout page site container".split())
 MAIN = frozenset(("article", "main"))
 #: A start tag closes an open element of these kinds first (up to the limits).
@@ -64,15 +67,18 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])").findall
 
 
 class Element:
-    __slots__ = ("tag", "parent", "words", "set_aside", "main", "linked", "depth",
-                 "score", "chars", "link_chars", "links", "kept")
+    __slots__ = ("tag", "parent", "words", "named", "set_aside", "main", "linked", "depth", "article", "inside", "titles", "title",
+                 "score", "chars", "link_chars", "head_chars", "links", "kept")
 
     def __init__(self, tag: str, parent: int, depth: int):
         self.tag, self.parent, self.depth = tag, parent, depth
         self.words: frozenset | set = frozenset()
+        self.named = False                        # a whole name says boilerplate
         self.set_aside = self.main = self.linked = self.kept = False
+        # an article; inside one; its header; a heading there
+        self.article = self.inside = self.titles = self.title = False
         self.score = 0.0
-        self.chars = self.link_chars = self.links = 0
+        self.chars = self.link_chars = self.head_chars = self.links = 0
 
 
 class Page:
@@ -92,14 +98,20 @@ class Page:
         e = Element(tag, up, self.elements[up].depth + 1)
         parent = self.elements[up]
         e.set_aside, e.linked = parent.set_aside, parent.linked or tag == "a"
+        e.inside = parent.inside or parent.article
+        e.titles = parent.titles or tag == "header" and e.inside and not parent.set_aside
+        e.title = parent.title or parent.titles and tag in HEADINGS
         if attrs:
             self._attributes(e, attrs)
         comments = not e.words.isdisjoint(COMMENTS)
         if tag in MAIN:
             e.main = not comments and (e.words.isdisjoint(BOILERPLATE) or tag == "main")
             e.set_aside = e.set_aside or not e.main
+            e.article = e.article or tag == "article" and e.main
         elif tag in DROPPED:
             e.set_aside = True
+        elif e.title:
+            e.set_aside = False
         if tag == "a":
             e.links = 1
         self.elements.append(e)
@@ -113,7 +125,11 @@ class Page:
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or "")
             if name in ("class", "id"):
-                words.update(w.lower() for w in _WORDS(value))
+                for token in value.split():
+                    parts = {w.lower() for w in _WORDS(token)}
+                    words |= parts
+                    named = parts & BOILERPLATE
+                    e.named = e.named or bool(named) and parts <= named | COMPANIONS
             elif name == "role":
                 if value.lower() in ROLES:
                     e.set_aside = True
@@ -122,7 +138,7 @@ class Page:
                     or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 e.set_aside = True
             elif name == "itemprop" and value.lower() == "articlebody":
-                e.main = True
+                e.main = e.article = True
             elif name == "itemtype" and value.rstrip("/").endswith("/Comment"):
                 words.add("comment")
         e.words = words
@@ -226,7 +242,9 @@ class Page:
     # -- scoring
     def set_boilerplate_aside(self) -> None:
         """By class and id names; not what holds the article, nor page frames
-        whose names merely mention a part ("has-sidebar")."""
+        whose names merely mention a part ("has-sidebar"). Inside an article, and
+        for paragraphs and headings, a whole name must say so ("related-posts",
+        not "related-work"), unless it speaks of comments."""
         holds = [False] * len(self.elements)
         for i in range(len(self.elements) - 1, 0, -1):
             e = self.elements[i]
@@ -234,10 +252,14 @@ class Page:
             if holds[i]:
                 holds[e.parent] = True
         for i, e in enumerate(self.elements):
+            if e.title:
+                continue
             if i and self.elements[e.parent].set_aside:
                 e.set_aside = True
             elif e.words and not holds[i] and e.tag not in ("html", "body"):
                 named = e.words & BOILERPLATE
+                if not e.named and (e.inside or e.tag in PARAGRAPH or e.tag in HEADINGS):
+                    named = named & COMMENTS
                 if named and (e.words.isdisjoint(LAYOUT) or not named.isdisjoint(COMMENTS)):
                     e.set_aside = True
 
@@ -283,6 +305,7 @@ class Page:
             e.chars += len(text)
             e.link_chars += links
             if e.tag in HEADINGS:
+                e.head_chars += len(text)
                 continue
             points = 1 + text.count(",") + min(len(text) / 100, 3)
             i = e.parent if e.tag in PARAGRAPH and e.parent >= 0 else owner
@@ -294,6 +317,7 @@ class Page:
             up = elements[e.parent]
             up.chars += e.chars
             up.link_chars += e.link_chars
+            up.head_chars += e.head_chars
             up.links += e.links
         for e in elements:
             if e.chars:
@@ -322,13 +346,14 @@ class Page:
             density = e.link_chars / e.chars
             alike = e.score >= max(10, 0.2 * top.score) and (e.main or not top.main)
             reads = e.tag == "p" and not top.main and (e.chars > 80 and density < 0.25 or density == 0)
-            heads = e.tag in HEADINGS and not top.main
+            heads = not top.main and (e.tag in HEADINGS
+                                      or i < best and e.head_chars == e.chars and not e.link_chars)
             if alike or reads or heads:
                 roots.add(i)
         for i, e in enumerate(elements):
             e.kept = i in roots or i > 0 and elements[e.parent].kept
             if e.kept and e.tag in ("ul", "ol", "div", "section", "table") and i not in roots \
-                    and e.links >= 3 and e.link_chars > 0.9 * e.chars:
+                    and not e.inside and e.links >= 3 and e.link_chars > 0.9 * e.chars:
                 e.kept = False
 
 

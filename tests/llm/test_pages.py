@@ -111,3 +111,26 @@ def test_broken_archives_fail():
     for data in (cut, b"http://x 1.1.1.1 1 text/html 3\nabc\n", arc("1").replace(b"1 0 ink", b"7 0 ink")):
         with pytest.raises(ValueError):
             list(archive.arc_records(io.BufferedReader(io.BytesIO(data))))
+
+
+@pytest.mark.parametrize("html, text", [
+    # an article's own header: its headings stay, the rest of it goes
+    ("<body><nav><a href=/>Home</a></nav><article><header class='article-header'><h1>The title</h1><p class=byline>By A</p>"
+     "</header><p>One, two, three words of it.</p></article></body>", "The title\nOne, two, three words of it."),
+    ("<body><header><h1>Site name</h1></header><article><p>One, two, three words of it.</p></article></body>",
+     "One, two, three words of it."),
+    # names that merely hold a word of a menu or notice
+    ("<article><p>Intro text, and more of it.</p><section id='related-work'><h2>Related work</h2><p>Others did this, and well."
+     "</p></section><div class='related-posts'><p>Other text</p></div><div class='user-comments'><p>Nice</p></div></article>",
+     "Intro text, and more of it.\nRelated work\nOthers did this, and well."),
+    ("<div><p>Intro text, and more of it here.</p><p class='share-price'>A share rose, by ten.</p><p class='share'>Share this</p>"
+     "</div>", "Intro text, and more of it here.\nA share rose, by ten."),
+    # a list of links is text inside an article
+    ("<article><p>Intro text, and more of it.</p><ul><li><a href=a>First</a></li><li><a href=b>Second</a></li>"
+     "<li><a href=c>Third</a></li></ul></article>", "Intro text, and more of it.\nFirst\nSecond\nThird"),
+    # a heading in a box of its own beside the text
+    ("<body><div><h1>The title</h1></div><div><p>Intro text, and more of it here.</p><p>A second one, long enough to count."
+     "</p></div></body>", "The title\nIntro text, and more of it here.\nA second one, long enough to count."),
+])
+def test_parts_of_an_article_stay(html, text):
+    assert html_text.main_text(html) == text

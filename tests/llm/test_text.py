@@ -97,6 +97,34 @@ def test_components_equal_brute_force(spark, monkeypatch, n, percent, chunk):
     assert len(least) < len(nodes)
 
 
+def test_chunks_and_parts_of_large_blocks(spark, monkeypatch):
+    """Chunks take about one copy of each set and share the leading ones; pairs
+    of chunks let any two sets of different parts meet, and none of one large
+    part."""
+    monkeypatch.setattr(jaccard, "CHUNK", 20)
+    parts = [1] * 300 + [2] * 90 + list(range(3, 40))
+    rows = spark.createDataFrame([(i, 7, p) for i, p in enumerate(parts)], "id long, token long, part long")
+    blocks = {}
+    for r in jaccard.chunked(rows).collect():
+        blocks.setdefault(r["block"], []).append(r)
+    leads = [{r["id"] for r in b if r["lead"]} for b in blocks.values()]
+    assert len(blocks) == 22 and all(x == leads[0] for x in leads) and 4 <= len(leads[0]) <= 40
+    assert {r["id"] for b in blocks.values() for r in b} == set(range(len(parts)))
+    assert sum(map(len, blocks.values())) == len(parts) + 21 * len(leads[0])
+    blocks, met, copies = {}, set(), Counter()
+    for r in jaccard.paired(rows).collect():
+        blocks.setdefault(r["block"], []).append(r)
+        copies[r["id"]] += 1
+    for b in blocks.values():
+        for x in b:
+            for y in b:
+                if x["id"] < y["id"] and (x["side"] != y["side"] or not any(z["side"] for z in b)):
+                    met.add((x["id"], y["id"]))
+    assert met >= {(i, j) for j in range(len(parts)) for i in range(j) if parts[i] != parts[j]}
+    assert not any(parts[i] == parts[j] < 3 for i, j in met)
+    assert all(copies[i] <= 7 for i in range(300))       # 5 chunks of part 2, 2 shared ones
+
+
 def test_first_test_keeps_sets_with_a_partner(spark):
     rng, texts = random.Random(5), []
     for n in [9, 9, 15, 16, 20, 29, 49, 54, 63] * 3:
