@@ -243,11 +243,12 @@ def pack(cut: DataFrame, *, capacity: int = CAPACITY, groups: int = GROUPS) -> D
     table = places(plan(counts, capacity, groups))
     if not len(table):
         return cut.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    # ranks: salted parts of each length, then the parts' sizes summed up
+    # ranks: salted parts of each length (by content too, so that rows which share
+    # an id spread), then the parts' sizes summed up
     parts = spark.createDataFrame([(l, -(-c // RANKED)) for l, c in sorted(counts.items())],
                                   "length long, parts long")
     salted = (cut.join(F.broadcast(parts), "length")
-              .withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.col("parts"))).drop("parts"))
+              .withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("parts"))).drop("parts"))
     within = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = salted.groupBy("length", "part").count().select(

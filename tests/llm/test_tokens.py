@@ -183,3 +183,22 @@ def test_pack_documents(spark, word_bpe, monkeypatch):
         assert at <= 4096
     assert len(sequences) <= sum(r["length"] for r in rows) / 4096 + 2
     assert packing.pack_documents(empty_like(df)).count() == 0
+
+
+def test_pack_with_one_id_on_all_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(packing, "RANKED", 20)
+    rows = [(None, 0, 0, 5 + i % 4, i) for i in range(400)] + [(7, 0, 0, 6, 1)] * 30
+    spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long") \
+        .write.parquet(str(tmp_path / "cut"))
+    got = packing.pack(spark.read.parquet(str(tmp_path / "cut")), capacity=32).collect()
+    assert Counter(tuple(r)[:5] for r in got) == Counter(rows)
+    held = {}
+    for r in got:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in held.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 32
+    assert len(held) <= -(-sum(r[3] for r in rows) // 32) * 1.1
