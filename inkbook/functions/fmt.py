@@ -45,6 +45,23 @@ def fmt_days(c) -> Column:
             .when(v < 0, F.concat((-v).cast("string"), F.lit("d ago"))).otherwise(F.lit("today")))
 
 
+def cadence_label(days, regularity) -> Column:
+    """Mean gap with its regularity: '30.5d (Regular)'; NULL -> n/a."""
+    v = col(days).cast("double")
+    number = F.when(v == F.floor(v), v.cast("bigint").cast("string")).otherwise(v.cast("string"))
+    return F.when(v.isNull(), _na()).otherwise(F.concat(number, F.lit("d ("), col(regularity), F.lit(")")))
+
+
+def expected_label(date, days) -> Column:
+    """Expected order date with its distance: '2024-05-01 (in 5d)', '... (3d
+    ago)'; NULL -> n/a."""
+    d, n = col(date), col(days).cast("bigint")
+    away = F.when(n >= 0, F.concat(F.lit("in "), n.cast("string"), F.lit("d"))) \
+        .otherwise(F.concat((-n).cast("string"), F.lit("d ago")))
+    return F.when(d.isNull(), _na()).when(n.isNull(), d.cast("string")) \
+        .otherwise(F.concat(d.cast("string"), F.lit(" ("), away, F.lit(")")))
+
+
 def plural(n, singular: str, plural_form: str | None = None) -> Column:
     return F.when(col(n) == 1, F.lit(singular)).otherwise(F.lit(plural_form or f"{singular}s"))
 

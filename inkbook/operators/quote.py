@@ -67,14 +67,17 @@ def holdout_split(features: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return features.withColumn("is_test", (h % cfg.holdout_buckets) == 0)
 
 
-def comparable_baseline(split: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def comparable_baseline(split: DataFrame, by: Sequence[str] = (), cfg: Config = DEFAULT) -> DataFrame:
     """Expected price of each held-out job = median log price per unit of its
     (work type, product) on the training split, falling back to work type and
-    then to all training jobs; times its quantity."""
+    then to all training jobs; times its quantity. Fewer than ``min_priced_jobs`` priced
+    jobs are too few to compare with: they give no rows."""
     by = list(by)
+    enough = split.groupBy(*by).agg(F.count(F.lit(1)).alias("_priced"))
     train = split.filter(~F.col("is_test") & (F.col("quantity") > 0)) \
         .withColumn("_lpu", F.log1p(F.col("actual_price") / F.col("quantity")))
-    test = split.filter(F.col("is_test"))
+    test = attach(split.filter(F.col("is_test")), enough, by) \
+        .filter(F.col("_priced") >= cfg.min_priced_jobs).drop("_priced")
 
     def median(keys, name):
         return exact_quantiles(train, "_lpu", [*by, *keys], {name: 0.5})
@@ -230,6 +233,7 @@ def underpriced_summary(scored: DataFrame, by: Sequence[str] = (), cfg: Config =
     flag = g["gap_pct"] <= -cfg.underpriced_threshold_pct * 100
     return g.groupBy(*by).agg(
         F.count(F.when(flag, 1)).alias("flagged_count"),
-        rnd(F.count(F.when(flag, 1)) / F.count(F.lit(1)) * 100, 1).alias("flagged_share_pct"),
+        rnd(F.coalesce(F.try_divide(F.count(F.when(flag, 1)), F.count(F.lit(1))), F.lit(0.0)) * 100, 1)
+        .alias("flagged_share_pct"),
         rnd(F.coalesce(F.sum(F.when(flag, F.col("gap").cast("decimal(28,8)"))), F.lit(0)), 2).alias("value_gap"),
         F.lit(round(cfg.underpriced_threshold_pct * 100, 0)).alias("threshold_pct"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkbook.config import DEFAULT, Config
+from inkbook.functions.fmt import cadence_label, expected_label
 from inkbook.operators.cadence import CUSTOMER, order_cadence
 from inkbook.operators.common import attach, rnd
 from inkbook.operators.derive import as_of
@@ -55,3 +56,10 @@ def reorder_summary(forecast: DataFrame, by: Sequence[str] = (), cfg: Config = D
         rnd(F.coalesce(F.sum(F.when(window, F.col("predicted_next_order_value").cast("decimal(28,8)"))),
                        F.lit(0)), 2).alias("expected_value_next_30_days"),
     )
+
+
+def reorder_labels(forecast: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The forecast as its table reads: cadence and expected date as text."""
+    return forecast.select(*by, *CUSTOMER, "order_count", cadence_label("avg_interval_days", "regularity").alias("cadence"),
+                           "last_order_date",
+                           expected_label("predicted_next_order_date", "days_until_predicted").alias("expected"), "status")

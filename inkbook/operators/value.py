@@ -288,22 +288,39 @@ def concentration_summary(bc: DataFrame, by: Sequence[str] = (), cfg: Config = D
 
 def dataset_summary(jobs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Rows, customers, converted totals, mean VA%, naive mixed-currency
-    total and the overstatement it causes, period (A1)."""
-    return jobs.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.count_distinct("customer_id").alias("customer_count"),
-        rnd(msum("sell_price_base")).alias("total_sell_price"),
-        rnd(msum("va_amount_base")).alias("total_va_amount"),
-        rnd(F.avg("va_pct") * 100, 1).alias("avg_va_pct"),
-        rnd(msum("sell_price")).alias("naive_mixed_total"),
-        rnd(msum("sell_price") - msum("sell_price_base")).alias("naive_overstatement"),
-        F.min("sales_in").alias("date_from"),
-        F.max("sales_in").alias("date_to"),
-        F.count(F.when(~F.coalesce(F.col("currency"), F.lit("")).isin(
-            *DEFAULT.fx_rates.keys()), 1)).alias("unmapped_currency_jobs"),
-        F.count_distinct("product_type").alias("raw_product_types"),
-        F.count_distinct("product_type_clean").alias("canonical_product_types"),
-    )
+    total and the overstatement it causes, period (A1).
+
+    The jobs are aggregated once, to one row per customer and product label;
+    totals and each distinct count are read off those rows, so no count
+    multiplies the jobs."""
+    by = list(by)
+    unmapped = ~F.coalesce(F.col("currency"), F.lit("")).isin(*DEFAULT.fx_rates.keys())
+    money = ("sell_price_base", "va_amount_base", "sell_price")
+    cells = not_null(jobs, *by).groupBy(*by, "customer_id", "product_type", "product_type_clean").agg(
+        F.count(F.lit(1)).alias("_n"), *[msum(c).alias(c) for c in money],
+        F.sum("va_pct").alias("_va"), F.count("va_pct").alias("_nva"),
+        F.min("sales_in").alias("_from"), F.max("sales_in").alias("_to"), F.count(F.when(unmapped, 1)).alias("_unmapped"))
+
+    def total(c):
+        return F.coalesce(F.sum(c), F.lit(0))
+    out = cells.groupBy(*by).agg(
+        total("_n").alias("row_count"),
+        rnd(F.sum("sell_price_base")).alias("total_sell_price"),
+        rnd(F.sum("va_amount_base")).alias("total_va_amount"),
+        rnd(F.try_divide(F.sum("_va"), F.sum("_nva")) * 100, 1).alias("avg_va_pct"),
+        rnd(F.sum("sell_price")).alias("naive_mixed_total"),
+        rnd(F.sum("sell_price") - F.sum("sell_price_base")).alias("naive_overstatement"),
+        F.min("_from").alias("date_from"),
+        F.max("_to").alias("date_to"),
+        total("_unmapped").alias("unmapped_currency_jobs"))
+    counts = {"customer_count": "customer_id", "raw_product_types": "product_type",
+              "canonical_product_types": "product_type_clean"}
+    for name, c in counts.items():
+        distinct = not_null(cells, c).select(*by, c).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+        out = attach(out, distinct, by).withColumn(name, F.coalesce(name, F.lit(0)))
+    return out.select(*by, "row_count", "customer_count", "total_sell_price", "total_va_amount", "avg_va_pct",
+                      "naive_mixed_total", "naive_overstatement", "date_from", "date_to", "unmapped_currency_jobs",
+                      "raw_product_types", "canonical_product_types")
 
 
 def currency_split(jobs: DataFrame, by: Sequence[str] = ()) -> DataFrame:

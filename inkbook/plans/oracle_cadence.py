@@ -74,6 +74,19 @@ SELECT customer_id, customer_name, order_count, first_order_date, last_order_dat
        {R('avg_order_value', 2)} AS avg_order_value, {R('recent_value', 2)} AS recent_value
 FROM cadence""", "cadence")
 q("reorder_forecast", "SELECT * FROM reorder", "reorder")
+q("reorder_labels", """
+SELECT customer_id, customer_name, order_count,
+       CASE WHEN avg_interval_days IS NULL THEN 'n/a'
+            ELSE CASE WHEN avg_interval_days = floor(avg_interval_days)
+                      THEN CAST(CAST(avg_interval_days AS BIGINT) AS VARCHAR)
+                      ELSE CAST(avg_interval_days AS VARCHAR) END || 'd (' || regularity || ')' END AS cadence,
+       last_order_date,
+       CASE WHEN predicted_next_order_date IS NULL THEN 'n/a'
+            ELSE CAST(predicted_next_order_date AS VARCHAR) || ' ('
+                 || CASE WHEN days_until_predicted >= 0 THEN 'in ' || days_until_predicted || 'd'
+                         ELSE (-days_until_predicted) || 'd ago' END || ')' END AS expected,
+       status
+FROM reorder""", "reorder")
 q("reorder_summary", f"""
 SELECT count(*) FILTER (WHERE status <> 'Insufficient history') AS predictable_customers,
        count(*) FILTER (WHERE status = 'Overdue') AS overdue_count,

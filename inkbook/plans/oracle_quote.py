@@ -22,7 +22,7 @@ LEFT JOIN (SELECT work_type, product_type_clean, quantile_cont(lpu, 0.5) AS m FR
        ON m1.work_type = s.work_type AND m1.product_type_clean = s.product_type_clean
 LEFT JOIN (SELECT work_type, quantile_cont(lpu, 0.5) AS m FROM ptrain GROUP BY 1) m2 ON m2.work_type = s.work_type
 CROSS JOIN (SELECT quantile_cont(lpu, 0.5) AS m FROM ptrain) m3
-WHERE s.is_test
+WHERE s.is_test AND (SELECT count(*) FROM psplit) >= 200
 """, "psplit", "ptrain")
 
 NUM = ["quantity", "impressions", "plates", "press_hrs", "paper_base", "labour_base", "purchases_base"]

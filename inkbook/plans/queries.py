@@ -81,6 +81,11 @@ def q_reorder_forecast(spark, sf_dir):
     return reorder.reorder_forecast(jobs(spark, sf_dir))
 
 
+@register("reorder_labels")
+def q_reorder_labels(spark, sf_dir):
+    return reorder.reorder_labels(q_reorder_forecast(spark, sf_dir))
+
+
 @register("reorder_summary")
 def q_reorder_summary(spark, sf_dir):
     return reorder.reorder_summary(q_reorder_forecast(spark, sf_dir))

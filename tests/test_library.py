@@ -1,8 +1,10 @@
 """Report library on files and the streaming ingestion path."""
+import json
 import csv
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from inkbook.sources import ingest, library
@@ -67,6 +69,16 @@ def test_payload_round_trip(spark):
     assert '"k":"a"' in js
 
 
+def test_payload_refuses_row_marts(spark):
+    m = spark.range(30).selectExpr("id % 3 AS report_id", "id AS v", "CAST(NULL AS STRING) AS k")
+    docs = library.payload_json({"m": m}, most_rows=10).collect()
+    assert len(docs) == 3 and all(len(json.loads(r.json)) == 10 for r in docs)
+    assert [x["v"] for x in json.loads(next(r.json for r in docs if r.report_id == 1))] == list(range(1, 30, 3))
+    with pytest.raises(Exception, match="more than 9 rows"):
+        library.payload_json({"m": m}, most_rows=9).collect()
+    assert library.payload_json({"m": m.limit(0)}).count() == 0
+
+
 def test_read_jobs_csv_and_cleaning(spark, tmp_path):
     path = tmp_path / "export.csv"
     headers = list(HEADER_MAP)

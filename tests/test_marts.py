@@ -257,3 +257,41 @@ def test_lead_time_bounds(spark):
                          dict(sales_in=d("2024-01-02"), ship_date=d("2024-01-01"))])  # negative
     got = sorted((r.lead_time_days is None, r.lead_time_days or 0) for r in jd.collect())
     assert got == [(False, 0), (False, 180), (True, 0), (True, 0)]
+
+
+def test_dataset_summary_counts_without_expanding_rows(spark):
+    rows = [dict(customer_id="A", product_type="Book", report_id=1), dict(customer_id="A", product_type="book", report_id=1),
+            dict(customer_id="B", product_type=None, currency="USD", report_id=1),
+            dict(customer_id="C", product_type="Card", report_id=2), dict(customer_id="C", report_id=None)]
+    jd = derived(spark, rows, extra=("report_id",))
+    got = {r.report_id: r for r in value.dataset_summary(jd, ["report_id"]).collect()}
+    assert set(got) == {1, 2}
+    r = got[1]
+    assert (r.row_count, r.customer_count, r.raw_product_types, r.unmapped_currency_jobs) == (3, 2, 2, 1)
+    assert (r.total_sell_price, r.avg_va_pct, got[2].customer_count) == (300.0, 40.0, 1)
+    none = value.dataset_summary(jd.limit(0)).first()
+    assert (none.row_count, none.customer_count, none.raw_product_types, none.total_sell_price) == (0, 0, 0, None)
+    plan = value.dataset_summary(jd)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+
+
+def test_comparable_work_needs_enough_priced_jobs(spark):
+    rows = [dict(row_key=f"r{i}", sell_price=10.0 + i) for i in range(200)]
+    for n, any_rows in ((199, False), (200, True)):
+        split = quote.holdout_split(quote.price_features(derived(spark, rows[:n])))
+        scored = quote.comparable_baseline(split)
+        assert bool(scored.count()) == any_rows
+        s = quote.underpriced_summary(scored).first()
+        assert any_rows or (s.flagged_count, s.flagged_share_pct, s.value_gap) == (0, 0.0, 0.0)
+
+
+def test_reorder_labels(spark):
+    f = spark.sql("""SELECT * FROM VALUES
+        ('A', 'A', 5L, 30.0D, 'Regular', DATE'2024-01-01', DATE'2024-02-01', 0L, 'Due soon'),
+        ('B', 'B', 5L, 30.5D, 'Variable', DATE'2024-01-01', DATE'2024-02-01', -3L, 'Overdue'),
+        ('C', 'C', 1L, NULL, 'Insufficient history', DATE'2024-01-01', NULL, NULL, 'Insufficient history')
+        AS t(customer_id, customer_name, order_count, avg_interval_days, regularity, last_order_date,
+             predicted_next_order_date, days_until_predicted, status)""")
+    got = {r.customer_id: (r.cadence, r.expected) for r in reorder.reorder_labels(f).collect()}
+    assert got == {"A": ("30d (Regular)", "2024-02-01 (in 0d)"), "B": ("30.5d (Variable)", "2024-02-01 (3d ago)"),
+                   "C": ("n/a", "n/a")}
