@@ -341,9 +341,8 @@ def _pairs(t: Tree, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(t.often[s1, s2] & ~t.tried[0][s1, s2]) if t.tried else np.zeros(0, np.int64)
 
 
-def _triples(t: Tree, pairs: np.ndarray, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The same for three symbols: their suffix is a state, of the dense tables
-    or of ``pairs``."""
+def _triples(t: Tree, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The same for three symbols whose suffix is a state of the dense tables."""
     s1, s2, s3 = seq[at - 1], seq[at - 2], seq[at - 3]
     if not t.state:
         return np.zeros(0, np.int64)
@@ -351,20 +350,21 @@ def _triples(t: Tree, pairs: np.ndarray, seq: np.ndarray, at: np.ndarray) -> np.
     inside = state >= 0
     if len(t.tried) > 1 and len(t.tried[1]):
         inside &= ~t.tried[1][np.maximum(state, 0), s3]
-    return np.flatnonzero(inside | pairs[s1, s2])
+    return np.flatnonzero(inside)
 
 
 def _cells(seq: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """The ``depth`` symbols before each place and the one there, as one number."""
-    cell = seq[at - depth]
-    for k in range(depth - 1, -1, -1):
-        cell = cell * ALPHABET + seq[at - k]
-    return cell
+    """The two symbols before each place, the nearest first, and the one there,
+    as one number; with a ``depth`` of three, the symbol before these last. So
+    in their order, rows that differ in the oldest symbol alone are neighbours."""
+    cell = (seq[at - 1] * ALPHABET + seq[at - 2]) * ALPHABET + seq[at]
+    return cell if depth == 2 else cell * ALPHABET + seq[at - 3]
 
 
 def _low(t: Tree, cell: np.ndarray) -> np.ndarray:
-    """log10 of a cell's last symbol in the dense tables, by its pair or the symbol before."""
-    x, s1, s2 = cell % ALPHABET, cell // ALPHABET % ALPHABET, cell // ALPHABET ** 2 % ALPHABET
+    """log10 of the last symbol of a cell of three in the dense tables, by its
+    pair or the symbol before."""
+    x, s1, s2 = cell // ALPHABET % ALPHABET, cell // ALPHABET ** 3, cell // ALPHABET ** 2 % ALPHABET
     state = t.state[0][s1, s2].astype(np.int64)
     low, deep = t.log[0][s1, x], state >= 0
     if deep.any():
@@ -372,15 +372,20 @@ def _low(t: Tree, cell: np.ndarray) -> np.ndarray:
     return low
 
 
-def _cell_counts(texts: DataFrame, tree, depth: int, places) -> DataFrame:
-    """ctx, x, n, low of the cells at the ``places`` of all texts; n counts
-    training texts. Summed within a task, then moved once, by the context."""
+def _cell_counts(texts: DataFrame, tree) -> DataFrame:
+    """pair, part, oldest, x, n, low of the cells of three symbols that the dense
+    tables do not decide, in all texts; n counts training texts. Summed within a
+    task, then moved once: a pair that is to be decided too (part -1) with all
+    that stands before it, others by all three symbols (part: the oldest)."""
     def rows_of(t, cell, n):
         for k in range(0, len(cell), 100_000):
             c = cell[k:k + 100_000]
+            pair, rest = c // ALPHABET ** 2, c % ALPHABET ** 2
+            undecided = ~t.tried[0][pair // ALPHABET, pair % ALPHABET]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c // ALPHABET), pa.array((c % ALPHABET).astype(np.int16)),
-                 pa.array(n[k:k + 100_000].astype(np.int32)), pa.array(_low(t, c))], names=["ctx", "x", "n", "low"])
+                [pa.array(pair.astype(np.int32)), pa.array(np.where(undecided, -1, rest % ALPHABET).astype(np.int32)),
+                 pa.array(rest.astype(np.int32)), pa.array(n[k:k + 100_000].astype(np.int32)), pa.array(_low(t, c))],
+                names=["pair", "part", "rest", "n", "low"])
 
     def run(batches):
         t, cells, counts, held = tree.value, [], [], 0
@@ -391,8 +396,8 @@ def _cell_counts(texts: DataFrame, tree, depth: int, places) -> DataFrame:
         for b in batches:
             seq, at = _sequences(b.column(0).to_pylist())
             train = np.repeat(~np.array(b.column(1).to_pylist(), bool), b.column(2).to_numpy())
-            found = places(t, seq, at)
-            cell, inverse = np.unique(_cells(seq, at[found], depth), return_inverse=True)
+            found = np.concatenate([_pairs(t, seq, at), _triples(t, seq, at)])
+            cell, inverse = np.unique(_cells(seq, at[found], 3), return_inverse=True)
             cells.append(cell)
             counts.append(np.bincount(inverse, weights=train[found], minlength=len(cell)).astype(np.int64))
             held += len(cell)
@@ -404,22 +409,45 @@ def _cell_counts(texts: DataFrame, tree, depth: int, places) -> DataFrame:
                     cells, counts, held = [], [], 0
         if held:
             yield from rows_of(t, *summed())
-    rows = texts.select("symbols", "held_out", "n_tokens").mapInArrow(run, "ctx long, x short, n int, low float")
-    return rows.repartition("ctx").groupBy("ctx", "x").agg(F.sum("n").alias("n"), F.first("low").cast("double").alias("low"))
-
-
-def _decided(rows: DataFrame, parent) -> DataFrame:
-    """``smooth`` and ``diverges`` over rows (ctx, x, n) and the suffix's
-    probability of x: the contexts that are states, and p, x's probability there."""
-    w = Window.partitionBy("ctx")
-    n = F.col("n").cast("double")
-    rows = rows.withColumn("_p", parent)
-    fit = F.sum(F.when(n > 0, n * F.ln(n / F.col("_p"))).otherwise(0.0)).over(w)
-    rows = rows.withColumns({"_n": F.sum(n).over(w), "_k": F.count(F.when(n > 0, 1)).over(w), "_fit": fit})
-    gain = F.col("_fit") - F.col("_n") * F.ln("_n")
-    cost = 0.5 * F.greatest(F.col("_k") - 1, F.lit(1)) * F.ln("_n")
-    return rows.where((F.col("_n") >= LEAST) & (gain > cost)) \
-        .withColumn("p", (n + F.col("_k") * F.col("_p")) / (F.col("_n") + F.col("_k"))).drop("_n", "_k", "_fit")
+    rows = texts.select("symbols", "held_out", "n_tokens").mapInArrow(run, "pair int, part int, rest int, n int, low float")
+    cells = rows.repartition("pair", "part").groupBy("pair", "part", "rest").agg(F.sum("n").alias("n"), F.first("low").alias("low"))
+    return cells.select("pair", "part", (F.col("rest") % ALPHABET).alias("oldest"), F.expr(f"rest div {ALPHABET}").alias("x"),
+                        F.col("n").cast("double").alias("n"), F.col("low").cast("double").alias("low"))
+
+
+def _fit(n, p):
+    return F.when(n > 0, n * F.ln(n / p)).otherwise(0.0)
+
+
+def _diverges(n, kinds, fit):
+    """``diverges`` from a context's count, distinct next symbols and sum of ``_fit``."""
+    return (n >= LEAST) & (fit - n * F.ln(n) > 0.5 * F.greatest(kinds - 1, F.lit(1)) * F.ln(n))
+
+
+def _decided(cells: DataFrame) -> DataFrame:
+    """pair, oldest, x and what is added to log10 of x's probability by a state:
+    more2 by the pair (on one row of each x), more3 by all three symbols. Rules
+    as in ``smooth`` and ``diverges``. What a pair counts are the sums over the
+    symbols before it, and its distribution is the suffix's of these, so both
+    levels are read off rows that lie together."""
+    group = ["pair", "part"]
+    n, low, undecided = F.col("n"), F.pow(F.lit(10.0), "low"), F.col("part") < 0
+    same = Window.partitionBy(*group, "x")
+    rows = cells.withColumns({"_n2": F.sum("n").over(same), "_first": F.col("oldest") == F.min("oldest").over(same)})
+    each, n2, first = Window.partitionBy(*group), F.col("_n2"), F.col("_first")
+    rows = rows.withColumns({"_all": F.sum("n").over(each), "_kinds": F.count(F.when(first & (n2 > 0), 1)).over(each),
+                             "_fit2": F.sum(F.when(first, _fit(n2, low)).otherwise(0.0)).over(each)})
+    rows = rows.where((F.col("_all") >= LEAST) & (~undecided | _diverges(F.col("_all"), F.col("_kinds"), F.col("_fit2"))))
+    mixed = F.when(undecided, (n2 + F.col("_kinds") * low) / (F.col("_all") + F.col("_kinds"))).otherwise(low)
+    rows = rows.select("pair", "part", "oldest", "x", "n", mixed.alias("_p"),
+                       F.when(undecided & first, F.log10(mixed) - F.col("low")).alias("more2"))
+    three, p = Window.partitionBy(*group, "oldest"), F.col("_p")
+    rows = rows.withColumns({"_all": F.sum("n").over(three), "_kinds": F.count(F.when(n > 0, 1)).over(three),
+                             "_fit3": F.sum(_fit(n, p)).over(three)})
+    own = (n + F.col("_kinds") * p) / (F.col("_all") + F.col("_kinds"))
+    more3 = F.when(_diverges(F.col("_all"), F.col("_kinds"), F.col("_fit3")), F.log10(own) - F.log10(p))
+    return rows.select("pair", "oldest", "x", "more2", more3.alias("more3")) \
+        .where(F.col("more2").isNotNull() | F.col("more3").isNotNull())
 
 
 def _slots(ctx: np.ndarray) -> np.ndarray:
@@ -428,24 +456,20 @@ def _slots(ctx: np.ndarray) -> np.ndarray:
 
 def beyond_sums(texts: DataFrame, tree) -> DataFrame:
     """key, beyond: what the states outside the dense tables add to each text's
-    score by these. Level by level, a state's probability of the next symbol is
-    set against its suffix's."""
-    spark, power = texts.sparkSession, lambda c: F.pow(F.lit(10.0), F.col(c))
-    two = _decided(_cell_counts(texts, tree, 2, _pairs), power("low"))
-    two = common.store(two.select("ctx", "x", "p", (F.log10("p") - F.col("low")).alias("more")), "pairs")
+    score by these. A state's probability of the next symbol is set against its
+    suffix's."""
+    spark = texts.sparkSession
+    states = common.store(_decided(_cell_counts(texts, tree)), "states")
+    pair = F.col("pair").cast("long")
+    two = states.where("more2 IS NOT NULL").select("pair", (pair * ALPHABET + F.col("x")).alias("cell"), F.col("more2").alias("more"))
+    three = states.where("more3 IS NOT NULL").select(
+        (pair * ALPHABET + F.col("oldest")).alias("ctx"), ((pair * ALPHABET + F.col("x")) * ALPHABET + F.col("oldest")).alias("cell"),
+        F.col("more3").alias("more"))
     pairs = np.zeros((ALPHABET, ALPHABET), bool)
-    got = two.select("ctx").distinct().toArrow()["ctx"].to_numpy()        # at most ALPHABET ** 2 numbers
-    pairs[got % ALPHABET, got // ALPHABET] = True
+    got = two.select("pair").distinct().toArrow()["pair"].to_numpy()        # at most ALPHABET ** 2 numbers
+    pairs[got // ALPHABET, got % ALPHABET] = True
     known = spark.sparkContext.broadcast(pairs)
 
-    # only contexts that occur often enough meet their suffixes
-    three = _cell_counts(texts, tree, 3, lambda t, seq, at: _triples(t, known.value, seq, at)) \
-        .withColumn("_all", F.sum("n").over(Window.partitionBy("ctx"))).where(F.col("_all") >= LEAST)
-    parents = two.select(F.col("ctx").alias("_suffix"), "x", F.col("p").alias("_parent"))
-    three = three.withColumn("_suffix", F.col("ctx") % (ALPHABET * ALPHABET)).join(parents, ["_suffix", "x"], "left")
-    three = _decided(three, F.coalesce("_parent", power("low")))
-    three = common.store(three.select("ctx", "x", (F.log10("p") - F.log10("_p")).alias("more")), "triples")
-
     # SLOTS numbers at most: a context in none of them is no state
     def slot(batches):
         for b in batches:
@@ -461,17 +485,16 @@ def beyond_sums(texts: DataFrame, tree) -> DataFrame:
             key = np.repeat(b.column(0).to_numpy(), b.column(2).to_numpy())
             found = _pairs(t, seq, at)
             found = found[known.value[seq[at[found] - 1], seq[at[found] - 2]]]
-            deep = _triples(t, known.value, seq, at)
+            deep = np.concatenate([found, _triples(t, seq, at)])
             cell = _cells(seq, at[deep], 3)
-            may = taken.value[_slots(cell // ALPHABET)]
+            may = taken.value[_slots(cell // ALPHABET ** 2 * ALPHABET + cell % ALPHABET)]
             # a number tells its level: pairs count below zero
             cell = np.concatenate([-1 - _cells(seq, at[found], 2), cell[may]])
             key = np.concatenate([key[found], key[deep[may]]])
             for k in range(0, len(cell), 200_000):
                 sl = slice(k, k + 200_000)
                 yield pa.RecordBatch.from_arrays([pa.array(key[sl]), pa.array(cell[sl])], names=["key", "cell"])
-    number = F.col("ctx") * ALPHABET + F.col("x")
-    more = two.select((-1 - number).alias("cell"), "more").unionByName(three.select(number.alias("cell"), "more"))
+    more = two.select((-1 - F.col("cell")).alias("cell"), "more").unionByName(three.select("cell", "more"))
     rows = texts.select("key", "symbols", "n_tokens").mapInArrow(explode, "key long, cell long")
     return rows.join(more, "cell").groupBy("key").agg(F.sum("more").alias("beyond"))
 

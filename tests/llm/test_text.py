@@ -432,6 +432,53 @@ def test_contexts_beyond_the_dense_tables(spark, monkeypatch):
     assert sum(s for _, s in whole.values()) / sum(n for n, _ in whole.values()) > -0.2
 
 
+def test_contexts_of_both_levels_are_moved_once(spark, monkeypatch):
+    rng = random.Random(15)
+
+    def chain():
+        a, b = rng.randrange(12), rng.randrange(12)
+        for _ in range(200):
+            yield f"w{b}"
+            a, b = b, (b * 3 + a % 3 + (rng.random() < 0.2)) % 12
+    df = spark.createDataFrame([(i, " ".join(chain())) for i in range(80)], "doc_id long, text string")
+    monkeypatch.setattr(lm, "STATES", 3)
+    folded = lm.folded(df, "doc_id", "text")
+    w = lm.Words(lm.word_counts(folded), folded.where(~F.col("held_out")).count())
+    rows = lm.symbolise(folded, spark.sparkContext.broadcast(w))
+    tree = lm.grow(rows, w.symbol_c)
+    states = lm._decided(lm._cell_counts(rows, spark.sparkContext.broadcast(tree)))
+    plan = states._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    # the counts behind them are those of the texts
+    want = {}
+    for r in rows.collect():
+        seq = [0, 0, 0, *np.frombuffer(r["symbols"], "<u2").tolist(), 0]
+        for i in range(3, len(seq)):
+            if tree.often[seq[i - 1], seq[i - 2]] and not tree.tried[0][seq[i - 1], seq[i - 2]]:
+                cell = (seq[i - 1] * lm.ALPHABET + seq[i - 2], seq[i - 3], seq[i])
+                want[cell] = want.get(cell, 0) + (not r["held_out"])
+    got = lm._cell_counts(rows, spark.sparkContext.broadcast(tree)).where("part < 0").collect()
+    assert want and {(r["pair"], r["oldest"], r["x"]): r["n"] for r in got} == want
+
+
+def test_shuffle_files_go_with_a_stored_table(spark):
+    kept = spark.conf.get(common.LET_GO, "false")
+    seen = []
+
+    class Told:
+        def __getattr__(self, name):
+            return getattr(spark.range(3).write, name)
+
+        def parquet(self, path):
+            seen.append(spark.conf.get(common.LET_GO))
+            spark.range(3).write.parquet(path)
+
+    class Frame:
+        sparkSession, schema, write = spark, spark.range(3).schema, Told()
+    assert common.store(Frame, "told").count() == 3
+    assert seen == ["true"] and spark.conf.get(common.LET_GO, "false") == kept
+
+
 def test_distributions_are_proper(spark):
     rng = random.Random(10)
     # "a b" is followed by "c", "x b" by "d": a state of two words
