@@ -315,15 +315,21 @@ def _sql_key():
     return F.shiftrightunsigned(F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long"), 1)
 
 
-def bloom(keys: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """Bitmap of the rows' ``key`` hashes, of fixed size."""
+def bloom(keys: DataFrame, bits: int = BLOOM_BITS) -> str:
+    """Bitmap of the rows' ``key`` hashes, of fixed size, in the shared folder."""
     at = F.pmod(F.col("key"), F.lit(bits)) + 1        # Spark's positions count from 1
-    rows = keys.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit")) \
-        .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")).collect()
+    return common.place(keys.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
+                        .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")), "bitmap")
+
+
+@lru_cache(1)
+def bitmap(uri: str, bits: int = BLOOM_BITS) -> np.ndarray:
+    """The bitmap, read once by every Python worker."""
+    rows = common.placed(uri)
     out = np.zeros(bits // 8, np.uint8)
-    for r in rows:
-        lo = (r["bucket"] - 1) * 4096
-        part = np.frombuffer(r["map"], np.uint8)[:len(out) - lo]
+    for bucket, part in zip(rows["bucket"].to_pylist(), rows["map"].to_pylist()):
+        lo = (bucket - 1) * 4096
+        part = np.frombuffer(part, np.uint8)[:len(out) - lo]
         out[lo:lo + len(part)] = part
     return out
 
@@ -332,10 +338,10 @@ def candidate_sets(docs: DataFrame, light: DataFrame, id_col: str, text_col: str
                    percent: int, parts: int) -> DataFrame:
     """sig, n, tokens (codes), sketch, id of the classes that may have a partner,
     in ``parts`` partitions by id."""
-    seen = bloom(with_partners(docs, light, id_col, text_col, words, percent).select(_sql_key().alias("key")))
+    shown_by = bloom(with_partners(docs, light, id_col, text_col, words, percent).select(_sql_key().alias("key")))
 
     def run(rows):
-        sent = set()
+        seen, sent = bitmap(shown_by), set()
         for b in common.batches(rows):
             out = []
             for s in shingle_sets(b.column(1), words):
@@ -359,8 +365,8 @@ def candidate_sets(docs: DataFrame, light: DataFrame, id_col: str, text_col: str
     return rows.repartition(parts, "id").groupBy("id", "sig").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "sketch")])
 
 
-def rarity(sets: DataFrame) -> np.ndarray:
-    """Counts of the shingles' slots, a table of fixed size."""
+def rarity(sets: DataFrame) -> str:
+    """Counts of the shingles' slots, a table of fixed size, in the shared folder."""
     def run(rows):
         total = np.zeros(TABLE, np.int64)
         for b in rows:
@@ -370,7 +376,14 @@ def rarity(sets: DataFrame) -> np.ndarray:
         for k in range(0, len(at), 50_000):
             part = at[k:k + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["slot", "n"])
-    rows = sets.select("tokens").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    return common.place(sets.select("tokens").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")),
+                        "rarity")
+
+
+@lru_cache(1)
+def slot_counts(uri: str) -> np.ndarray:
+    """The counts, read once by every Python worker."""
+    rows = common.placed(uri)
     out = np.zeros(TABLE, np.int64)
     out[rows["slot"].to_numpy()] = rows["n"].to_numpy()
     return np.minimum(out, 2**31 - 1).astype(np.int32)
@@ -500,7 +513,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     so most of a family is connected at the cost of one copy of each set. Then
     go all blocks whose members are not all connected yet."""
     counts = rarity(sets)
-    weight = lambda tokens: counts[_slot(tokens)]
+    weight = lambda tokens: slot_counts(counts)[_slot(tokens)]
     rows = blocks(sets, weight, percent).select("id", "token")
     found = None
     for turn in range(ROUNDS + 1):
@@ -575,11 +588,11 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         .where(F.col("row__") != F.col("stays__")).select("row__")
     # only rows that a bitmap of what goes shows are shuffled with their texts
     gone = common.store(gone, "gone-rows")
-    seen = bloom(gone.select(F.col("row__").alias("key")))
+    shown_by = bloom(gone.select(F.col("row__").alias("key")))
 
     @F.pandas_udf("boolean")
     def shown_gone(key: pd.Series) -> pd.Series:
-        at = key.to_numpy() % BLOOM_BITS
+        seen, at = bitmap(shown_by), key.to_numpy() % BLOOM_BITS
         return pd.Series((seen[at >> 3] >> (at & 7) & 1).astype(bool))
     marked = docs.withColumn("row__", row).withColumn("seen__", shown_gone("row__"))
     left = marked.where("NOT seen__").drop("seen__") \

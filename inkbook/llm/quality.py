@@ -179,12 +179,14 @@ def _class(d2: Column) -> Column:
 
 def estimate(rows: DataFrame) -> DataFrame:
     """Mean and inverse factor (``p__``) of every group ``g__`` of the feature
-    rows, which must be a stored table: every step reads it again."""
+    rows that has enough of them. The rows must be a stored table: every step
+    reads it again."""
     keys = ["g__"]
     d = len(FEATURES)
     # classes of 0.01 keep the quartiles' counts bounded
-    quart = rows.groupBy("g__").agg(*[F.percentile(F.round(f, 2), F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(f"q{i}")
-                                      for i, f in enumerate(FEATURES)])
+    # what follows joins these groups, so the small ones end here
+    quart = rows.groupBy("g__").agg(F.count("*").alias("n"), *[F.percentile(F.round(f, 2), F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(f"q{i}")
+                                      for i, f in enumerate(FEATURES)]).where(F.col("n") >= MIN_GROUP)
     spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[i])) for i in range(d)]
     start = quart.select("g__", F.struct(
         F.array(*[F.col(f"q{i}")[1] for i in range(d)]).alias("m"),
@@ -205,15 +207,16 @@ def estimate(rows: DataFrame) -> DataFrame:
 
 
 def grouped(rows: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Group name ``g__`` of each (language, source) that has enough rows."""
+    """Group ``g__`` of each (language, source): its name's hash, since every join
+    on a string key holds a page of memory in the driver, on a number far less."""
     pair = rows.groupBy("lang__", "source__").count()
     small = F.col("count") < MIN_GROUP
     per_lang = pair.where(small).groupBy("lang__").agg(F.sum("count").alias("rest"))
     return pair.join(per_lang, "lang__", "left").select(
         "lang__", "source__",
-        F.when(~small, F.concat_ws("\x1f", F.lit("pair"), "lang__", "source__"))
-        .when(F.col("rest") >= MIN_GROUP, F.concat_ws("\x1f", F.lit("lang"), "lang__"))
-        .otherwise(F.lit("all")).alias("g__"))
+        F.when(~small, F.xxhash64(F.lit("pair"), "lang__", "source__"))
+        .when(F.col("rest") >= MIN_GROUP, F.xxhash64(F.lit("lang"), "lang__"))
+        .otherwise(F.xxhash64(F.lit("all"))).alias("g__"))
 
 
 def _named(df: DataFrame, lang_col: str, source_col: str) -> DataFrame:
@@ -227,8 +230,7 @@ def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = common.store(grouped(passed), "mcd-groups")
     rows = common.store(passed.join(groups, ["lang__", "source__"])
                         .select("g__", *features()), "mcd-rows")
-    sizes = rows.groupBy("g__").count().where(F.col("count") >= MIN_GROUP).select("g__")
-    return groups, estimate(rows.join(sizes, "g__", "left_semi"))
+    return groups, estimate(rows)
 
 
 def verdict(stats: DataFrame, groups: DataFrame, params: DataFrame) -> DataFrame:

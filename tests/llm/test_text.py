@@ -203,6 +203,30 @@ def test_quality_rules(spark):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in got if r["kept"])
 
 
+def test_estimate_leaves_small_groups_out(spark):
+    """Without a join of the groups' sizes, and on numbers as keys."""
+    rows = [(g, *[float(i % 7 + j) for j in range(5)]) for g, n in ((1, quality.MIN_GROUP), (2, quality.MIN_GROUP - 1))
+            for i in range(n)]
+    stored = common.store(spark.createDataFrame(rows, ["g__", *quality.FEATURES]), "t")
+    assert [r["g__"] for r in quality.estimate(stored).collect()] == [1]
+    pairs = spark.createDataFrame([("en", "web")] * quality.MIN_GROUP + [("en", "x"), ("de", "y")], ["lang__", "source__"])
+    groups = quality.grouped(pairs)
+    assert dict(groups.dtypes)["g__"] == "bigint"
+    assert len({r["g__"] for r in groups.collect()}) == 2
+
+
+def test_keep_one_sends_no_table_through_the_driver(spark, monkeypatch):
+    """Bitmaps and counts of fixed size are read by the tasks, where code that
+    held them was a broadcast of its own."""
+    sent = []
+    plain = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sent.append(len(x)) or plain(self, x))
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "another text of its own"), (4, text)], ["doc_id", "text"])
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(docs).collect()) == [1, 3]
+    assert sent == []
+
+
 def test_covariance_estimate_equals_numpy(spark):
     """The concentration steps, spelt out in numpy."""
     rng = np.random.default_rng(2)
