@@ -325,12 +325,12 @@ def bloom(keys: DataFrame, bits: int = BLOOM_BITS) -> str:
 @lru_cache(1)
 def bitmap(uri: str, bits: int = BLOOM_BITS) -> np.ndarray:
     """The bitmap, read once by every Python worker."""
-    rows = common.placed(uri)
     out = np.zeros(bits // 8, np.uint8)
-    for bucket, part in zip(rows["bucket"].to_pylist(), rows["map"].to_pylist()):
-        lo = (bucket - 1) * 4096
-        part = np.frombuffer(part, np.uint8)[:len(out) - lo]
-        out[lo:lo + len(part)] = part
+    for rows in common.placed(uri):
+        for bucket, part in zip(rows["bucket"], rows["map"]):
+            lo = (bucket.as_py() - 1) * 4096
+            part = np.frombuffer(part.as_buffer(), np.uint8)[:len(out) - lo]
+            out[lo:lo + len(part)] = part
     return out
 
 
@@ -383,10 +383,10 @@ def rarity(sets: DataFrame) -> str:
 @lru_cache(1)
 def slot_counts(uri: str) -> np.ndarray:
     """The counts, read once by every Python worker."""
-    rows = common.placed(uri)
-    out = np.zeros(TABLE, np.int64)
-    out[rows["slot"].to_numpy()] = rows["n"].to_numpy()
-    return np.minimum(out, 2**31 - 1).astype(np.int32)
+    out = np.zeros(TABLE, np.int32)
+    for rows in common.placed(uri):
+        out[rows["slot"].to_numpy()] = np.minimum(rows["n"].to_numpy(), 2**31 - 1)
+    return out
 
 
 def blocks(sets: DataFrame, weight, percent: int) -> DataFrame:
