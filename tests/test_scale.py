@@ -115,3 +115,23 @@ def test_job_rows_are_the_jobs(spark, tmp_path):
     cols = sorted(want.columns)
     assert sorted(map(repr, got.select(*cols).collect())) == sorted(map(repr, want.select(*cols).collect()))
     assert got.count() > 100
+
+
+def test_briefs_move_no_cells_of_customer_and_label(spark):
+    from inkbook.plans.queries import REGISTRY
+    spark.catalog.clearCache()
+    lines = _plan(REGISTRY["brief_metrics"](spark, SF))
+    assert not any("Exchange hashpartitioning(customer_id" in x and "product_type" in x for x in lines)
+
+
+def test_summary_of_jobs_at_hand_is_the_same(spark):
+    from inkbook.operators import value
+    from tests.frames import derived
+    rows = [dict(customer_id=c, product_type=p, va_pct=v, report_id=r) for c, p, v, r in
+            [("A", "Book", 0.1, 1), ("A", "book", 0.2, 1), ("B", None, 0.3, 1), ("C", "Card", 0.4, 2), (None, "Card", 0.5, 2),
+             ("C", "Card", 0.6, None)]]
+    jd = derived(spark, rows, extra=("report_id",))
+    for by in ((), ("report_id",)):
+        for jobs in (jd, jd.limit(0)):
+            a, b = (sorted(map(repr, value.dataset_summary(jobs, by, x).collect())) for x in (False, True))
+            assert a == b
